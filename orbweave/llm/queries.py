@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, pii, tokenbin
+from . import decon, exact, langid, pii, tokenbin
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": lambda s, d: pii.pii_spans(_docs(s, d)),
         "op3_token_binary": lambda s, d: tokenbin.write_tokens(_docs(s, d)),
         "op4_exact_dedup": lambda s, d: exact.exact_copies(_docs(s, d)),
+        "op9_language_id": lambda s, d: langid.identify(_docs(s, d)),
+        "op10_decontamination": lambda s, d: decon.contaminated(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
     }
 
 
