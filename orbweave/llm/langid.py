@@ -162,8 +162,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros((1, 0)), np.zeros(0), idf)
     ys = got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy()
     data, held = [], []
-    for i, g in _ngrams(pa.array(got.text.tolist(), pa.large_string())):
-        (held if i % 5 == 4 else data).append((*_sparse(g, idf), int(ys[i])))
+    for a in range(0, len(got), 100):
+        for i, g in _ngrams(pa.array(got.text.iloc[a : a + 100].tolist(), pa.large_string())):
+            at, x = _sparse(g, idf)
+            (held if (a + i) % 5 == 4 else data).append((at.astype(np.int32), x.astype(np.float32), int(ys[a + i])))
     if not data:
         return Model([], np.zeros((1, 0)), np.zeros(0), idf)
     weights, bias = fit(data, len(langs))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decon, exact, htmltext, langid, near, pieces, pii, tokenbin
+from . import decon, exact, htmltext, langid, near, pieces, pii, repeats, tokenbin
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": lambda s, d: pii.pii_spans(_docs(s, d)),
+        "op2_suffix_dedup": lambda s, d: repeats.repeated_passages(_docs(s, d)),
         "op3_token_binary": lambda s, d: tokenbin.write_tokens(_docs(s, d)),
         "op4_exact_dedup": lambda s, d: exact.exact_copies(_docs(s, d)),
         "op6_html_extraction": lambda s, d: htmltext.extract_pages(s.read.parquet(f"{d}/pages.parquet")),
@@ -27,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact.ORACLE}
+    return {"op2_suffix_dedup": repeats.ORACLE, "op4_exact_dedup": exact.ORACLE}
