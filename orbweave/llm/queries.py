@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decon, exact, htmltext, langid, near, pieces, pii, repeats, tokenbin
+import corpus_pipeline
+
+from . import decon, exact, htmltext, langid, near, pieces, pii, repeats, secrets, tokenbin
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -19,11 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": lambda s, d: repeats.repeated_passages(_docs(s, d)),
         "op3_token_binary": lambda s, d: tokenbin.write_tokens(_docs(s, d)),
         "op4_exact_dedup": lambda s, d: exact.exact_copies(_docs(s, d)),
+        "op5_secret_scan": lambda s, d: secrets.scan(_docs(s, d)),
         "op6_html_extraction": lambda s, d: htmltext.extract_pages(s.read.parquet(f"{d}/pages.parquet")),
         "op7_sentencepiece": lambda s, d: pieces.encode_documents(_docs(s, d)),
         "op8_near_dedup": lambda s, d: near.near_copies(_docs(s, d)),
         "op9_language_id": lambda s, d: langid.identify(_docs(s, d)),
         "op10_decontamination": lambda s, d: decon.contaminated(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
