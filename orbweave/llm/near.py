@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import Masked, drop_stored, join_checked, pick, stored
-from .vector import NONWORD, U64, Tokens, mix, shingles, slices
+from .vector import CHUNK_BYTES, NONWORD, U64, Tokens, mix, shingles, slices
 
 THRESHOLD, SHINGLE, BITS = 0.5, 3, 18
 BANDS, ROWS = 18, 3
@@ -124,27 +124,45 @@ def _banded(idf: np.ndarray):
     return run
 
 
-def similarity(texts_a: pa.Array, texts_b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Exact weighted Jaccard similarity of each pair of texts; 0 where one has no words."""
-    n = len(texts_a)
-    da, ha, ta = features(texts_a)
+def similarity(a: np.ndarray, texts_a: pa.Array, texts_b: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Exact weighted Jaccard similarity of each text_b with text_a; 0 where one has no words.
+
+    ``a`` numbers the texts_a: rows with one number have one text, whose features are taken once.
+    """
+    n = len(texts_b)
+    _, one, which = np.unique(a, return_index=True, return_inverse=True)
+    da, ha, ta = features(texts_a.take(pa.array(one)))
     db, hb, tb = features(texts_b)
-    doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
-    w = np.concatenate([ta * idf[_bucket(ha)], tb * idf[_bucket(hb)]]).astype(np.float64)
-    order = np.lexsort((h, doc))
-    doc, h, w = doc[order], h[order], w[order]
-    total = np.bincount(doc, w, n)
+    wa, wb = ta * idf[_bucket(ha)].astype(np.float64), tb * idf[_bucket(hb)].astype(np.float64)
+    with np.errstate(over="ignore"):
+        ka = mix(ha + (da + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
+        kb = mix(hb + (which[db] + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
+    order = np.argsort(ka)
+    ka, wa_sorted = ka[order], wa[order]
     both = np.zeros(n)
-    same = np.flatnonzero((doc[1:] == doc[:-1]) & (h[1:] == h[:-1]))
-    both += np.bincount(doc[same], np.minimum(w[same], w[same + 1]), n)
-    return np.where(total > 0, both / np.maximum(total - both, 1e-12), 0.0)
+    if len(ka):
+        at = np.minimum(np.searchsorted(ka, kb), len(ka) - 1)
+        same = ka[at] == kb
+        both = np.bincount(db[same], np.minimum(wa_sorted[at[same]], wb[same]), n)
+    union = np.bincount(da, wa, len(one))[which] + np.bincount(db, wb, n) - both
+    return np.where(union > 0, both / np.maximum(union, 1e-12), 0.0)
 
 
 def _verify(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for b in slices(big, 3):
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(similarity(b.column(2), b.column(3), idf))], names=["a", "b", "similarity"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a = b.column(0).to_numpy()
+            # A text_a counts once for neighbouring rows that share it.
+            size = pc.binary_length(b.column(3)).to_numpy().astype(np.int64) + pc.binary_length(b.column(2)).to_numpy() * (np.diff(a, prepend=a[0] - 1) != 0)
+            size = np.concatenate([[0], np.cumsum(size)])
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK_BYTES, "right")) - 1)
+                c = b.slice(at, to - at)
+                yield pa.record_batch([c.column(0), c.column(1), pa.array(similarity(a[at:to], c.column(2), c.column(3), idf))], names=["a", "b", "similarity"])
+                at = to
 
     return run
 
@@ -157,7 +175,7 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bucket = W.partitionBy("band", "key")
     members = stored(bands.distinct().withColumn("n", F.count("*").over(bucket)).filter("n > 1").drop("n"), "near-buckets")
     wanted = stored(members.select("doc_id").distinct(), "near-candidates")
-    texts = stored(join_checked(rows, wanted, "doc_id", "left_semi", 16).dropDuplicates(["doc_id"]), "near-texts")
+    texts = stored(join_checked(rows, wanted, "doc_id", "left_semi", 16).groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
     found, all_pairs, old = [], False, None
     while True:
         sized = members.withColumns({"n": F.count("*").over(bucket), "a": F.min("doc_id").over(bucket)}).filter("n > 1")
