@@ -1,4 +1,4 @@
-"""The registry of queries over the driver's tables, each with its oracle SQL."""
+"""The registry of queries over the driver's tables, each with its oracle SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import registry, relational, scalar  # noqa: F401 - modules register their queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
+
+
+def operators() -> dict[str, str]:
+    """Query name: the inventory ids it covers."""
+    return dict(registry.IDS)
