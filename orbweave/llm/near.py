@@ -7,10 +7,13 @@ idf, frequent ones are told apart. SAMPLES consistent weighted samples (Ioffe 20
 that two documents agree in one is their weighted Jaccard similarity) are cut into bands of ROWS. Documents that
 agree in a band are candidates; at similarity 0.5 a pair shares a band with probability 0.91, at 0.6 with 0.986.
 
-Within a band's bucket every document is verified, by exact weighted Jaccard similarity of
-whole texts, against the bucket's smallest doc_id. Those that fail are bucketed again without it, and so
-on until none is left; buckets of at most PAIRS such documents are settled by all their pairs. No bucket is skipped or cut.
-Verified pairs are closed to groups (connected components); the smallest doc_id of each is kept.
+Within a band's bucket pairs are weighed by their samples first: one is promising if it agrees in at least
+AGREE samples, three standard deviations below what the threshold would give. In a first pass each bucket's documents go to
+leaders (the smallest doc_id left takes all that are promising with it, and so on); the promising pairs are verified by exact
+weighted Jaccard similarity of whole texts and closed to groups. In a second pass every promising pair of a bucket whose
+documents are not yet in one group is verified. So the groups are those of all promising pairs,
+though a group of thousands of copies costs verifications in proportion to its size. No bucket is skipped or cut.
+The smallest doc_id of each group (connected component) is kept.
 
 A text without words (null, empty, punctuation) is in no group, nor is a row with a null doc_id. Rows with
 one doc_id are one document. Exact copies are near copies. An empty table gives no rows.
@@ -33,7 +36,8 @@ from .vector import CHUNK_BYTES, NONWORD, U64, Tokens, mix, shingles, slices
 THRESHOLD, SHINGLE, BITS = 0.5, 3, 18
 BANDS, ROWS = 18, 3
 SAMPLES = BANDS * ROWS
-PAIRS = 64
+#: Least samples that a promising pair agrees in.
+AGREE = int(SAMPLES * THRESHOLD - 3 * (SAMPLES * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 _rng = np.random.Generator(np.random.PCG64(8))
 _POOL = 1 << 16
 _R = _rng.gamma(2, 1, _POOL).astype(np.float32)
@@ -106,7 +110,9 @@ def sketch(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return doc[head], out
 
 
-def _banded(idf: np.ndarray):
+def _sketched(idf: np.ndarray):
+    """Rows (doc_id, keys, samples): the bands' keys, and a byte of each sample."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big):
@@ -118,12 +124,72 @@ def _banded(idf: np.ndarray):
                 with np.errstate(over="ignore"):
                     for j in range(ROWS):
                         keys = mix(keys * U64(0x9E3779B97F4A7C15) + s[:, j::ROWS].astype(U64) + U64(1))
-                ids = b.column(0).take(pa.array(np.repeat(rows, BANDS)))
-                yield pa.record_batch([ids, pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(rows))), pa.array(keys.ravel().view(np.int64))], names=["doc_id", "band", "key"])
+                    small = mix(s.astype(U64) + U64(7)).astype(np.uint8)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+                yield pa.record_batch([b.column(0).take(pa.array(rows)), lists, pa.array([x.tobytes() for x in small], pa.binary())], names=["doc_id", "keys", "samples"])
 
     return run
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, labels, samples) of each bucket, from rows (band, key, doc_id, label, samples) sorted by bucket and doc_id."""
+    held: list[tuple] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        band, key, doc, label = (b.column(i).to_numpy() for i in range(4))
+        samples = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        cut = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1
+        for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
+            if held and held[-1][0] != (band[lo], key[lo]):
+                yield tuple(np.concatenate(x) for x in list(zip(*held))[1:])
+                held = []
+            held.append(((band[lo], key[lo]), doc[lo:hi], label[lo:hi], samples[lo:hi]))
+    if held:
+        yield tuple(np.concatenate(x) for x in list(zip(*held))[1:])
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b, n = [], [], 0
+    for doc, _, samples in _buckets(batches):
+        while len(doc) > 1:
+            near = (samples[1:] == samples[0]).sum(1) >= AGREE
+            if near.any():
+                b.append(doc[1:][near])
+                a.append(np.full(len(b[-1]), doc[0]))
+                n += len(b[-1])
+            doc, samples = doc[1:][~near], samples[1:][~near]
+        if n > 100_000:
+            yield _edges(a, b)
+            a, b, n = [], [], 0
+    if n:
+        yield _edges(a, b)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Promising pairs of documents with different labels."""
+    a, b, n = [], [], 0
+    for doc, label, samples in _buckets(batches):
+        if (label == label[0]).all():
+            continue
+        for i in range(len(doc) - 1):
+            far = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            near = far[(samples[far] == samples[i]).sum(1) >= AGREE]
+            if len(near):
+                b.append(doc[near])
+                a.append(np.full(len(near), doc[i]))
+                n += len(near)
+        if n > 100_000:
+            yield _edges(a, b)
+            a, b, n = [], [], 0
+    if n:
+        yield _edges(a, b)
+
+
 def similarity(a: np.ndarray, texts_a: pa.Array, texts_b: pa.Array, idf: np.ndarray) -> np.ndarray:
     """Exact weighted Jaccard similarity of each text_b with text_a; 0 where one has no words.
 
@@ -167,40 +233,40 @@ def _verify(idf: np.ndarray):
     return run
 
 
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) with a < b: verified pairs, enough of them to connect each group; stored."""
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """((a, b) with a < b: verified pairs that connect every group, (doc_id, keep_id) of their groups)."""
     rows = pick(docs, doc_id="bigint", text="string").filter("doc_id is not null and text is not null")
     idf = inverse_frequencies(rows)
-    bands = rows.mapInArrow(_banded(idf), "doc_id bigint, band int, key bigint")
+    sketches = stored(rows.mapInArrow(_sketched(idf), "doc_id bigint, keys array<bigint>, samples binary"), "near-sketches")
     bucket = W.partitionBy("band", "key")
-    members = stored(bands.distinct().withColumn("n", F.count("*").over(bucket)).filter("n > 1").drop("n"), "near-buckets")
+    bands = sketches.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    members = stored(bands.withColumn("n", F.count("*").over(bucket)).filter("n > 1").drop("n").distinct(), "near-buckets")
     wanted = stored(members.select("doc_id").distinct(), "near-candidates")
     texts = stored(join_checked(rows, wanted, "doc_id", "left_semi", 16).groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    found, all_pairs, old = [], False, None
-    while True:
-        sized = members.withColumns({"n": F.count("*").over(bucket), "a": F.min("doc_id").over(bucket)}).filter("n > 1")
-        few = sized.filter(F.col("n") <= PAIRS) if all_pairs else None
-        star = sized.filter("doc_id > a") if few is None else sized.filter(F.col("n") > PAIRS).filter("doc_id > a")
-        pairs = star.select("a", F.col("doc_id").alias("b"))
-        if few is not None:
-            left = few.select("band", "key", F.col("doc_id").alias("a"))
-            pairs = pairs.unionByName(left.join(few.select("band", "key", F.col("doc_id").alias("b")), ["band", "key"]).filter("a < b").select("a", "b"))
-        pairs = stored(pairs.distinct(), "near-pairs")
+    sampled = stored(join_checked(sketches, wanted, "doc_id", "left_semi", 16).groupBy("doc_id").agg(F.min("samples").alias("samples")), "near-samples")
+    drop_stored(sketches)
+
+    def proposed(labels: DataFrame | None) -> DataFrame:
+        m = join_checked(members, sampled, "doc_id", "inner", SAMPLES + 48)
+        if labels is None:
+            m = m.withColumn("keep_id", F.col("doc_id"))
+        else:
+            m = m.join(labels, "doc_id", "left").withColumn("keep_id", F.coalesce("keep_id", "doc_id"))
+        ordered = m.select("band", "key", "doc_id", "keep_id", "samples").repartition("band", "key").sortWithinPartitions("band", "key", "doc_id")
+        return stored(ordered.mapInArrow(_leaders if labels is None else _across, "a bigint, b bigint").distinct(), "near-proposed")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        done = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(idf), "a bigint, b bigint, similarity double"), "near-verified")
-        found.append(done.filter(F.col("similarity") >= threshold))
-        failed = done.filter(F.col("similarity") < threshold).select("a", F.col("b").alias("doc_id"))
-        rest = stored(star.join(failed, ["a", "doc_id"], "left_semi").select("doc_id", "band", "key"), "near-rest")
-        if old is not None:
-            drop_stored(old)
-        drop_stored(pairs)
-        members, old, all_pairs = rest, rest, True
-        if rest.groupBy("band", "key").count().filter("count > 1").isEmpty():
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        done = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(idf), "a bigint, b bigint, similarity double")
+        return stored(done.filter(F.col("similarity") >= threshold).select("a", "b"), "near-verified")
+
+    first = verified(proposed(None))
+    groups = components(first)
+    second = verified(proposed(groups))
+    if second.isEmpty():
+        return first, groups
+    pairs = first.unionByName(second)
+    return pairs, components(pairs)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -225,7 +291,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keep_id): every document of a group but the kept one, which has the smallest doc_id."""
-    return components(similar_pairs(docs, threshold)).filter("doc_id <> keep_id")
+    return similar_pairs(docs, threshold)[1].filter("doc_id <> keep_id")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
