@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import Masked, drop_stored, join_checked, pick, stored
-from .vector import CHUNK_BYTES, NONWORD, U64, Tokens, mix, shingles, slices
+from .vector import NONWORD, U64, Tokens, mix, shingles, slices
 
 THRESHOLD, SHINGLE, BITS = 0.5, 3, 18
 BANDS, ROWS = 18, 3
@@ -190,45 +190,51 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(a, b)
 
 
-def similarity(a: np.ndarray, texts_a: pa.Array, texts_b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Exact weighted Jaccard similarity of each text_b with text_a; 0 where one has no words.
+class Verifier:
+    """Exact weighted Jaccard similarity over a stream of rows (a, b, text): a leader's row (b null) and then its members'."""
 
-    ``a`` numbers the texts_a: rows with one number have one text, whose features are taken once.
-    """
-    n = len(texts_b)
-    _, one, which = np.unique(a, return_index=True, return_inverse=True)
-    da, ha, ta = features(texts_a.take(pa.array(one)))
-    db, hb, tb = features(texts_b)
-    wa, wb = ta * idf[_bucket(ha)].astype(np.float64), tb * idf[_bucket(hb)].astype(np.float64)
-    with np.errstate(over="ignore"):
-        ka = mix(ha + (da + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
-        kb = mix(hb + (which[db] + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
-    order = np.argsort(ka)
-    ka, wa_sorted = ka[order], wa[order]
-    both = np.zeros(n)
-    if len(ka):
-        at = np.minimum(np.searchsorted(ka, kb), len(ka) - 1)
-        same = ka[at] == kb
-        both = np.bincount(db[same], np.minimum(wa_sorted[at[same]], wb[same]), n)
-    union = np.bincount(da, wa, len(one))[which] + np.bincount(db, wb, n) - both
-    return np.where(union > 0, both / np.maximum(union, 1e-12), 0.0)
-
-
-def _verify(idf: np.ndarray):
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
+        self.leader = -1
+        self.hash, self.weight = np.zeros(0, U64), np.zeros(0)
+
+    def feed(self, a: np.ndarray, member: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Similarity of every row to its leader; rows of leaders get 1. 0 where one has no words."""
+        row, h, tf = features(texts)
+        w = tf * self.idf[_bucket(h)].astype(np.float64)
+        # Leader 0 is the one carried over; a group's number is that of its first row here.
+        new = np.flatnonzero(~member)
+        number = np.searchsorted(a[new], a, "right")
+        own = ~member[row]
+        with np.errstate(over="ignore"):
+            salt = U64(0x9E3779B97F4A7C15)
+            ka = np.concatenate([mix(self.hash), mix(h[own] + number[row[own]].astype(U64) * salt)])
+            kb = mix(h + number[row].astype(U64) * salt)
+        wa = np.concatenate([self.weight, w[own]])
+        totals = np.bincount(number[row[own]], w[own], len(new) + 1)
+        totals[0] = self.weight.sum()
+        order = np.argsort(ka)
+        ka, wa = ka[order], wa[order]
+        both = np.zeros(len(a))
+        if len(ka) and len(kb):
+            at = np.minimum(np.searchsorted(ka, kb), len(ka) - 1)
+            same = ka[at] == kb
+            both = np.bincount(row[same], np.minimum(wa[at[same]], w[same]), len(a))
+        union = totals[number] + np.bincount(row, w, len(a)) - both
+        if len(new):
+            last = row == new[-1]
+            self.hash, self.weight = h[last], w[last]
+        return np.where(union > 0, both / np.maximum(union, 1e-12), 0.0)
+
+
+def _verify(idf: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            a = b.column(0).to_numpy()
-            # A text_a counts once for neighbouring rows that share it.
-            size = pc.binary_length(b.column(3)).to_numpy().astype(np.int64) + pc.binary_length(b.column(2)).to_numpy() * (np.diff(a, prepend=a[0] - 1) != 0)
-            size = np.concatenate([[0], np.cumsum(size)])
-            at = 0
-            while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK_BYTES, "right")) - 1)
-                c = b.slice(at, to - at)
-                yield pa.record_batch([c.column(0), c.column(1), pa.array(similarity(a[at:to], c.column(2), c.column(3), idf))], names=["a", "b", "similarity"])
-                at = to
+        v = Verifier(idf)
+        for big in batches:
+            for c in slices(big, 2):
+                member = ~np.array(c.column(1).is_null())
+                similar = v.feed(c.column(0).to_numpy(), member, c.column(2))
+                yield c.filter(pa.array(member & (similar >= threshold))).select(["a", "b"])
 
     return run
 
@@ -256,9 +262,11 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
         return stored(ordered.mapInArrow(_leaders if labels is None else _across, "a bigint, b bigint").distinct(), "near-proposed")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        done = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(idf), "a bigint, b bigint, similarity double")
-        return stored(done.filter(F.col("similarity") >= threshold).select("a", "b"), "near-verified")
+        # Each text is sent once per pair it is a member of, and a leader's once: no row holds two texts.
+        member = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "text")
+        leader = pairs.select("a").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.lit(None).cast("bigint").alias("b"), "text")
+        rows = member.unionByName(leader).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+        return stored(rows.mapInArrow(_verify(idf, threshold), "a bigint, b bigint"), "near-verified")
 
     first = verified(proposed(None))
     groups = components(first)
