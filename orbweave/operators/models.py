@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 class Embedder(Protocol):
@@ -95,10 +96,14 @@ def prompt(system: str, shots: list[tuple[str, str]], user: Column) -> Column:
     return F.array(*turns, turn("user", user))
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode compatibility form; only texts beyond ASCII need it."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility form; ASCII texts stay on the JVM's path when the column is filtered first."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return run(c)
 
 
 def png(image: np.ndarray) -> bytes:

@@ -150,7 +150,7 @@ def carve_decisions(overlaps: DataFrame, keys: list[str], cfg: Carve = Carve())
 def step_ratios(areas: DataFrame, keys: list[str], frame: str) -> DataFrame:
     """Larger over smaller area of neighbouring non-empty frames."""
     before = F.lag("area").over(W.partitionBy(*keys).orderBy(frame))
-    return areas.filter("area > 0").withColumn("_b", before).withColumn("step", F.greatest("_b", "area") / F.least("_b", "area")).drop("_b")
+    return areas.filter("area > 0").withColumn("_b", before).withColumn("step", F.when(F.col("_b").isNotNull(), F.greatest("_b", "area") / F.least("_b", "area"))).drop("_b")
 
 
 def identity_quality(areas: DataFrame, keys: list[str], frame: str, expected: int, cfg: IdentityQuality = IdentityQuality()) -> DataFrame:
