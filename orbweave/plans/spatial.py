@@ -310,3 +310,53 @@ def _(s, d):
     g = K.dilate(runs(1), ["obj"], 2, 60, 20)
     left = K.areas(K.subtract(runs(5), g, ["obj"]), ["obj"]).withColumnRenamed("area", "carved")
     return K.areas(g, ["obj"]).withColumnRenamed("area", "grown").join(left, "obj", "left").na.fill(0, ["carved"])
+
+
+@query("density_clusters", "V2 V9", "obj:i cluster:i n:i", f"""WITH RECURSIVE nb AS (SELECT a.obj, a.pid AS a, b.pid AS b FROM few a JOIN few b ON a.obj = b.obj AND {_D2} <= 2.25), co AS (SELECT obj, a FROM nb GROUP BY 1, 2 HAVING count(*) >= 4),
+  ln AS (SELECT nb.obj, nb.a, nb.b FROM nb JOIN co x ON x.obj = nb.obj AND x.a = nb.a JOIN co y ON y.obj = nb.obj AND y.a = nb.b), re(obj, p, c) AS (SELECT obj, a, a FROM co UNION SELECT ln.obj, ln.b, re.c FROM re JOIN ln ON ln.obj = re.obj AND ln.a = re.p),
+  lb AS (SELECT obj, p, min(c) AS c FROM re GROUP BY 1, 2), bo AS (SELECT nb.obj, nb.a AS p, min(lb.c) AS c FROM nb JOIN lb ON lb.obj = nb.obj AND lb.p = nb.b WHERE (nb.obj, nb.a) NOT IN (SELECT obj, a FROM co) GROUP BY 1, 2)
+  SELECT obj, c AS cluster, count(*) AS n FROM (SELECT * FROM lb UNION ALL SELECT * FROM bo) GROUP BY 1, 2""", "few")
+def _(s, d):
+    from ..operators.fusion import density_clusters
+
+    return density_clusters(S.few_points(s, d), "obj", "pid", 1.5, 4).groupBy("obj", "cluster").agg(F.count("*").alias("n"))
+
+
+@query("sparse_fusion", "G34 C5 M13", "pid:i object_id:i votes:i", """WITH pr AS (SELECT pid, f, floor((x - 4 * f) * 20 / (z + 5) + 30) AS u, floor((y - f) * 20 / (z + 5) + 15) AS v, z + 5 AS zz FROM (SELECT DISTINCT pid, x, y, z FROM few), (SELECT unnest(range(0, 5)) AS f)),
+  vi AS (SELECT * FROM (SELECT *, min(zz) OVER (PARTITION BY f, u, v) AS m FROM pr WHERE u >= 0 AND u < 200 AND v >= 0 AND v < 100) WHERE zz <= m + greatest(0.05, 0.03 * m)),
+  ms AS (SELECT k AS object_id, f, 20 + 10 * k AS x0, 45 + 10 * k AS x1 FROM (SELECT unnest(range(0, 6)) AS k), (SELECT unnest(range(0, 5)) AS f) WHERE (k + f) % 4 > 0),
+  vo AS (SELECT object_id, pid, count_if(u >= x0 AND u < x1 AND v >= 5 AND v < 60) AS votes, count(*) AS seen FROM vi JOIN ms USING (f) GROUP BY 1, 2), en AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM vo WHERE votes >= 1)
+  SELECT pid, object_id, votes FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY object_id % 2 DESC, votes / CAST(seen AS DOUBLE) DESC, votes DESC, n, object_id) AS r FROM en) WHERE r = 1""", "few")
+def _(s, d):
+    from ..functions import poses as PO
+    from ..operators import fusion as FU
+
+    pts = S.few_points(s, d).select(F.col("pid").alias("point_id"), "x", "y", "z").distinct()
+    f = F.col("id").cast("double")
+    cams = s.range(5).select(F.col("id").alias("frame_id"), PO.matrix(1, 0, 0, -4 * f, 0, 1, 0, -f, 0, 0, 1, 5, 0, 0, 0, 1).alias("extrinsic"), F.lit(20.0).alias("fx"), F.lit(20.0).alias("fy"), F.lit(30).alias("cx"), F.lit(15).alias("cy"), F.lit(200).alias("w"), F.lit(100).alias("h"))
+    k = s.range(6).select(F.col("id").alias("object_id"))
+    runs = k.crossJoin(s.range(5).select(F.col("id").alias("frame_id"))).filter("(object_id + frame_id) % 4 > 0").select("object_id", "frame_id", F.explode(F.sequence(F.lit(5), F.lit(59))).alias("y"), (20 + 10 * F.col("object_id")).alias("x0"), (45 + 10 * F.col("object_id")).alias("x1"))
+    v = FU.votes(FU.project_visible(pts, cams, []), runs, [])
+    return FU.exclusive_owners(v, k.withColumn("priority", F.col("object_id") % 2), []).withColumnRenamed("point_id", "pid")
+
+
+@query("scene_graph", "M12 V19 V24 A10 A11 J11 X6", "scene:i a:i b:i reasons:s answer:s", None)
+def _(s, d):
+    from ..config import Graph
+    from . import pipelines as PL
+
+    x = S.detections(s, d).select((F.col("frame") % 5).alias("scene"), "class_id", F.col("frame").alias("frame_id"), "idx", "x1", "y1", "x2", "y2")
+    one = x.groupBy("scene", "frame_id", F.col("class_id").alias("object_id")).agg(*(F.min_by(c, "idx").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    objects = one.select("scene", "object_id").distinct().withColumn("is_background", F.col("object_id") % 7 == 0)
+    clusters = one.select("scene", "frame_id").distinct().withColumn("cluster", (F.col("frame_id") % 997).cast("int"))
+    return PL.scene_graph(objects, one, clusters, cfg=Relations(min_above=0.5, min_support=0.04, background_support=0.04, min_x_support=0.0, containment_support=0.2), graph=Graph(max_candidates=1000))[0]
+
+
+@query("scene_evaluation", "M14 J6 J7 A14 A15 A16", "scene:s miou:f classes:i", None)
+def _(s, d):
+    from . import pipelines as PL
+
+    x = S.few_points(s, d)
+    gt = x.filter("obj < 50").select((F.col("obj") % 2).cast("string").alias("scene"), (F.col("obj") * 1000000 + F.col("pid")).alias("point_id"), "x", "y", "z", (F.col("x") % 4).cast("int").alias("class"))
+    pred = x.filter("obj >= 50").select((F.col("obj") % 2).cast("string").alias("scene"), (F.col("obj") * 1000000 + F.col("pid")).alias("pid"), "x", "y", "z", (F.col("x") % 4).cast("int").alias("label"))
+    return PL.evaluate_scenes(gt, pred, 1.0)[1]

@@ -230,3 +230,20 @@ def test_maintenance_drops_weak_objects(spark):
     d = detections(spark, 4).filter("scene = 's' and (det < 2 or frame = 0)")
     out = M.map_scenes(d, "scene", "frame", "det", "f", 1.2, maintain=2, min_detections=2).collect()
     assert {r.object for r in out if r.frame == 3} == {0, 1}
+
+
+def test_images(spark, tmp_path):
+    from orbweave.sources import images as I
+
+    a = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    assert (I.resize_linear(a.astype(float), 4, 4) == a).all() and I.resize_nearest(a, 2, 2).tolist() == a[::2, ::2].tolist()
+    assert np.allclose(I.resize_linear(np.array([[0.0, 2.0]]), 1, 1), 1.0)
+    assert np.allclose(I.undistort(a, 2, 2, 1.5, 1.5, ()), a)
+    (tmp_path / "c.png").write_bytes(MD.png(a))
+    np.save(tmp_path / "d.npy", np.array([[1000, 2000]]))
+    f = spark.read.format("binaryFile").load(str(tmp_path))
+    c = I.read_images(f.filter("path like '%png'"), 2, 2).first()
+    assert (c.width, c.height, c.channels, len(c.pixels)) == (2, 2, 3, 12)
+    assert I.read_images(f.filter("path like '%npy'"), depth_scale=1000.0).first().pixels == [1.0, 2.0]
+    with pytest.raises(RuntimeError):
+        I.decode("x.exr", b"")
