@@ -71,8 +71,7 @@ def bernoulli(df: DataFrame, key: Column, ratio: float, seed: int = 0) -> DataFr
 
 def gather(df: DataFrame, order: Column, index: list[int]) -> DataFrame:
     """Rows by their rank in ``order``; order and repeats of ``index`` are kept in column ``pos``."""
-    from pyspark.sql import Window as W
+    from .views import global_rank
 
-    ranked = df.withColumn("_rank", F.row_number().over(W.orderBy(order)) - 1)
-    wanted = df.sparkSession.createDataFrame([(p, i) for p, i in enumerate(index)], "pos int, _rank int")
-    return ranked.join(F.broadcast(wanted), "_rank").drop("_rank")
+    wanted = df.sparkSession.createDataFrame([(p, i) for p, i in enumerate(index)], "pos int, _rank bigint")
+    return global_rank(df, order, name="_rank").join(F.broadcast(wanted), "_rank").drop("_rank")

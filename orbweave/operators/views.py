@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
+
+def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """The frame with its 0-based rank in a total order, without gathering it in one task: a range-partitioned sort numbers the rows
+    within its partitions, and the partitions' counts give their bases by prefix sums (one row per partition)."""
+    numbered = materialize(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_m", 33)
+    counts = numbered.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    base = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return numbered.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_base")
+
 
 def best_per(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
