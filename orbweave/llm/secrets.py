@@ -7,9 +7,10 @@ encoding is the smallest of ENCODINGS that has all its characters; digits alone
   alphabet's middle, and lag-1 serial correlation. A secret must not be rejected (least p * 3 >= ALPHA).
 * *ordinary text*: draws from the corpus. The same three questions are put to the corpus's own character, character-pair
   and class-change frequencies, counted over all documents: is the run's mean log frequency too low, are its
-  characters too improbable after one another, does it change between letter cases and digits too often? Each score is
-  centred and scaled by its median and quartiles over all candidates of its length class (an empirical null), p is three times the
-  least of the three, and Benjamini-Hochberg runs within each length class at level ``q``,
+  characters too improbable after one another (both regardless of case), does it change between letter cases and digits too often?
+  The first two scores are standardised for length, then centred and scaled by their median and quartiles over all runs of
+  REFERENCE to MIN_LENGTH characters (an empirical null: such runs are words, whatever the share of secrets among long runs); p is
+  three times the least of the three, and Benjamini-Hochberg runs within each length class at level ``q``,
   so short runs, of which there are many and of low power, need stronger evidence. P-values are rounded up to a grid of
   eighths of a power of two, which keeps them valid and the counts of fixed size.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .frames import pick, stored
 from .vector import char_offsets, raw, slices
 
-MIN_LENGTH, ALPHA, Q = 16, 0.001, 0.001
+MIN_LENGTH, REFERENCE, ALPHA, Q = 16, 8, 0.001, 0.001
 #: Lower bounds of the length classes.
 CLASSES = np.array([16, 20, 24, 32, 48, 96])
 _lower, _upper, _digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -48,6 +49,8 @@ _HAS = np.zeros(256, np.uint16)  # bit e: the character is in encoding e
 for _e in range(len(NAMES)):
     _HAS[_CODE[_e] >= 0] |= 1 << _e
 _RUN = _HAS > 0
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _KIND = np.zeros(256, np.int8)
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 
@@ -67,8 +70,12 @@ def runs(b: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
     return start[ok], end[ok]
 
 
+CHANGES, LINKS = -1, -2
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(128 * 128, np.int64)
+    """(pair, n): neighbours within runs, regardless of case; under CHANGES those of different kinds, under LINKS all."""
+    total, changes, links = np.zeros(128 * 128, np.int64), 0, 0
     for big in batches:
         for part in slices(big):
             b, off = raw(part.column(1))
@@ -77,16 +84,21 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head[s] += 1
             head[e - 1] -= 1
             at = np.flatnonzero(np.cumsum(head)[: len(b)])
-            total += np.bincount(b[at].astype(np.int64) * 128 + b[at + 1], minlength=128 * 128)
+            links += len(at)
+            changes += int((_KIND[b[at]] != _KIND[b[at + 1]]).sum())
+            f = _FOLD[b]
+            total += np.bincount(f[at].astype(np.int64) * 128 + f[at + 1], minlength=128 * 128)
     at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+    yield pa.record_batch([pa.array([*at.tolist(), CHANGES, LINKS], pa.int64()), pa.array([*total[at].tolist(), changes, links], pa.int64())], names=["pair", "n"])
 
 
 class Ordinary:
     """Frequencies of characters, pairs and class changes within the corpus's runs."""
 
-    def __init__(self, pairs: np.ndarray):
-        c = pairs.reshape(128, 128) + 0.01 * np.outer(_RUN[:128], _RUN[:128])
+    def __init__(self, pairs: np.ndarray, changes: float, links: float):
+        known = np.zeros(128, bool)
+        known[_FOLD[np.flatnonzero(_RUN)]] = True
+        c = pairs.reshape(128, 128) + 0.01 * np.outer(known, known)
         p = c / c.sum()
         one = p.sum(1)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -96,8 +108,17 @@ class Ordinary:
         self.v1 = float((one * self.single**2).sum() - self.m1**2)
         self.m2 = float((p * self.after).sum())
         self.v2 = float((p * self.after**2).sum() - self.m2**2)
-        kind = _KIND[:128]
-        self.change = min(0.5, float(p[kind[:, None] != kind[None, :]].sum()))
+        self.change = min(0.5, changes / max(links, 1.0))
+
+    def scores(self, c: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Standardised improbability of the runs' characters and of their pairs; c: the runs' bytes one after another."""
+        f = _FOLD[c].astype(np.int64)
+        s1 = np.add.reduceat(self.single[f], first)
+        link = np.zeros(len(c))
+        link[1:] = self.after[f[:-1], f[1:]]
+        link[first] = 0.0
+        s2 = np.add.reduceat(link, first)
+        return -(s1 - n * self.m1) / np.sqrt(np.maximum(n * self.v1, 1e-9)), -(s2 - (n - 1) * self.m2) / np.sqrt(np.maximum((n - 1) * self.v2, 1e-9))
 
 
 def tail(z: np.ndarray) -> np.ndarray:
@@ -159,28 +180,37 @@ def score(b: np.ndarray, s: np.ndarray, e: np.ndarray, model: Ordinary) -> tuple
         return ok, low, np.zeros((0, 3)), np.zeros(0), np.zeros(0), np.zeros(0)
     first = np.cumsum(n) - n
     tests = battery(_CODE[np.repeat(low, n), c].astype(np.int64), first, n, _SIZE[low])
-    c = c.astype(np.int64)
-    s1 = np.add.reduceat(model.single[c], first)
-    inner = np.ones(len(c), bool)
-    inner[first] = False
-    link, change = np.zeros(len(c)), np.zeros(len(c))
-    link[1:] = np.where(inner[1:], model.after[c[:-1], c[1:]], 0.0)
-    change[1:] = inner[1:] & (_KIND[c[1:]] != _KIND[c[:-1]])
-    s2, s3 = np.add.reduceat(link, first), np.add.reduceat(change, first)
-    z1 = -(s1 - n * model.m1) / np.sqrt(np.maximum(n * model.v1, 1e-9))
-    z2 = -(s2 - (n - 1) * model.m2) / np.sqrt(np.maximum((n - 1) * model.v2, 1e-9))
+    z1, z2 = model.scores(c, first, n)
+    change = np.zeros(len(c))
+    change[1:] = _KIND[c[1:]] != _KIND[c[:-1]]
+    change[first] = 0
+    s3 = np.add.reduceat(change, first)
     x, q = s3 / (n - 1), max(model.change, 1e-6)
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = np.where(x > 0, x * np.log(x / q), 0) + np.where(x < 1, (1 - x) * np.log((1 - x) / (1 - q)), 0)
     return ok, low, tests, z1, z2, np.where(x > q, -(n - 1) * kl, 0.0)  # Chernoff bound
 
 
+#: Band of the rows that count the reference's scores: (z1, z2) of a cell of the grid, ``length`` of them.
+COUNTS = -1
+
+
 def _candidates(model: Ordinary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros((2, 2001), np.int64)
         for big in batches:
             for part in slices(big):
                 b, off = raw(part.column(1))
-                s, e = runs(b, off, MIN_LENGTH)
+                s, e = runs(b, off, REFERENCE)
+                short = e - s < MIN_LENGTH
+                if short.any():
+                    n = (e - s)[short]
+                    first = np.cumsum(n) - n
+                    c = b[np.repeat(s[short] - first, n) + np.arange(n.sum())]
+                    words = np.add.reduceat((_KIND[c] >= 2).astype(np.int64), first) > 0
+                    for k, z in enumerate(model.scores(c, first, n)):
+                        grid[k] += np.bincount(np.clip(np.floor(z[words] * 10), -1000, 1000).astype(np.int64) + 1000, minlength=2001)
+                s, e = s[~short], e[~short]
                 if not len(s):
                     continue
                 ok, low, tests, z1, z2, lp3 = score(b, s, e, model)
@@ -192,6 +222,15 @@ def _candidates(model: Ordinary):
                      pa.array(NAMES).take(pa.array(low)), pa.array((e - s).astype(np.int32)), pa.array(band.astype(np.int32)), *(pa.array(t) for t in tests.T), pa.array(z1), pa.array(z2), pa.array(lp3)],
                     names=FIELDS,
                 )
+        which, cell = np.nonzero(grid)
+        n = len(which)
+        z = (cell - 1000) / 10 + 0.05
+        none = np.full(n, np.nan)
+        yield pa.record_batch(
+            [pa.nulls(n, pa.int64()), pa.array(which.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(grid[which, cell].astype(np.int32)), pa.array(np.full(n, COUNTS, np.int32)),
+             *(pa.array(none) for _ in range(3)), pa.array(z), pa.array(none), pa.array(none)],
+            names=FIELDS,
+        )
 
     return run
 
@@ -201,26 +240,25 @@ def scan(docs: DataFrame, q: float = Q, alpha: float = ALPHA) -> DataFrame:
     rows = pick(docs, doc_id="bigint", text="string")
     counted = rows.mapInArrow(_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros(128 * 128)
-    pairs[counted.pair.to_numpy()] = counted.n.to_numpy()
-    found = stored(rows.mapInArrow(_candidates(Ordinary(pairs)), SCHEMA), "secret-candidates")
-    centre = {}
-    for z in ("z1", "z2"):
-        step = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col(z) * 10))).alias("g")
-        table = found.groupBy("band", step).agg(F.count("*").alias("n")).toPandas()
-        for band, t in table.groupby("band"):
-            t = t.sort_values("g")
+    real = counted[counted.pair >= 0]
+    pairs[real.pair.to_numpy()] = real.n.to_numpy()
+    of = lambda k: float(counted.n[counted.pair == k].sum())
+    both = stored(rows.mapInArrow(_candidates(Ordinary(pairs, of(CHANGES), of(LINKS))), SCHEMA), "secret-candidates")
+    found = both.filter(F.col("band") != COUNTS)
+    centre = {"z1": (0.0, 1.0), "z2": (0.0, 1.0)}
+    table = both.filter(F.col("band") == COUNTS).groupBy("start", "z1").agg(F.sum("length").alias("n")).toPandas()
+    for which, t in table.groupby("start"):
+        t = t.sort_values("z1")
+        if t.n.sum() >= 100:  # with fewer reference runs the theoretical null stands
             part = t.n.cumsum() / t.n.sum()
-            lo, mid, hi = (float(t.g[part >= f].iloc[0]) / 10 + 0.05 for f in (0.25, 0.5, 0.75))
-            # With fewer candidates the theoretical null stands.
-            centre[z, int(band)] = (mid, max(1.0, (hi - lo) / 1.349)) if t.n.sum() >= 100 else (0.0, 1.0)
+            lo, mid, hi = (float(t.z1[part >= f].iloc[0]) for f in (0.25, 0.5, 0.75))
+            centre["z1" if which == 0 else "z2"] = (mid, max(1.0, (hi - lo) / 1.349))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            band = b.column(5).to_numpy()
             parts = [b.column(11).to_numpy()]
             for i, z in ((9, "z1"), (10, "z2")):
-                m = np.array([centre.get((z, k), (0.0, 1.0)) for k in range(len(CLASSES))])[band].reshape(-1, 2)
-                parts.append(tail((b.column(i).to_numpy() - m[:, 0]) / m[:, 1]))
+                parts.append(tail((b.column(i).to_numpy() - centre[z][0]) / centre[z][1]))
             log_p = np.minimum(0.0, np.min(parts, axis=0) + np.log(3))
             grid = np.minimum(np.floor(-log_p / np.log(2) * 8), 8000).astype(np.int32)
             yield pa.record_batch([*(b.column(i) for i in range(9)), pa.array(grid)], names=[*FIELDS[:9], "grid"])
