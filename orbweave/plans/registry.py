@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 IDS: dict[str, str] = {}
@@ -42,7 +44,7 @@ def query(name: str, ids: str, columns: str, sql: str | None = None, uses: str =
 
     def wrap(fn):
         def run(spark: SparkSession, d: str) -> DataFrame:
-            df = fn(spark, d)
+            df = fn(importable(spark), d)
             kinds = {"i": lambda c: c.cast("bigint"), "f": lambda c: F.round(c.cast("double"), 6) + 0.0, "s": lambda c: c.cast("string"), "b": lambda c: c.cast("boolean")}
             return df.select(*(kinds[k](F.col(n)).alias(n) for n, k in spec))
 

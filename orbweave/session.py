@@ -30,6 +30,18 @@ def get_session(cores: int | str = "*", app: str = "orbweave", **conf: str) -> S
     return spark
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver found it, if it was not installed or shipped otherwise.
+
+    Harmless on a cluster, where the package comes with ``--py-files`` or the image.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), root]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
