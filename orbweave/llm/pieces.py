@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .frames import pick
-from .vector import U64, Tokens, slices
+from .vector import U64, Tokens, slices, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
@@ -40,10 +40,10 @@ _ONLY_BLANK[32] = True
 LONG = 64
 #: Of a length that fewer new words have, too: a whole-batch pass has a cost of its own.
 FEW = 100
-#: Words that a worker keeps; the kept ones are dropped at once when there are more.
+#: Words that a task keeps; the kept ones are dropped at once when there are more.
 CACHE = 400_000
 #: Bytes of text encoded at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _B = U64(0xD1342543DE82EF95)
 _B_INV = U64(pow(0xD1342543DE82EF95, -1, 2**64))
 
@@ -171,7 +171,7 @@ def nbest(v: Vocabulary, word: str, n: int) -> list[tuple[float, list[int]]]:
 
 
 class Encoder:
-    """Encodes whole batches; keeps the words met."""
+    """Encodes whole batches; keeps the words met, as sorted hashes with flat arrays beside them."""
 
     def __init__(self, v: Vocabulary, n: int = NBEST):
         self.v, self.n = v, n
@@ -179,39 +179,60 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Forget all words but the lone blank mark, which is word 0."""
+        self.hash, self.slot = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.score, self.loss = np.zeros(0), np.zeros(0)
         self.pieces = np.zeros(0, np.int32)
         self.more.clear()
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        self._learn([MARK])
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The word of each hash, -1 if not kept."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, self.slot[at], -1)
+
+    def keep(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Learn new words under their hashes."""
+        first = len(self.start)
+        self._learn(words)
+        both = np.concatenate([self.hash, hashes])
+        slot = np.concatenate([self.slot, np.arange(first, first + len(words), dtype=np.int32)])
+        order = np.argsort(both, kind="stable")
+        self.hash, self.slot = both[order], slot[order]
+
+    def _learn(self, words: list[str]) -> None:
         """Best path, its score and the second best's loss of new words."""
-        got: list = [None] * len(words)
         groups: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             groups.setdefault(len(w), []).append(k)
+        n = len(words)
+        sizes, score, loss = np.zeros(n, np.int32), np.zeros(n), np.zeros(n)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # (word of each piece, pieces), words' pieces in order
         for size, members in groups.items():
             if size > LONG or len(members) < FEW:
                 for k in members:
                     two = nbest(self.v, words[k], 2)
-                    got[k] = (two[0][1], two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf)
+                    score[k], loss[k] = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf
+                    sizes[k] = len(two[0][1])
+                    parts.append((np.full(sizes[k], k), np.array(two[0][1], np.int32)))
             else:
-                step = max(1, 200_000 // size)
+                step = max(1, 100_000 // size)
                 for a in range(0, len(members), step):
-                    part = members[a : a + step]
-                    for k, r in zip(part, self._viterbi([words[k] for k in part], size)):
-                        got[k] = r
-        base = len(self.start)
-        sizes = np.array([len(g[0]) for g in got], np.int64)
-        self.start = np.concatenate([self.start, len(self.pieces) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.score = np.concatenate([self.score, [g[1] for g in got]])
-        self.loss = np.concatenate([self.loss, [g[2] for g in got]])
-        self.pieces = np.concatenate([self.pieces, np.fromiter((i for g in got for i in g[0]), np.int32, int(sizes.sum()))])
-        self.known.update(zip(hashes.tolist(), range(base, base + len(words))))
-
-    def _viterbi(self, words: list[str], size: int) -> list[tuple[list[int], float, float]]:
+                    part = np.array(members[a : a + step])
+                    owner, ids, score[part], loss[part] = self._viterbi([words[k] for k in part], size)
+                    sizes[part] = np.bincount(owner, minlength=len(part))
+                    parts.append((part[owner], ids))
+        owner, ids = (np.concatenate(x) for x in zip(*parts))
+        ids = ids[np.argsort(owner, kind="stable")]
+        self.start = np.concatenate([self.start, len(self.pieces) + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.size, self.score, self.loss = np.concatenate([self.size, sizes]), np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        self.pieces = np.concatenate([self.pieces, ids])
+
+    def _viterbi(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of words of one length: (word of each piece, pieces, best scores, losses of the second best)."""
         v, m = self.v, len(words)
         c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size).T.copy()
         prefix = np.zeros((size + 1, m), U64)
@@ -225,7 +246,7 @@ class Encoder:
                 power, back[j + 1] = power * _B, back[j] * _B_INV
             best = np.full((size + 1, m), -np.inf)
             best[0] = 0
-            came = np.zeros((size + 1, m), np.int64)
+            came = np.zeros((size + 1, m), np.int16)
             for j in range(1, size + 1):
                 for i in range(max(0, j - v.longest), j):
                     h = (prefix[j] - prefix[i]) * back[i] * U64(0xFF51AFD7ED558CCD)
@@ -250,25 +271,26 @@ class Encoder:
             on[pos, rows] = True
             pos = np.where(pos > 0, came[pos, rows], 0)
         second = np.full(m, -np.inf)
-        for (i, j), s in score.items():
+        path: list[tuple[np.ndarray, np.ndarray]] = []
+        for (i, j), s in score.items():  # by end, so that a word's pieces come in order
             used = on[j] & (came[j] == i)
             t = best[i] + s + rest[j]
             t[used] = -np.inf
             np.maximum(second, t, out=second)
-        out = []
-        loss = best[size] - second
-        paths: list[list[int]] = [[] for _ in range(m)]
-        for j in range(1, size + 1):
-            for k in np.flatnonzero(on[j]).tolist():
-                i = int(came[j, k])
-                p = int(ident[i, j][k])
-                if p >= 0:
-                    paths[k].append(p)
-                else:
-                    paths[k] += v.byte_ids(words[k][i])
-        for k in range(m):
-            out.append((paths[k], float(best[size, k]), float(loss[k])))
-        return out
+            at = np.flatnonzero(used)
+            if not len(at):
+                continue
+            k = ident[i, j][at]
+            if i == j - 1 and (k < 0).any():
+                path.append((at[k >= 0], k[k >= 0]))
+                for char in np.unique(c[i][at[k < 0]]):
+                    same = at[k < 0][c[i][at[k < 0]] == char]
+                    path += [(same, np.full(len(same), byte)) for byte in v.byte_ids(chr(char))]
+            else:
+                path.append((at, k))
+        owner, ids = (np.concatenate(x) for x in zip(*path))
+        order = np.argsort(owner, kind="stable")
+        return owner[order], ids[order].astype(np.int32), best[size], best[size] - second
 
     def _alternatives(self, key: int, word: str) -> list[tuple[float, list[int]]]:
         """(loss, ids) of a word's segmentations but the best, by loss."""
@@ -284,18 +306,14 @@ class Encoder:
         n = len(texts)
         null = np.array(texts.is_null())
         distinct, first, which = np.unique(tok.hash, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        if len(self.hash) > CACHE:
             self.clear()
         buffer = tok.bytes.tobytes()
         bounds = list(zip(tok.start[first].tolist(), tok.end[first].tolist()))
-        blank = -1
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if blank not in self.known:
-            self._learn(np.array([blank]), [MARK])
-        if new:
-            self._learn(distinct[new], [MARK + buffer[bounds[k][0] : bounds[k][1]].decode("utf-8", "surrogatepass") for k in new])
-        index = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[which]
+        new = np.flatnonzero(self.find(distinct) < 0)
+        if len(new):
+            self.keep(distinct[new], [MARK + buffer[bounds[k][0] : bounds[k][1]].decode("utf-8", "surrogatepass") for k in new.tolist()])
+        index = self.find(distinct)[which]
         # Words in order, a lone mark for each blank beyond the one before a word.
         gap = np.zeros(len(tok.start), np.int64)
         if len(gap):
@@ -307,7 +325,7 @@ class Encoder:
         tail[has] = tok.off[1:][has] - tok.end[tok.first[1:][has] - 1]
         tail[~has] = np.diff(tok.off)[~has] + (np.diff(tok.off)[~has] > 0)
         words = np.diff(tok.first) + np.bincount(tok.doc, gap, n).astype(np.int64) + tail
-        lone = self.known[blank]
+        lone = 0
         unit = np.full(int(words.sum()), lone)
         begin = np.concatenate([[0], np.cumsum(words)])
         place = begin[tok.doc] + np.arange(len(tok.start)) - tok.first[tok.doc]
@@ -392,20 +410,21 @@ def expand(ids: list[int], word_sizes: list[int], changes: list) -> list[int]:
     return out
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_vocabularies: dict[str, Vocabulary] = {}
 
 
 def _run(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, n)
-        if key not in _encoders:
-            _encoders[key] = Encoder(Vocabulary(path), n)
+        if path not in _vocabularies:
+            _vocabularies[path] = Vocabulary(path)
+        encoder = Encoder(_vocabularies[path], n)
         for big in batches:
             for b in slices(big, limit=BATCH_BYTES):
-                r = _encoders[key].encode(b.column(1))
+                r = encoder.encode(b.column(1))
                 yield pa.record_batch([b.column(0), *r.flatten()], names=["doc_id", "ids", "word_sizes", "nbest", "exact"])
+                del r
 
-    return run
+    return tidy(run)
 
 
 SCHEMA = "doc_id bigint, ids array<int>, word_sizes array<int>, nbest array<struct<score: double, changes: array<struct<word: int, ids: array<int>>>>>, exact boolean"
