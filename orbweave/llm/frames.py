@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: Largest build side, in bytes of rows, that is broadcast; beyond it the same join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -18,6 +20,7 @@ def pick(df: DataFrame, **cols: tuple[str, str] | str) -> DataFrame:
     from ours in case alone, neither matter nor make a reference ambiguous. Of several columns
     with one name the first counts. A missing column raises ValueError.
     """
+    importable(df.sparkSession)
     names = df.columns
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     out = []
@@ -33,6 +36,7 @@ class Masked:
     """A frame with its columns renamed by position (``c0``, ``c1`` ...), so that helper columns can't clash."""
 
     def __init__(self, df: DataFrame):
+        importable(df.sparkSession)
         self.names = df.columns
         self.df = df.toDF(*(f"c{i}" for i in range(len(self.names))))
         self.cols = self.df.columns

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import Masked, pick, stored
-from .vector import slices
+from .vector import slices, tidy
 
 BITS = 16
 #: Most labelled rows the model is fitted on.
@@ -74,7 +74,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     """idf of every hashed n-gram over all of ``rows`` (doc_id, text); a table of fixed size."""
-    counts = rows.mapInArrow(_frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(tidy(_frequencies), "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     df, total = np.zeros(1 << BITS), int(counts.n[counts.f == -1].sum())
     real = counts[counts.f >= 0]
     df[real.f.to_numpy()] = real.n.to_numpy()
@@ -195,7 +195,7 @@ def _predict(model: Model, text_at: int, keep: float | None):
 def identify(docs: DataFrame, model: Model | None = None, min_prob: float = MIN_PROB) -> DataFrame:
     """(doc_id, lang, prob, accepted) of every row; one scan once the model is there, no shuffle."""
     model = model or train(docs)
-    found = pick(docs, doc_id="bigint", text="string").mapInArrow(_predict(model, 1, None), "doc_id bigint, lang string, prob double")
+    found = pick(docs, doc_id="bigint", text="string").mapInArrow(tidy(_predict(model, 1, None)), "doc_id bigint, lang string, prob double")
     return found.withColumn("accepted", (F.col("lang") != "und") & (F.col("prob") >= min_prob))
 
 
@@ -204,7 +204,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, min_prob: float
     model = model or train(docs)
     m = Masked(docs)
     at = m.names.index("text")
-    return m.restore(m.df.mapInArrow(_predict(model, at, min_prob), m.df.schema))
+    return m.restore(m.df.mapInArrow(tidy(_predict(model, at, min_prob)), m.df.schema))
 
 
 __all__ = ["Model", "identify", "keep_identified", "stored", "train"]

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import Masked, drop_stored, join_checked, pick, stored
-from .vector import NONWORD, U64, Tokens, mix, shingles, slices
+from .vector import NONWORD, U64, Tokens, mix, shingles, slices, tidy
 
 THRESHOLD, SHINGLE, BITS = 0.5, 3, 18
 BANDS, ROWS = 18, 3
@@ -75,7 +75,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     """idf by bucket, over all of ``rows`` (doc_id, text)."""
-    counts = rows.mapInArrow(_frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(tidy(_frequencies), "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     df, total = np.zeros(1 << BITS), int(counts.n[counts.f == -1].sum())
     real = counts[counts.f >= 0]
     df[real.f.to_numpy()] = real.n.to_numpy()
@@ -243,7 +243,7 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     """((a, b) with a < b: verified pairs that connect every group, (doc_id, keep_id) of their groups)."""
     rows = pick(docs, doc_id="bigint", text="string").filter("doc_id is not null and text is not null")
     idf = inverse_frequencies(rows)
-    sketches = stored(rows.mapInArrow(_sketched(idf), "doc_id bigint, keys array<bigint>, samples binary"), "near-sketches")
+    sketches = stored(rows.mapInArrow(tidy(_sketched(idf)), "doc_id bigint, keys array<bigint>, samples binary"), "near-sketches")
     bucket = W.partitionBy("band", "key")
     bands = sketches.select("doc_id", F.posexplode("keys").alias("band", "key"))
     members = stored(bands.withColumn("n", F.count("*").over(bucket)).filter("n > 1").drop("n").distinct(), "near-buckets")
@@ -266,7 +266,7 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
         member = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "text")
         leader = pairs.select("a").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.lit(None).cast("bigint").alias("b"), "text")
         rows = member.unionByName(leader).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
-        return stored(rows.mapInArrow(_verify(idf, threshold), "a bigint, b bigint"), "near-verified")
+        return stored(rows.mapInArrow(tidy(_verify(idf, threshold)), "a bigint, b bigint"), "near-verified")
 
     first = verified(proposed(None))
     groups = components(first)

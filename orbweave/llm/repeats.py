@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import Masked, join_checked, pick, stored
-from .vector import SPACE, U64, Tokens, mix, slices
+from .vector import SPACE, U64, Tokens, mix, slices, tidy
 
 THRESHOLD, K, DIGIT = 50, 8, 5
 #: Rows whose buckets are sorted together; a bucket is never split.
@@ -202,15 +202,15 @@ def repeated_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if threshold < K:
         raise ValueError(f"the threshold must be at least {K}")
     rows = pick(docs, doc_id="bigint", text="string").filter("doc_id is not null and text is not null")
-    found = stored(rows.mapInArrow(_count(threshold), "doc_id bigint, key bigint, at int"), "anchors")
+    found = stored(rows.mapInArrow(tidy(_count(threshold)), "doc_id bigint, key bigint, at int"), "anchors")
     again = stored(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "anchors-again")
     wanted = stored(join_checked(found, again, "key", "left_semi", 16).groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "anchors-wanted")
     size = wanted.agg(F.sum(F.size("keys") * 8 + 32)).first()[0] or 0
     from .frames import BROADCAST_BYTES
 
     with_keys = rows.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "doc_id").select("doc_id", "text", "keys")
-    stretches = with_keys.mapInArrow(_stretches(threshold), "key bigint, doc_id bigint, start int, windows int, tokens binary")
-    parts = stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(threshold), "doc_id bigint, start_word int, end_word int, copies bigint, first boolean")
+    stretches = with_keys.mapInArrow(tidy(_stretches(threshold)), "key bigint, doc_id bigint, start int, windows int, tokens binary")
+    parts = stretches.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_sort(threshold)), "doc_id bigint, start_word int, end_word int, copies bigint, first boolean")
     order = W.partitionBy("doc_id", "first").orderBy("start_word", "end_word")
     before = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(before >= F.col("start_word"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
