@@ -28,7 +28,8 @@ from .vector import slices, tidy
 BITS = 16
 #: Most labelled rows the model is fitted on.
 SAMPLE = 4000
-MIN_PROB = 0.5
+#: Even odds of four languages are 0.25; below this the language isn't told. Short clean texts often reach no more than 0.4.
+MIN_PROB = 0.3
 _TABLE = 0x3000
 _LETTER = np.array([c if chr(c).isalpha() else 32 for c in range(_TABLE)], np.uint32)
 
