@@ -164,3 +164,10 @@ def spatial(method: str, a: Box, b: Box) -> Column:
     if method == "giou":
         return giou(a, b, 1e-10)
     raise ValueError(f"invalid spatial similarity: {method}")
+
+
+def footprint(b: Box, scene_lo: list[Column], scene_hi: list[Column], width: float, up: str = "y") -> dict[str, Column]:
+    """The box seen from above, scaled so that the scene's wider side is ``width``: x, y of the corner, w, h."""
+    i, j = [k for k, a in enumerate(AXES) if a != up]
+    scale = width / F.greatest(scene_hi[i] - scene_lo[i], scene_hi[j] - scene_lo[j])
+    return {"px": (b.lo[i] - scene_lo[i]) * scale, "py": (b.lo[j] - scene_lo[j]) * scale, "pw": (b.hi[i] - b.lo[i]) * scale, "ph": (b.hi[j] - b.lo[j]) * scale}

@@ -150,3 +150,18 @@ def round_all(c: Column, digits: int) -> Column:
 
 def is_finite(c: Column) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
+def scan_tag(c: Column) -> Column:
+    """The object tag of a reply that is not quite JSON: the first quoted text after the key."""
+    return F.nullif(F.regexp_extract(c, r"(?is)[\"']?object_tag[\"']?\s*:\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+
+
+def report_path(c: Column, ending: str = "_conversion_report.json") -> Column:
+    """The report's path beside a file: its suffixes exchanged for ``ending``."""
+    return F.concat(F.regexp_replace(c, r"(\.[A-Za-z]+)+$", ""), F.lit(ending))
+
+
+def merge_maps(base: Column, over: Column) -> Column:
+    """Entries of ``over`` laid on ``base``; a null entry of ``over`` changes nothing."""
+    return F.map_zip_with(base, over, lambda _, a, b: F.coalesce(b, a))

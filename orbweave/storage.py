@@ -25,9 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/orbweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a step of an iteration and read it back, so that lineage stays short and a lost executor costs no earlier step."""
-    path = f"{shared_dir(df.sparkSession)}/orbweave/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
