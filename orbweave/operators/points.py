@@ -95,19 +95,19 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, star
     A point whose nearest neighbour within the 27 cells is no further than the cell width is settled; the rest goes on
     with cells twice as wide. Rounds grow with the logarithm of the largest distance over ``start``.
     """
-    size, todo, done = start, left, None
-    while True:
+    if on:  # points whose key has no right point at all never settle
+        left = left.join(right.select(*on).distinct(), on, "left_semi")
+    size, todo, done, open_ = start, left, None, left.count()
+    while open_ and not right.isEmpty():
         near = pairs_within(todo, right, size, on)
         best = near.groupBy(F.col(f"a.{left_id}").alias(left_id)).agg(F.min(F.struct("d2", F.col(f"b.{right_id}").alias("id"))).alias("m"))
         best = materialize(best.select(left_id, F.col("m.id").alias(right_id), F.col("m.d2").alias("d2")), "nearest")
         done = best if done is None else done.unionByName(best)
-        todo = materialize(todo.join(best, left_id, "left_anti"), "nearest-todo")
-        # Points whose key has no right point at all never settle.
-        if on:
-            todo = todo.join(right.select(*on).distinct(), on, "left_semi")
-        if todo.isEmpty() or right.isEmpty():
-            return done
-        size *= 2
+        open_ -= best.count()
+        todo, size = todo.join(best.select(left_id), left_id, "left_anti"), size * 2
+    if done is None:
+        done = left.crossJoin(right.select(F.col(right_id).alias("_r")).limit(0)).select(left_id, F.col("_r").alias(right_id), F.lit(0.0).alias("d2"))
+    return done
 
 
 def spacing(points: DataFrame, obj: str, point: str, start: float) -> DataFrame:
@@ -115,16 +115,17 @@ def spacing(points: DataFrame, obj: str, point: str, start: float) -> DataFrame:
 
     Distances are exact; the search widens as in :func:`nearest`, with k = 2 (the point itself and another).
     """
-    size, todo, done = start, points, None
-    while True:
+    points = points.join(points.groupBy(obj).count().filter("count > 1").select(obj), obj, "left_semi")
+    size, todo, done, open_ = start, points, None, points.count()
+    while open_:
         near = pairs_within(todo, points, size, [obj]).filter(F.col(f"a.{point}") != F.col(f"b.{point}"))
         best = materialize(near.groupBy(F.col(f"a.{obj}").alias(obj), F.col(f"a.{point}").alias(point)).agg(F.min("d2").alias("d2")), "spacing")
         done = best if done is None else done.unionByName(best)
-        many = points.groupBy(obj).count().filter("count > 1").select(obj)
-        todo = materialize(todo.join(best, [obj, point], "left_anti").join(many, obj, "left_semi"), "spacing-todo")
-        if todo.isEmpty():
-            return done.filter("d2 > 0").groupBy(obj).agg(F.median(F.sqrt("d2")).alias("spacing"))
-        size *= 2
+        open_ -= best.count()
+        todo, size = todo.join(best.select(obj, point), [obj, point], "left_anti"), size * 2
+    if done is None:
+        done = points.select(obj, F.lit(0.0).alias("d2"))
+    return done.filter("d2 > 0").groupBy(obj).agg(F.median(F.sqrt("d2")).alias("spacing"))
 
 
 def even_sample(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
