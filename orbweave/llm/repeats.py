@@ -33,7 +33,7 @@ from .vector import SPACE, U64, Tokens, mix, slices, tidy
 
 THRESHOLD, K, DIGIT = 50, 8, 5
 #: Rows whose buckets are sorted together; a bucket is never split.
-ROWS = 20_000
+ROWS = 5_000
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
