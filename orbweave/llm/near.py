@@ -10,7 +10,8 @@ agree in a band are candidates; at similarity 0.5 a pair shares a band with prob
 Within a band's bucket pairs are weighed by their samples first: one is promising if it agrees in at least
 AGREE samples, three standard deviations below what the threshold would give. In a first pass each bucket's documents go to
 leaders (the smallest doc_id left takes all that are promising with it, and so on); the promising pairs are verified by exact
-weighted Jaccard similarity of whole texts and closed to groups. In a second pass every promising pair of a bucket whose
+weighted Jaccard similarity of whole texts and closed to groups. Of documents that agree in all samples only the smallest is
+bucketed; the others are verified against it. In a second pass every promising pair of a bucket whose
 documents are not yet in one group is verified. So the groups are those of all promising pairs,
 though a group of thousands of copies costs verifications in proportion to its size. No bucket is skipped or cut.
 The smallest doc_id of each group (connected component) is kept.
@@ -244,13 +245,19 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     rows = pick(docs, doc_id="bigint", text="string").filter("doc_id is not null and text is not null")
     idf = inverse_frequencies(rows)
     sketches = stored(rows.mapInArrow(tidy(_sketched(idf)), "doc_id bigint, keys array<bigint>, samples binary"), "near-sketches")
+    # Documents with all samples equal, exact copies above all, are verified against the smallest of them, which alone is bucketed.
+    same = [F.col("samples"), F.col("keys")]
+    chosen = stored(sketches.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("n")), "near-chosen")
+    many = chosen.filter("n > 1").select(*same, F.col("doc_id").alias("a"))
+    twins = stored(sketches.join(many, ["samples", "keys"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "near-twins")
     bucket = W.partitionBy("band", "key")
-    bands = sketches.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    bands = chosen.select("doc_id", F.posexplode("keys").alias("band", "key"))
     members = stored(bands.withColumn("n", F.count("*").over(bucket)).filter("n > 1").drop("n").distinct(), "near-buckets")
-    wanted = stored(members.select("doc_id").distinct(), "near-candidates")
+    wanted = stored(members.select("doc_id").unionByName(twins.select(F.col("a").alias("doc_id"))).unionByName(twins.select(F.col("b").alias("doc_id"))).distinct(), "near-candidates")
     texts = stored(join_checked(rows, wanted, "doc_id", "left_semi", 16).groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    sampled = stored(join_checked(sketches, wanted, "doc_id", "left_semi", 16).groupBy("doc_id").agg(F.min("samples").alias("samples")), "near-samples")
+    sampled = stored(join_checked(chosen.select("doc_id", "samples"), wanted, "doc_id", "left_semi", 16).groupBy("doc_id").agg(F.min("samples").alias("samples")), "near-samples")
     drop_stored(sketches)
+    drop_stored(chosen)
 
     def proposed(labels: DataFrame | None) -> DataFrame:
         m = join_checked(members, sampled, "doc_id", "inner", SAMPLES + 48)
@@ -268,7 +275,7 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
         rows = member.unionByName(leader).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
         return stored(rows.mapInArrow(tidy(_verify(idf, threshold)), "a bigint, b bigint"), "near-verified")
 
-    first = verified(proposed(None))
+    first = verified(proposed(None).unionByName(twins).distinct())
     groups = components(first)
     second = verified(proposed(groups))
     if second.isEmpty():
