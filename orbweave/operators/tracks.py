@@ -14,8 +14,15 @@ from ..config import Carve, IdentityQuality, TrackMerge
 from . import graphs
 
 
-def _share(c, t: float):
-    return F.coalesce(F.avg((c >= t).cast("double")), F.lit(0.0))
+def _middle(c: str):
+    """The exact median of a sorted array."""
+    n = F.size(c)
+    return (F.col(c)[F.floor((n - 1) / 2).cast("int")] + F.col(c)[F.floor(n / 2).cast("int")]) / 2
+
+
+def _part(c: str, t: float):
+    """The share of an array's elements that reach ``t``."""
+    return F.size(F.filter(c, lambda v: v >= t)) / F.size(c)
 
 
 def pair_metrics(overlaps: DataFrame, frames: DataFrame, forbidden: DataFrame | None = None, scene: str = "scene", track: str = "track", cfg: TrackMerge = TrackMerge()) -> DataFrame:
@@ -23,13 +30,18 @@ def pair_metrics(overlaps: DataFrame, frames: DataFrame, forbidden: DataFrame |
 
     ``frames``: (scene, track, n) non-empty frames of each track. Empty aggregates are 0.
     """
-    o = overlaps.filter("area_a > 0 and area_b > 0")
-    iou = F.col("inter") / (F.col("area_a") + F.col("area_b") - F.col("inter"))
-    ab, ba = F.col("inter") / F.col("area_a"), F.col("inter") / F.col("area_b")
-    m = o.groupBy(scene, "a", "b").agg(
-        F.count("*").alias("shared"), F.median(iou).alias("median_iou"), _share(iou, cfg.frame_iou).alias("iou_share"), _share(iou, cfg.duplicate_frame_iou).alias("duplicate_share"),
-        F.median(ab).alias("median_ab"), F.median(ba).alias("median_ba"), _share(ab, cfg.fragment_frame).alias("share_ab"), _share(ba, cfg.fragment_frame).alias("share_ba"),
-        F.median(F.col("area_a") / F.col("area_b")).alias("median_ratio"), F.median("area_a").alias("median_area_a"), F.median("area_b").alias("median_area_b"),
+    # One list per pair and array functions on it: a buffer for each of several medians would cost far more than the rows.
+    o = overlaps.filter("area_a > 0 and area_b > 0").select(scene, "a", "b", *(F.col(c).cast("double").alias(c) for c in ("inter", "area_a", "area_b")))
+    g = o.groupBy(scene, "a", "b").agg(F.collect_list(F.struct("inter", "area_a", "area_b")).alias("_x"))
+    g = g.withColumns({
+        "_iou": F.array_sort(F.transform("_x", lambda r: r["inter"] / (r["area_a"] + r["area_b"] - r["inter"]))), "_ab": F.array_sort(F.transform("_x", lambda r: r["inter"] / r["area_a"])),
+        "_ba": F.array_sort(F.transform("_x", lambda r: r["inter"] / r["area_b"])), "_ratio": F.array_sort(F.transform("_x", lambda r: r["area_a"] / r["area_b"])),
+        "_a": F.array_sort("_x.area_a"), "_b": F.array_sort("_x.area_b"),
+    })
+    m = g.select(
+        scene, "a", "b", F.size("_x").cast("bigint").alias("shared"), _middle("_iou").alias("median_iou"), _part("_iou", cfg.frame_iou).alias("iou_share"), _part("_iou", cfg.duplicate_frame_iou).alias("duplicate_share"),
+        _middle("_ab").alias("median_ab"), _middle("_ba").alias("median_ba"), _part("_ab", cfg.fragment_frame).alias("share_ab"), _part("_ba", cfg.fragment_frame).alias("share_ba"),
+        _middle("_ratio").alias("median_ratio"), _middle("_a").alias("median_area_a"), _middle("_b").alias("median_area_b"),
     )
     na = frames.select(scene, F.col(track).alias("a"), F.col("n").alias("_na"))
     nb = frames.select(scene, F.col(track).alias("b"), F.col("n").alias("_nb"))
