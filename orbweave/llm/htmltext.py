@@ -2,7 +2,7 @@
 
 Every element's subtree (tag, sorted class/id/href/src attributes, texts, children) is hashed.
 Spark counts on how many pages of a host each hash occurs. A subtree that occurs on at least
-``min_pages`` pages and ``min_share`` of the host's pages is template and is deleted with all
+``min_pages`` pages is template, however large the host is, and is deleted with all
 it holds; the text of what remains is the result. Scripts, styles, comments and the like never give text.
 Block elements end a line; entities are resolved.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .frames import BROADCAST_BYTES, pick, stored
 
-MIN_PAGES, MIN_SHARE = 5, 0.1
+MIN_PAGES = 5
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -171,11 +171,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
 
 
-def templates(rows: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+def templates(rows: DataFrame, min_pages: int) -> DataFrame:
     """(host, hashes): the template subtrees of each host of ``rows`` (page_id, url, host, html); stored."""
     counts = rows.select("host", "html").mapInArrow(_count, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    return stored(counts.join(pages, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
+    return stored(counts.groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +193,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("page_id"), b.column("url"), b.column("host"), pa.array(titles, pa.string()), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["page_id", "url", "host", "title", "text", "removed"])
 
 
-def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, host, title, text, removed) of every page, templates of its host removed."""
     rows = pick(pages, page_id="bigint", url="string", html="string").withColumn("host", host(F.col("url")))
-    known = templates(rows, min_pages, min_share)
+    known = templates(rows, min_pages)
     size = known.agg(F.sum(F.size("hashes") * 8 + 64)).first()[0] or 0
     joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
     return joined.mapInArrow(_extract, "page_id bigint, url string, host string, title string, text string, removed int")

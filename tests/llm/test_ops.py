@@ -223,6 +223,17 @@ def test_template_removal(spark):
     assert got[90].text == got[91].text == "" and got[92].text == "ac\nd" and len(got) == len(rows)
 
 
+def site(spark, bodies):
+    d = spark.createDataFrame([(i, "https://h.example/x", f"<html><head><script>track({i})</script></head><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    return [r.text for r in htmltext.extract_pages(d).orderBy("page_id").collect()]
+
+
+def test_large_host_with_many_templates(spark):
+    # 30 menus of 7 pages each are 3 % of their host.
+    pages = [f"<nav><a href='/{i % 30}'>Menu {i % 30}</a></nav><p>Text {i}</p><footer>Foot {i % 30}</footer>" for i in range(210)]
+    assert site(spark, pages) == [f"Text {i}" for i in range(210)]
+
+
 def test_equal_subtrees_have_equal_hashes():
     a, b = htmltext.parse("<div><p class='x' id=y>t  t</p></div>"), htmltext.parse("<DIV ><p id='y' class=\"x\">t t</p></DIV>")
     assert htmltext.subtree_hashes(a) == htmltext.subtree_hashes(b) != htmltext.subtree_hashes(htmltext.parse("<div><p>t t</p></div>"))
