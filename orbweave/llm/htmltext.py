@@ -1,13 +1,18 @@
 """Operator 6, HTML extraction: site templates are removed by counting hashed subtrees per host.
 
 Every element's subtree (tag, sorted class/id/href/src attributes, texts, children) is hashed.
-Spark counts on how many pages of a host each hash occurs. A subtree that occurs on at least
-``min_pages`` pages is template, however large the host is, and is deleted with all
+Spark counts on how many distinct pages of a host each hash occurs. A subtree on at least ``min_pages`` is
+template, however large the host is, and is deleted with all
 it holds; the text of what remains is the result. Scripts, styles, comments and the like never give text.
 Block elements end a line; entities are resolved.
 
+Copies don't make their own content a template: pages with equal visible text are one page, and so are those that
+have equal text (or, without any, an equal longest text) outside the subtrees that recur. So an article fetched
+many times below different menus and ads is kept in all its copies. A passage that distinct pages share, such as a
+license line, is template.
+
 A null page or an empty one gives an empty text; so does a page that is all template. A url
-without a host has the host ''. A repeated row counts as a page each time it comes and has its own result. Markup that never closes is closed at its parent's end. Empty tables give no rows.
+without a host has the host ''. A repeated row counts as one page and each has its own result. Markup that never closes is closed at its parent's end. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -161,20 +166,77 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def body_text(root: Node, without: set[int] = frozenset()) -> list[str]:
+    """The visible texts of a tree, head and mute elements apart, outside the subtrees ``without``."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.__class__ is not Node:
+            if n := " ".join(n.split()):
+                out.append(n)
+        elif n.tag not in _MUTE and n.hash not in without:
+            todo += reversed(n.kids)
+    return out
+
+
+def _hash(texts: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\x00".join(texts).encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _rows(hosts: list, hashes: list, pages: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64())], names=["host", "hash", "page"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash, page): every page's subtrees and the hash of its visible text."""
     for b in batches:
-        hosts, hashes = [], []
+        hosts, hashes, pages = [], [], []
         for h, page in zip(b.column(0).to_pylist(), b.column(1)):
-            found = subtree_hashes(parse(page.as_py()))
+            root = parse(page.as_py())
+            found = subtree_hashes(root)
             hosts += [h] * len(found)
             hashes += found
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+            pages += [_hash(body_text(root))] * len(found)
+        yield _rows(hosts, hashes, pages)
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash, page): every page's candidates and the hash of what tells the page from others:
+    its text outside all candidates or, if there is none, its longest text."""
+    sets: dict[str, set] = {}
+    for b in batches:
+        hosts, hashes, pages = [], [], []
+        for h, page, t in zip(b.column("host").to_pylist(), b.column("html"), b.column("hashes")):
+            if h not in sets:
+                if len(sets) > 10_000:
+                    sets.clear()
+                sets[h] = set(t.as_py())
+            root = parse(page.as_py())
+            found = subtree_hashes(root) & sets[h]
+            if found:
+                own = body_text(root, sets[h]) or [max(body_text(root), key=len, default="")]
+                hosts += [h] * len(found)
+                hashes += found
+                pages += [_hash(own)] * len(found)
+        yield _rows(hosts, hashes, pages)
+
+
+def _frequent(seen: DataFrame, min_pages: int, label: str) -> DataFrame:
+    """(host, hashes): those on at least ``min_pages`` distinct pages of ``seen`` (host, hash, page); stored."""
+    often = seen.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages)
+    return stored(often.groupBy("host").agg(F.collect_set("hash").alias("hashes")), label)
+
+
+def _with(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    size = known.agg(F.sum(F.size("hashes") * 8 + 64)).first()[0] or 0
+    return rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", how)
 
 
 def templates(rows: DataFrame, min_pages: int) -> DataFrame:
     """(host, hashes): the template subtrees of each host of ``rows`` (page_id, url, host, html); stored."""
-    counts = rows.select("host", "html").mapInArrow(_count, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return stored(counts.groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
+    seen = "host string, hash bigint, page bigint"
+    candidates = _frequent(rows.select("host", "html").mapInArrow(_count, seen), min_pages, "template-candidates")
+    return _frequent(_with(rows.select("host", "html"), candidates, "inner").mapInArrow(_own, seen), min_pages, "templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +258,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, host, title, text, removed) of every page, templates of its host removed."""
     rows = pick(pages, page_id="bigint", url="string", html="string").withColumn("host", host(F.col("url")))
-    known = templates(rows, min_pages)
-    size = known.agg(F.sum(F.size("hashes") * 8 + 64)).first()[0] or 0
-    joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
+    joined = _with(rows, templates(rows, min_pages), "left")
     return joined.mapInArrow(_extract, "page_id bigint, url string, host string, title string, text string, removed int")

@@ -228,6 +228,19 @@ def site(spark, bodies):
     return [r.text for r in htmltext.extract_pages(d).orderBy("page_id").collect()]
 
 
+def test_copies_keep_their_content(spark):
+    menus = [f"<nav><a href='/{k}'>Menu {k}</a></nav>" for k in range(6)]
+    article = "<article><h1>Head</h1><p>One article that was fetched many times</p></article>"
+    kept = "Head\nOne article that was fetched many times"
+    other = [menus[i % 6] + f"<p>Page {i} alone</p>" for i in range(60)]
+    # Equal pages, then copies below different menus.
+    assert site(spark, [menus[0] + article] * 8 + other) == [kept] * 8 + [f"Page {i} alone" for i in range(60)]
+    assert site(spark, [menus[i % 6] + article for i in range(12)] + other) == [kept] * 12 + [f"Page {i} alone" for i in range(60)]
+    # Every page comes below every menu.
+    every = [m + f"<div><p>Long text of page {i} that is its own</p></div>" for i in range(6) for m in menus]
+    assert site(spark, every) == [f"Long text of page {i} that is its own" for i in range(6) for _ in menus]
+
+
 def test_large_host_with_many_templates(spark):
     # 30 menus of 7 pages each are 3 % of their host.
     pages = [f"<nav><a href='/{i % 30}'>Menu {i % 30}</a></nav><p>Text {i}</p><footer>Foot {i % 30}</footer>" for i in range(210)]
