@@ -1,6 +1,7 @@
 """Operator 5, secret scans: a battery of randomness tests per inferred encoding, with length-aware false-discovery control.
 
-Candidates are runs of at least MIN_LENGTH of ``[A-Za-z0-9+/_-]`` that touch no non-ASCII byte. A run's
+Candidates are runs of at least MIN_LENGTH of ``[A-Za-z0-9+/_-]`` that no Latin letter or combining mark beyond ASCII continues
+(other neighbours, such as quotes, dashes and scripts without blanks, end a run). A run's
 encoding is the smallest of ENCODINGS that has all its characters; digits alone are none. Two nulls are tested:
 
 * *random*: uniform draws from the encoding's alphabet. Chi-squared uniformity, Wald-Wolfowitz runs about the
@@ -20,6 +21,7 @@ as often. A null doc_id stays null. An empty table gives no rows. Offsets count
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,12 +53,32 @@ for _e in range(len(NAMES)):
 _RUN = _HAS > 0
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Code points beyond ASCII that continue a word of ASCII letters: Latin letters and combining marks. (Rare phonetic signs above the BMP do not count.)
+_CONTINUES = np.zeros(0x10000, bool)
+for _lo, _hi in ((0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)):
+    _CONTINUES[_lo:_hi] = True
+for _c in range(0x80, 0x10000):
+    if chr(_c).isalpha() and unicodedata.name(chr(_c), "").startswith("LATIN") or chr(_c) in "ªº":
+        _CONTINUES[_c] = True
 _KIND = np.zeros(256, np.int8)
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 
 
+def _continues(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the code point that has byte ``at`` continues a word; the bytes at ``at`` are not ASCII."""
+    lead = at.copy()
+    for _ in range(3):
+        lead -= (b[lead] & 0xC0) == 0x80
+    first = b[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & (0x7F >> size)
+    for k in range(1, 4):
+        code = np.where(k < size, code << 6 | b[np.minimum(lead + k, len(b) - 1)] & 0x3F, code)
+    return (code < len(_CONTINUES)) & _CONTINUES[np.minimum(code, len(_CONTINUES) - 1)]
+
+
 def runs(b: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte bounds of the maximal runs of at least ``least`` characters, rows apart, that touch no non-ASCII byte."""
+    """Byte bounds of the maximal runs of at least ``least`` characters, rows apart, that no code point beyond ASCII continues."""
     n = len(b)
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = _RUN[b]
@@ -64,9 +86,14 @@ def runs(b: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
     edge[off + 1] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[1:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[2:])) + 1
+    ok = end - start >= least
+    start, end = start[ok], end[ok]
     wide = np.zeros(n + 2, bool)
     wide[1:-1] = b > 127
-    ok = (end - start >= least) & ~(wide[start] & ~edge[start + 1]) & ~(wide[end + 1] & ~edge[end + 1])
+    ok = np.ones(len(start), bool)
+    for outside, touches in ((start - 1, wide[start] & ~edge[start + 1]), (end, wide[end + 1] & ~edge[end + 1])):
+        at = np.flatnonzero(touches)
+        ok[at] &= ~_continues(b, outside[at])
     return start[ok], end[ok]
 
 

@@ -194,6 +194,16 @@ def test_secret_scan(spark):
     assert not {g for g in got if g[1] in words}
 
 
+def test_secrets_beside_other_scripts(spark):
+    rng = random.Random(5)
+    filler = " ".join(rng.choice(["the", "and", "thing", "nation", "reading", "internationalization", "éducation"]) for _ in range(3000))
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    around = [("“", "”"), ("«", "»"), ("key—", "—"), ("密钥", "。"), ("カギは", "です"), ("กุญแจ", ""), ("😀", "😀"), ("열쇠", "입니다")]
+    texts = [f"{filler} {a}{key()}{b} end" for a, b in around] + [f"{filler} é{key()} {key()}ñ {key()}e\u0301"]
+    got = {(r.doc_id, texts[r.doc_id][r.start - 1], r.end - r.start) for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert got == {(i, a[-1], 40) for i, (a, _) in enumerate(around)}
+
+
 def test_randomness_battery_is_calibrated():
     rng = np.random.default_rng(1)
     n = np.full(4000, 40)
