@@ -2,7 +2,14 @@
 
 Candidates are runs of at least MIN_LENGTH of ``[A-Za-z0-9+/_-]`` that no Latin letter or combining mark beyond ASCII continues
 (other neighbours, such as quotes, dashes and scripts without blanks, end a run). A run's
-encoding is the smallest of ENCODINGS that has all its characters; digits alone are none. Two nulls are tested:
+encoding is the smallest of ENCODINGS that has all its characters; digits alone are none. A run may hold a key
+with something glued to it, so these are candidates too, each with its own encoding and all counted in the control:
+its parts between ``-``, ``_`` and ``/``; the whole run and each stretch of hexadecimal parts without these
+separators (UUIDs, grouped keys; their ``length`` leaves the separators out); and what of a run or part is of one
+alphabet of AFFIXED after a prefix of at most PREFIX characters. Of candidates that overlap and are
+all discoveries the first in this order is reported, the whole run before all.
+
+Two nulls are tested:
 
 * *random*: uniform draws from the encoding's alphabet. Chi-squared uniformity, Wald-Wolfowitz runs about the
   alphabet's middle, and lag-1 serial correlation. A secret must not be rejected (least p * 3 >= ALPHA).
@@ -21,18 +28,22 @@ as often. A null doc_id stays null. An empty table gives no rows. Offsets count
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import pick, stored
 from .vector import char_offsets, raw, slices
 
 MIN_LENGTH, REFERENCE, ALPHA, Q = 16, 8, 0.001, 0.001
+PREFIX, AFFIXED = 8, ("hex", "HEX", "base32", "base36", "BASE36", "base62")
 #: Lower bounds of the length classes.
 CLASSES = np.array([16, 20, 24, 32, 48, 96])
 _lower, _upper, _digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -185,20 +196,49 @@ def battery(codes: np.ndarray, start: np.ndarray, n: np.ndarray, k: np.ndarray)
     return np.stack([uniform, run, serial], 1)
 
 
-FIELDS = ["doc_id", "start", "end", "encoding", "length", "band", "lp_uniform", "lp_runs", "lp_serial", "z1", "z2", "lp3"]
-SCHEMA = "doc_id bigint, start int, end int, encoding string, length int, band int, lp_uniform double, lp_runs double, lp_serial double, z1 double, z2 double, lp3 double"
-
-
-def score(b: np.ndarray, s: np.ndarray, e: np.ndarray, model: Ordinary) -> tuple[np.ndarray, ...]:
-    """For the runs [s, e): which have an encoding, and for those (encoding, battery, z1, z2, log p of class changes)."""
-    n = e - s
+_SEPARATORS, _SPLIT = b"-_/", re.compile(rb"[^-_/]+")
+_HEX = (frozenset(ENCODINGS["hex"].encode()), frozenset(ENCODINGS["HEX"].encode()))
+_ALPHABETS = [ENCODINGS[a].encode() for a in AFFIXED]
+
+
+def candidates(run: bytes) -> list[tuple[int, int, int, bytes]]:
+    """(level, start, end, characters) of all candidates within a run of at least MIN_LENGTH characters."""
+    out = [(0, 0, len(run), run)]
+    parts = [m.span() for m in _SPLIT.finditer(run)]
+    whole = {(0, len(run))}
+    if parts != [(0, len(run))]:
+        whole.update(p for p in parts if p[1] - p[0] >= MIN_LENGTH)
+        out += [(1, a, z, run[a:z]) for a, z in parts if z - a >= MIN_LENGTH]
+        groups = {(parts[0][0], parts[-1][1])} if len(parts) > 1 else set()
+        for alphabet in _HEX:
+            first = None
+            for i in range(len(parts) + 1):
+                fits = i < len(parts) and alphabet.issuperset(run[slice(*parts[i])])
+                if fits and first is None:
+                    first = i
+                elif not fits and first is not None:
+                    if i - first > 1:
+                        groups.add((parts[first][0], parts[i - 1][1]))
+                    first = None
+        for a, z in sorted(groups):
+            if len(joined := run[a:z].translate(None, _SEPARATORS)) >= MIN_LENGTH:
+                out.append((2, a, z, joined))
+    affixed = {(z - len(rest), z) for a, z in whole for x in _ALPHABETS if 1 <= len(lead := run[a:z].rstrip(x)) <= PREFIX for rest in [run[a + len(lead) : z]] if len(rest) >= MIN_LENGTH}
+    out += [(3, a, z, run[a:z]) for a, z in sorted(affixed - whole)]
+    return out
+
+
+FIELDS = ["doc_id", "start", "end", "encoding", "length", "band", "lp_uniform", "lp_runs", "lp_serial", "z1", "z2", "lp3", "level", "run", "content"]
+SCHEMA = "doc_id bigint, start int, end int, encoding string, length int, band int, lp_uniform double, lp_runs double, lp_serial double, z1 double, z2 double, lp3 double, level int, run int, content bigint"
+
+
+def score(c: np.ndarray, n: np.ndarray, model: Ordinary) -> tuple[np.ndarray, ...]:
+    """For candidates of ``n`` characters, ``c`` one after another: which have an encoding, and for those (encoding, battery, z1, z2, log p of class changes)."""
     first = np.cumsum(n) - n
-    at = np.repeat(s - first, n) + np.arange(n.sum())
-    c = b[at]
     bits = np.bitwise_and.reduceat(_HAS[c], first)
     letters = np.add.reduceat((_KIND[c] >= 2).astype(np.int64), first)
     ok = (bits > 0) & (letters > 0)
-    low = np.zeros(len(s), np.int64)
+    low = np.zeros(len(n), np.int64)
     for k in reversed(range(len(NAMES))):
         low[(bits >> k) & 1 == 1] = k
     keep = np.repeat(ok, n)
@@ -220,6 +260,8 @@ def score(b: np.ndarray, s: np.ndarray, e: np.ndarray, model: Ordinary) -> tuple
 
 #: Band of the rows that count the reference's scores: (z1, z2) of a cell of the grid, ``length`` of them.
 COUNTS = -1
+#: Bytes of runs whose candidates are scored together.
+STEP = 1 << 20
 
 
 def _candidates(model: Ordinary):
@@ -240,22 +282,40 @@ def _candidates(model: Ordinary):
                 s, e = s[~short], e[~short]
                 if not len(s):
                     continue
-                ok, low, tests, z1, z2, lp3 = score(b, s, e, model)
-                s, e = s[ok], e[ok]
-                row = np.searchsorted(off, s, "right") - 1
-                band = np.searchsorted(CLASSES, e - s, "right") - 1
-                yield pa.record_batch(
-                    [part.column(0).take(pa.array(row)), pa.array(char_offsets(b, off, s, row).astype(np.int32)), pa.array(char_offsets(b, off, e, row).astype(np.int32)),
-                     pa.array(NAMES).take(pa.array(low)), pa.array((e - s).astype(np.int32)), pa.array(band.astype(np.int32)), *(pa.array(t) for t in tests.T), pa.array(z1), pa.array(z2), pa.array(lp3)],
-                    names=FIELDS,
-                )
+                runs_row = np.searchsorted(off, s, "right") - 1
+                # Few candidates at a time, since a run has several.
+                step = np.flatnonzero(np.diff(np.cumsum(e - s) // STEP, prepend=-1))
+                for lo, hi in zip(step, [*step[1:], len(s)]):
+                    level, start, end, origin, content, pieces = [], [], [], [], [], []
+                    for i in range(lo, hi):
+                        run = b[s[i] : e[i]].tobytes()
+                        h = xxhash.xxh3_64_intdigest(run) - 2**63
+                        for k, x, y, chars in candidates(run):
+                            level.append(k)
+                            start.append(s[i] + x)
+                            end.append(s[i] + y)
+                            origin.append(i)
+                            content.append(h)
+                            pieces.append(chars)
+                    n = np.array([len(x) for x in pieces])
+                    ok, low, tests, z1, z2, lp3 = score(np.frombuffer(b"".join(pieces), np.uint8), n, model)
+                    level, x, y, origin, content, n = (np.array(v)[ok] for v in (level, start, end, origin, content, n))
+                    row = runs_row[origin]
+                    band = np.searchsorted(CLASSES, n, "right") - 1
+                    begin, shift = char_offsets(b, off, s[origin], row), s[origin]  # runs are ASCII
+                    yield pa.record_batch(
+                        [part.column(0).take(pa.array(row)), pa.array((begin + x - shift).astype(np.int32)), pa.array((begin + y - shift).astype(np.int32)),
+                         pa.array(NAMES).take(pa.array(low)), pa.array(n.astype(np.int32)), pa.array(band.astype(np.int32)), *(pa.array(t) for t in tests.T), pa.array(z1), pa.array(z2), pa.array(lp3),
+                         pa.array(level.astype(np.int32)), pa.array(begin.astype(np.int32)), pa.array(content.astype(np.int64))],
+                        names=FIELDS,
+                    )
         which, cell = np.nonzero(grid)
         n = len(which)
         z = (cell - 1000) / 10 + 0.05
         none = np.full(n, np.nan)
         yield pa.record_batch(
             [pa.nulls(n, pa.int64()), pa.array(which.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(grid[which, cell].astype(np.int32)), pa.array(np.full(n, COUNTS, np.int32)),
-             *(pa.array(none) for _ in range(3)), pa.array(z), pa.array(none), pa.array(none)],
+             *(pa.array(none) for _ in range(3)), pa.array(z), pa.array(none), pa.array(none), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
             names=FIELDS,
         )
 
@@ -288,9 +348,9 @@ def scan(docs: DataFrame, q: float = Q, alpha: float = ALPHA) -> DataFrame:
                 parts.append(tail((b.column(i).to_numpy() - centre[z][0]) / centre[z][1]))
             log_p = np.minimum(0.0, np.min(parts, axis=0) + np.log(3))
             grid = np.minimum(np.floor(-log_p / np.log(2) * 8), 8000).astype(np.int32)
-            yield pa.record_batch([*(b.column(i) for i in range(9)), pa.array(grid)], names=[*FIELDS[:9], "grid"])
+            yield pa.record_batch([*(b.column(i) for i in range(9)), *(b.column(i) for i in range(12, 15)), pa.array(grid)], names=[*FIELDS[:9], *FIELDS[12:], "grid"])
 
-    scored = stored(found.mapInArrow(final, SCHEMA.split(", z1")[0] + ", grid int"), "secret-scores")
+    scored = stored(found.mapInArrow(final, SCHEMA.split(", z1")[0] + ", level int, run int, content bigint, grid int"), "secret-scores")
     table = scored.groupBy("band", "grid").agg(F.count("*").alias("n")).toPandas().sort_values("grid", ascending=False)
     rule = F.lit(False)
     for band, t in table.groupby("band", sort=True):
@@ -299,6 +359,10 @@ def scan(docs: DataFrame, q: float = Q, alpha: float = ALPHA) -> DataFrame:
         if ok.any():
             rule = rule | ((F.col("band") == int(band)) & (F.col("grid") >= int(t.grid.to_numpy()[ok].min())))
     log_alpha = float(np.log(alpha / 3))
-    return scored.filter(rule & (F.least("lp_uniform", "lp_runs", "lp_serial") >= log_alpha)).select(
+    hits = scored.filter(rule & (F.least("lp_uniform", "lp_runs", "lp_serial") >= log_alpha))
+    # Of overlapping discoveries of one run the first level stays; rows that are repeated have equal ones.
+    hits = hits.withColumn("others", F.collect_set(F.struct("level", "start", "end")).over(W.partitionBy("doc_id", "run", "content")))
+    hits = hits.filter(~F.exists("others", lambda o: (o["level"] < F.col("level")) & (o["start"] < F.col("end")) & (o["end"] > F.col("start"))))
+    return hits.select(
         "doc_id", "start", "end", "encoding", "length", F.exp("lp_uniform").alias("p_uniform"), F.exp("lp_runs").alias("p_runs"), F.exp("lp_serial").alias("p_serial"), F.pow(F.lit(2.0), -F.col("grid") / 8).alias("p_ordinary")
     )

@@ -204,6 +204,25 @@ def test_secrets_beside_other_scripts(spark):
     assert got == {(i, a[-1], 40) for i, (a, _) in enumerate(around)}
 
 
+def test_secrets_with_prefixes_and_separators(spark):
+    rng = random.Random(7)
+    draw = lambda k, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(k))
+    words = ["the", "and", "thing", "nation", "education", "different", "mountains", "well-known", "long-term", "snake_case", "nonetheless", "internationalization", "Counterrevolutionaries", "characteristically"]
+    filler = lambda: " ".join(rng.choice(words) for _ in range(100))
+    kinds = [lambda: ("key-", draw(32), ""), lambda: ("SK", draw(32), ""), lambda: ("token_", draw(40), ""), lambda: ("dop_v1_", draw(64), ""), lambda: ("path/to/", draw(40), "/file"),
+             lambda: ("", "-".join(draw(k) for k in (8, 4, 4, 4, 12)), ""), lambda: ("urn-", "-".join(draw(k) for k in (8, 4, 4, 4, 12)), "-x")]
+    rows = [kinds[i % len(kinds)]() for i in range(140)]
+    texts = [f"{filler()} {a}{k}{z} {filler()}" for a, k, z in rows]
+    found = secrets.scan(docs_of(spark, texts)).collect()
+    spans = {i: [] for i in range(len(rows))}
+    for r in found:
+        spans[r.doc_id].append((r.start, r.end))
+    hit = [any(texts[i].index(k) >= x and texts[i].index(k) + len(k) <= y for x, y in spans[i]) or (texts[i].index(k), texts[i].index(k) + len(k)) in spans[i] for i, (_, k, _) in enumerate(rows)]
+    assert sum(hit) >= 0.95 * len(rows) and all(any(hit[j :: len(kinds)]) for j in range(len(kinds)))
+    assert all(y <= c for v in spans.values() for (_, y), (c, _) in itertools.pairwise(sorted(v)))
+    assert not {texts[r.doc_id][r.start : r.end] for r in found} & set(words)
+
+
 def test_randomness_battery_is_calibrated():
     rng = np.random.default_rng(1)
     n = np.full(4000, 40)
