@@ -393,6 +393,18 @@ def test_language_held_out(spark, sf):
     assert bound.langs == m.langs
 
 
+@pytest.mark.parametrize("langs", [("de", "en"), ("de", "en", "es", "fr")])
+def test_untaught_text_is_rejected(spark, sf, langs):
+    d = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").filter(F.col("lang").isin(*langs))
+    m = langid.train(d)
+    rng = random.Random(1)
+    bad = ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι.", "すべての人間は、生まれながらにして自由であり", "人人生而自由,在尊严和权利上一律平等。"]
+    bad += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(20)]
+    assert not any(r.accepted for r in langid.identify(docs_of(spark, bad), m).collect())
+    assert langid.keep_identified(docs_of(spark, bad), m).isEmpty()
+    assert langid.identify(d, m).filter("accepted").count() > 0.98 * d.count()
+
+
 def test_temperature_lowers_loss():
     rng = np.random.default_rng(0)
     z = rng.standard_normal((2000, 3)) * 3
