@@ -1,7 +1,9 @@
 """Operator 1, PII: patterns propose spans, checksums confirm, nearby context words adjust the score.
 
 Kinds: email, phone, ipv4, ipv6, credit_card (Luhn), iban (mod 97), us_ssn. A proposal with a
-checksum that fails is dropped. Score = base of the kind + what the checksum adds + what
+checksum that fails is tried with fewer groups at its end and then from its next group on, so digits beside a number
+don't hide it. Phones are international (``+``, grouped or not) or national; one without ``+`` is reported without a context word only if it has
+North American form, area code in parentheses or five pairs from 0 on. Score = base of the kind + what the checksum adds + what
 context words within CONTEXT characters add, at most 1; spans under ``min_score`` are dropped.
 Of overlapping spans the higher score stays (ties: the longer, then the earlier, then the kind's name).
 
@@ -11,6 +13,7 @@ give repeated spans. A null doc_id stays null. An empty table gives no rows. Off
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -63,22 +66,34 @@ def _ssn(s: str) -> float | None:
     return 0.0 if a not in ("000", "666") and a < "900" and b != "00" and c != "0000" else None
 
 
+_NANP = re.compile(r"\(?[2-9]\d\d\)?[ .-]{1,2}[2-9]\d\d[ .-]\d{4}", re.ASCII)
+_PAIRS = re.compile(r"0[1-9](?:[ .-]\d\d){4}", re.ASCII)
+
+
 def _phone(s: str) -> float | None:
     d = re.sub(r"\D", "", s)
     if not 8 <= len(d) <= 15:
         return None
-    return 0.25 if s[0] == "+" else 0.1 if "(" in s else 0.0
+    return 0.25 if s[0] == "+" else 0.2 if _NANP.fullmatch(s) or _PAIRS.fullmatch(s) else 0.15 if "(" in s else 0.0
+
+
+def _ipv6(s: str) -> float | None:
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return None
+    return 0.0 if any(c.isdigit() for c in s) else None
 
 
 #: kind: (pattern, base score, check: what it adds or None to drop, context words)
 KINDS = {
     "email": (re.compile(r"(?<![\w.+%-])[A-Za-z0-9_][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])", re.ASCII), 0.9, lambda s: 0.0, "mail e-mail email contact courriel correo"),
-    "phone": (re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?![\w-]|\.\d)", re.ASCII), 0.35, _phone, "phone tel telephone mobile call fax telefon téléphone teléfono"),
+    "phone": (re.compile(r"(?<![\w.+-])(?:\+\d{1,15}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{1,12})?(?:[ .-]\d{1,12}){0,6}|0[1-9](?:[ .-]\d\d){4}|(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?|0\d{9}|[2-9]\d\d[2-9]\d{6})(?![\w-]|\.\d)", re.ASCII), 0.35, _phone, "phone tel telephone mobile call fax telefon téléphone teléfono"),
     "ipv4": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.ASCII), 0.6, _ipv4, "ip address host server adresse dirección"),
-    "ipv6": (re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"), 0.7, lambda s: 0.0, "ip address host server"),
+    "ipv6": (re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})){2,8}(?!\w|\.\d)", re.ASCII), 0.7, _ipv6, "ip address host server"),
     "credit_card": (re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII), 0.4, _card, "card credit visa mastercard amex carte karte tarjeta"),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?!\w)"), 0.5, _iban, "iban account bank konto compte cuenta"),
-    "us_ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII), 0.45, _ssn, "ssn social security"),
+    "us_ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII), 0.55, _ssn, "ssn social security"),
 }
 _WORDS = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, v[3].split())) + r")(?!\w)", re.I) for k, v in KINDS.items()}
 _NEED_AT, _NEED_DIGIT = ("email",), ("phone", "ipv4", "ipv6", "credit_card", "iban", "us_ssn")
@@ -86,20 +101,37 @@ _NEED_AT, _NEED_DIGIT = ("email",), ("phone", "ipv4", "ipv6", "credit_card", "ib
 _AGAINST = re.compile(r"(?<!\w)(?:version|license|lizenz|isbn|order|invoice|build)(?!\w)", re.I)
 
 
+_END = {"phone": re.compile(r"[ .-]"), "credit_card": re.compile(r"[ -]"), "iban": re.compile(r"[ -]"), "ipv6": re.compile(r":+$")}
+
+
+def _proposals(kind: str, text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, what the check adds): for each proposal the best of its ends that the check confirms, the longest of equals."""
+    pattern, _, check, _ = KINDS[kind]
+    at = 0
+    while m := pattern.search(text, at):
+        s, cuts = m.group(), []
+        if kind in _END:
+            cuts = [c.start() for c in _END[kind].finditer(s) if c.start()]
+        confirmed = [(more, n) for n in (len(s), *cuts) if (more := check(s[:n])) is not None]
+        if confirmed:
+            more, n = max(confirmed)
+            yield m.start(), m.start() + n, more
+            at = m.start() + n
+        else:
+            at = m.start() + (cuts[0] if cuts else len(s))
+
+
 def spans(text: str | None, min_score: float = MIN_SCORE, kinds: tuple[str, ...] = tuple(KINDS)) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of one text, by start."""
     found = []
     for kind in kinds if text else ():
-        pattern, base, check, _ = KINDS[kind]
-        for m in pattern.finditer(text):
-            more = check(m.group())
-            if more is None:
-                continue
-            near = text[max(0, m.start() - CONTEXT) : m.start()] + " " + text[m.end() : m.end() + CONTEXT]
+        base = KINDS[kind][1]
+        for start, end, more in _proposals(kind, text):
+            near = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
             score = base + more + 0.3 * bool(_WORDS[kind].search(near)) - 0.2 * (kind != "email" and bool(_AGAINST.search(near)))
             score = round(min(1.0, score), 6)
             if score >= min_score:
-                found.append((kind, m.start(), m.end(), score))
+                found.append((kind, start, end, score))
     out: list[tuple[str, int, int, float]] = []
     for s in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
         if all(s[2] <= o[1] or s[1] >= o[2] for o in out):

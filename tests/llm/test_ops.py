@@ -92,6 +92,27 @@ def test_pii_spans(spark):
     assert got == {(i, k, a, b) for i, t in enumerate(texts) for k, a, b, _ in pii.spans(t)}
 
 
+@pytest.mark.parametrize(
+    "kind, value",
+    [("phone", v) for v in ("+14155552671", "+33 6 12 34 56 78", "+49 151 23456789", "(415) 555-2671", "415-555-2671", "06 12 34 56 78", "+1 (555) 555-0199")]
+    + [("us_ssn", "123-45-6789"), ("credit_card", "4532015112830366"), ("credit_card", "4532 0151 1283 0366")]
+    + [("ipv6", v) for v in ("fe80::1", "2001:db8::8a2e:370:7334", "::ffff:10.20.30.40", "2001:db8:0:0:0:8a2e:370:7334", "2001:db8::")],
+)
+def test_pii_forms(kind, value):
+    for before, after in (("zzz ", ""), ("zzz ", " zzz"), ("(", ")"), ("zzz ", ", 12"), ("zzz ", ".")):
+        t = before + value + after
+        assert [(k, t[a:b]) for k, a, b, _ in pii.spans(t)] == [(kind, value)], t
+
+
+def test_pii_digits_beside():
+    for t, card in (("4532015112830366 12/27", "4532015112830366"), ("4532015112830366 123", "4532015112830366"), ("12/27 4532 0151 1283 0366 123", "4532 0151 1283 0366"), ("1 2 3 4 5 6 7 8 9 4532015112830366", "4532015112830366")):
+        assert (card) in [t[a:b] for k, a, b, _ in pii.spans(t) if k == "credit_card"], t
+    t = "GB82 WEST 1234 5698 7654 32 2024 ABCD"
+    assert [t[a:b] for _, a, b, _ in pii.spans(t)] == ["GB82 WEST 1234 5698 7654 32"]
+    for clean in ("on 2021-12-31 and 31.12.2021", "at 12:30:45", "std::vector", "12345678901234567890123", "pages 10-12 14-16"):
+        assert pii.spans(clean) == [], clean
+
+
 # --- 2 repeated passages
 
 
