@@ -1,9 +1,9 @@
 """Operator 8, near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 A document's features are its distinct three-word shingles (lower case; all its words, if fewer), each
-weighing tf * idf. Document frequencies are counted over all documents in a table of 2^BITS hashed
-buckets, of fixed size at any corpus size: rare shingles share buckets and so a common
-idf, frequent ones are told apart. SAMPLES consistent weighted samples (Ioffe 2010; the probability
+weighing tf * idf. Document frequencies are exact, counted over all documents: tasks send sorted hashes by range, those
+with a frequency above 1 are written to the shared folder, one file a range, and looked up there (mapped, if the folder is
+local); all others have frequency 1. SAMPLES consistent weighted samples (Ioffe 2010; the probability
 that two documents agree in one is their weighted Jaccard similarity) are cut into bands of ROWS. Documents that
 agree in a band are candidates; at similarity 0.5 a pair shares a band with probability 0.91, at 0.6 with 0.986.
 
@@ -22,16 +22,18 @@ one doc_id are one document. Exact copies are near copies. An empty table gives
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import Masked, drop_stored, join_checked, pick, stored
+from .frames import Masked, delete, drop_stored, join_checked, pick, scratch_path, stored
 from .vector import NONWORD, U64, Tokens, mix, shingles, slices, tidy
 
 THRESHOLD, SHINGLE, BITS = 0.5, 3, 18
@@ -75,7 +77,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequencies(rows: DataFrame) -> np.ndarray:
-    """idf by bucket, over all of ``rows`` (doc_id, text)."""
+    """idf by bucket, over all of ``rows`` (doc_id, text); an estimate of fixed size to compare with."""
     counts = rows.mapInArrow(tidy(_frequencies), "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     df, total = np.zeros(1 << BITS), int(counts.n[counts.f == -1].sum())
     real = counts[counts.f >= 0]
@@ -83,6 +85,126 @@ def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     return np.maximum(np.log((1 + total) / (1 + df)), 0.05).astype(np.float32)
 
 
+#: Bytes of text for each range of hashes, and hashes that a task holds before it sends them.
+RANGE_BYTES, HELD = 16 << 20, 1 << 21
+
+
+def _ranged(bits: int):
+    """Rows (part, hashes, counts): sorted shingles with their document frequency; part -1 has the number of documents."""
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(h >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
+        full = np.flatnonzero(np.diff(cuts))
+        n = n.astype(np.uint32)
+        return pa.record_batch([pa.array(full, pa.int64()), *(pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()) for x in (h, n))], names=["part", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, docs = [], 0, 0
+        for big in batches:
+            for b in slices(big):
+                docs += b.num_rows
+                held.append(features(b.column(1))[1])
+                size += len(held[-1])
+                if size > HELD:
+                    yield send(held)
+                    held, size = [], 0
+        if size:
+            yield send(held)
+        yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([np.array([docs], np.uint32).tobytes()], pa.binary())], names=["part", "hashes", "counts"])
+
+    return run
+
+
+def _merged(path: str):
+    """Writes each range's frequencies above 1 to ``path``; rows (part, n): how many, for part -1 the documents."""
+
+    def write(part: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        h, n = np.frombuffer(b"".join(x for x, _ in held), U64), np.frombuffer(b"".join(x for _, x in held), np.uint32)
+        if part < 0:
+            return pa.record_batch([pa.array([part]), pa.array([int(n.sum(dtype=np.int64))])], names=["part", "n"])
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.add.reduceat(n, head, dtype=np.uint32)
+        h, n = h[head][n > 1], n[n > 1]
+        fs, at = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(at)
+        own = f"{at}/.{part}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
+            f.write(h.tobytes())
+            f.write(n.tobytes())
+        fs.move(own, f"{at}/{part}")
+        return pa.record_batch([pa.array([part]), pa.array([len(h)])], names=["part", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for b in batches:
+            for k, h, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if held and k != part:
+                    yield write(part, held)
+                    held = []
+                part = k
+                held.append((h, n))
+        if held:
+            yield write(part, held)
+
+    return run
+
+
+class Frequencies:
+    """Exact document frequencies in files by range of hashes."""
+
+    def __init__(self, path: str, bits: int, sizes: dict[int, int], docs: int):
+        self.path, self.bits, self.sizes, self.docs = path, bits, sizes, docs
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def _part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k in self.open:
+            return self.open[k]
+        fs, at = pyarrow.fs.FileSystem.from_uri(f"{self.path}/{k}")
+        n = self.sizes[k]
+        if isinstance(fs, pyarrow.fs.LocalFileSystem):
+            self.open[k] = np.memmap(at, U64, "r", 0, n), np.memmap(at, np.uint32, "r", 8 * n, n)
+            return self.open[k]
+        with fs.open_input_stream(at) as f:
+            data = f.read()
+        return np.frombuffer(data, U64, n), np.frombuffer(data, np.uint32, n, 8 * n)
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        order = np.argsort(h)
+        x, df = h[order], np.ones(len(h), np.int64)
+        cuts = np.searchsorted(x >> U64(64 - self.bits), np.arange((1 << self.bits) + 1).astype(U64))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            if self.sizes.get(k):
+                keys, counts = self._part(k)
+                own = x[cuts[k] : cuts[k + 1]]
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                df[order[cuts[k] : cuts[k + 1]]] = np.where(keys[at] == own, counts[at], 1)
+        return df
+
+    def idf(self, h: np.ndarray) -> np.ndarray:
+        return np.maximum(np.log((1 + self.docs) / (1 + self.count(h))), 0.05).astype(np.float32)
+
+
+def exact_frequencies(rows: DataFrame) -> Frequencies:
+    """Document frequencies of all shingles of ``rows`` (doc_id, text)."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, int(size // RANGE_BYTES).bit_length())
+    path = scratch_path(rows.sparkSession, "near-frequencies")
+    sent = rows.mapInArrow(tidy(_ranged(bits)), "part bigint, hashes binary, counts binary").repartition("part").sortWithinPartitions("part")
+    got = {r.part: r.n for r in sent.mapInArrow(tidy(_merged(path)), "part bigint, n bigint").collect()}
+    return Frequencies(path, bits, {k: n for k, n in got.items() if k >= 0}, got.get(-1, 0))
+
+
+def weigh(idf: np.ndarray | Frequencies, h: np.ndarray) -> np.ndarray:
+    """idf of shingles, exact or from a table by bucket."""
+    return idf.idf(h) if isinstance(idf, Frequencies) else idf[_bucket(h)]
+
+
 def sketch(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows with features, their samples): SAMPLES 32-bit hashes of the chosen (shingle, level) each."""
     head = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -111,7 +233,7 @@ def sketch(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return doc[head], out
 
 
-def _sketched(idf: np.ndarray):
+def _sketched(idf: np.ndarray | Frequencies):
     """Rows (doc_id, keys, samples): the bands' keys, and a byte of each sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +242,7 @@ def _sketched(idf: np.ndarray):
                 doc, h, tf = features(b.column(1))
                 if not len(doc):
                     continue
-                rows, s = sketch(doc, h, tf * idf[_bucket(h)])
+                rows, s = sketch(doc, h, tf * weigh(idf, h))
                 keys = np.zeros((len(rows), BANDS), U64)
                 with np.errstate(over="ignore"):
                     for j in range(ROWS):
@@ -194,7 +316,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Verifier:
     """Exact weighted Jaccard similarity over a stream of rows (a, b, text): a leader's row (b null) and then its members'."""
 
-    def __init__(self, idf: np.ndarray):
+    def __init__(self, idf: np.ndarray | Frequencies):
         self.idf = idf
         self.leader = -1
         self.hash, self.weight = np.zeros(0, U64), np.zeros(0)
@@ -202,7 +324,7 @@ class Verifier:
     def feed(self, a: np.ndarray, member: np.ndarray, texts: pa.Array) -> np.ndarray:
         """Similarity of every row to its leader; rows of leaders get 1. 0 where one has no words."""
         row, h, tf = features(texts)
-        w = tf * self.idf[_bucket(h)].astype(np.float64)
+        w = tf * weigh(self.idf, h).astype(np.float64)
         # Leader 0 is the one carried over; a group's number is that of its first row here.
         new = np.flatnonzero(~member)
         number = np.searchsorted(a[new], a, "right")
@@ -228,7 +350,7 @@ class Verifier:
         return np.where(union > 0, both / np.maximum(union, 1e-12), 0.0)
 
 
-def _verify(idf: np.ndarray, threshold: float):
+def _verify(idf: np.ndarray | Frequencies, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Verifier(idf)
         for big in batches:
@@ -243,7 +365,7 @@ def _verify(idf: np.ndarray, threshold: float):
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """((a, b) with a < b: verified pairs that connect every group, (doc_id, keep_id) of their groups)."""
     rows = pick(docs, doc_id="bigint", text="string").filter("doc_id is not null and text is not null")
-    idf = inverse_frequencies(rows)
+    idf = exact_frequencies(rows)
     sketches = stored(rows.mapInArrow(tidy(_sketched(idf)), "doc_id bigint, keys array<bigint>, samples binary"), "near-sketches")
     # Documents with all samples equal, exact copies above all, are verified against the smallest of them, which alone is bucketed.
     same = [F.col("samples"), F.col("keys")]
@@ -278,6 +400,7 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     first = verified(proposed(None).unionByName(twins).distinct())
     groups = components(first)
     second = verified(proposed(groups))
+    delete(docs.sparkSession, idf.path)
     if second.isEmpty():
         return first, groups
     pairs = first.unionByName(second)

@@ -360,6 +360,18 @@ def test_near_copies_against_brute_force(spark, sf):
     assert hit / max(1, hit + miss) >= 0.9 and hit > 10
 
 
+def test_document_frequencies_are_exact(spark, sf):
+    # More distinct shingles than 2^18 buckets tell apart.
+    d = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").select("doc_id", "text").filter("text is not null")
+    _, h, _ = near.features(pa.array(d.toPandas().text.tolist(), pa.large_string()))
+    keys, n = np.unique(h, return_counts=True)
+    idf = near.exact_frequencies(d)
+    assert idf.bits > 0 and idf.docs == d.count() and (idf.count(keys) == n).all() and sum(idf.sizes.values()) == (n > 1).sum()
+    assert (idf.count(np.array([1, 2**63], np.uint64)) == 1).all()
+    true = np.maximum(np.log((1 + idf.docs) / (1 + n)), 0.05)
+    assert np.allclose(near.weigh(idf, keys), true, atol=1e-5) and not np.allclose(near.inverse_frequencies(d)[near._bucket(keys)], true, atol=0.1)
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     a = " ".join(f"w{i}" for i in range(400))
