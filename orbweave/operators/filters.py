@@ -65,8 +65,13 @@ def removable(pickable: Column, movable: Column, is_receptacle: Column, level: i
 
 
 def bernoulli(df: DataFrame, key: Column, ratio: float, seed: int = 0) -> DataFrame:
-    """A sample by a hash of the key: the same rows at any partitioning."""
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(ratio * (1 << 30)))
+    """A sample by a hash of the key: the same rows at any partitioning, and in any engine that knows MD5."""
+    return df.filter(hash32(key, seed) < int(ratio * 2**32))
+
+
+def hash32(key: Column, seed: int = 0) -> Column:
+    """The first 32 bits of the MD5 of 'seed:key'."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
 
 
 def gather(df: DataFrame, order: Column, index: list[int]) -> DataFrame:

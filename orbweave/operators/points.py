@@ -1,7 +1,7 @@
 """Point clouds: voxels, neighbour joins on grids, overlap ratios, nearest neighbours, density clusters.
 
-Neighbour searches put points in cells as wide as the radius and join a cell with its 27 neighbours:
-an equi-join that shuffles by cell, not a cross product.
+Where the pairs themselves are the result, points are put in cells as wide as the radius and a cell is joined with its 27
+neighbours. Where only a count or a nearest point is wanted, points are grouped in blocks with a rim and the pairs are never made rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,53 +81,196 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, on: list[str]
     return l.join(r, [*(f"_k{i}" for i in range(len(on))), *cells]).filter(near).select("a", "b", d2.alias("d2"))
 
 
-def overlap_ratios(points: DataFrame, obj: str, point: str, voxel: float, on: list[str] = [], other: DataFrame | None = None) -> DataFrame:  # noqa: B006
-    """(on, a, b, ratio): share of a's points with a point of b nearer than ``voxel``; directed, pairs that touch only."""
-    n = points.groupBy(*on, F.col(obj).alias("a")).agg(F.count("*").alias("_n"))
-    near = pairs_within(points, points if other is None else other, voxel, on, strict=True)
-    if other is None:
-        near = near.filter(F.col(f"a.{obj}") != F.col(f"b.{obj}"))
-    hit = near.select(*(F.col(f"a.{k}").alias(k) for k in on), F.col(f"a.{obj}").alias("a"), F.col(f"b.{obj}").alias("b"), F.col(f"a.{point}").alias("_p"))
-    return hit.groupBy(*on, "a", "b").agg(F.count_distinct("_p").alias("_m")).join(n, [*on, "a"]).select(*on, "a", "b", (F.col("_m") / F.col("_n")).alias("ratio"))
+def _finite(df: DataFrame) -> DataFrame:
+    """Rows whose three coordinates are numbers."""
+    ok = F.lit(True)
+    for a in AXES:
+        ok = ok & F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) & (F.abs(a) < float("inf"))
+    return df.filter(ok)
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, on: list[str], size: float, columns: list[Column], edge: float = 0.0):
+    """Rows of both sides (``_side`` 0 and 1) grouped by block: a left row lies in one block of ``edge``, four ``size`` at least, a right one in
+    each block that it is within ``size`` of (3.4 on average at most, where a join over cells would send 27). ``columns`` are taken of both."""
+    edge = max(edge, 4.0 * size)
+    at = [F.floor(F.col(a) / edge).cast("long").alias(f"_b{a}") for a in AXES]
+    xyz = [F.col(a).cast("double").alias(a) for a in AXES]
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(on)]
+    l = left.select(*keys, F.lit(0).alias("_side"), *xyz, *columns, *at)  # noqa: E741
+    r = right.select(*keys, F.lit(1).alias("_side"), *xyz, *columns)
+    for a in AXES:
+        r = r.select("*", F.explode(F.sequence(F.floor((F.col(a) - size) / edge).cast("long"), F.floor((F.col(a) + size) / edge).cast("long"))).alias(f"_b{a}"))
+    return l.unionByName(r).groupBy(*(f"_k{i}" for i in range(len(on))), *(f"_b{a}" for a in AXES))
+
+
+def _cells(t: pa.Table, size: float):
+    """Of one block: for each cell of width ``size`` with left rows (left rows, right rows of the 27 cells about it)."""
+    side = t["_side"].to_numpy()
+    xyz = np.stack([t[a].to_numpy() for a in AXES], 1)
+    cell = np.floor(xyz / size).astype(np.int64)
+    cell -= cell.min(0) - 1
+    wide = cell.max(0) + 2
+    key = (cell[:, 0] * wide[1] + cell[:, 1]) * wide[2] + cell[:, 2]
+    order = np.argsort(key, kind="stable")
+    l, r = order[side[order] == 0], order[side[order] == 1]  # noqa: E741
+    if not len(l) or not len(r):
+        return
+    head = np.flatnonzero(np.diff(key[l], prepend=-1))
+    steps = [(x * wide[1] + y) * wide[2] for x in (-1, 0, 1) for y in (-1, 0, 1)]
+    right = key[r]
+    for a, b in zip(head, [*head[1:], len(l)]):
+        k = key[l[a]]
+        # Three neighbours in z are next to each other.
+        lo, hi = np.searchsorted(right, [k + s - 1 for s in steps], "left"), np.searchsorted(right, [k + s + 1 for s in steps], "right")
+        near = np.concatenate([r[x:y] for x, y in zip(lo, hi)])
+        if len(near):
+            yield l[a:b], near, xyz
+
+
+#: About how many points a block of a search for the nearest gets, at the cloud's average density.
+BLOCK_POINTS = 1 << 13
+#: Distances that are held at a time.
+STEP = 1 << 21
+
+
+def _touching(low: float, size: float, strict: bool):
+    """(a, b, n): how many left rows of object a have a right row of object b within the larger reach of the two, where that is over ``low``."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        coded = pc.dictionary_encode(t["_o"].combine_chunks())
+        obj, names = coded.indices.to_numpy(), coded.dictionary
+        reach = t["_g"].to_numpy()
+        found: list[tuple] = []
+        for l, r, xyz in _cells(t, size):  # noqa: E741
+            # Rows at one place and of one reach have the same neighbours.
+            spot, place = np.unique(np.column_stack([xyz[l], reach[l]]), axis=0, return_inverse=True)
+            own, mine = np.unique(obj[l], return_inverse=True)
+            count = np.zeros((len(spot), len(own)))
+            np.add.at(count, (place.ravel(), mine), 1)
+            r = r[np.argsort(obj[r], kind="stable")]
+            head = np.flatnonzero(np.diff(obj[r], prepend=-1))
+            step = max(1, STEP // len(r))
+            total = np.zeros((len(own), len(head)))
+            for i in range(0, len(spot), step):
+                p = spot[i : i + step]
+                d2 = sum((p[:, None, k] - xyz[r, k]) ** 2 for k in range(3))
+                g = np.maximum(p[:, None, 3], reach[r])
+                hit = (d2 < g * g if strict else d2 <= g * g) & (g > low)
+                total += count[i : i + step].T @ np.logical_or.reduceat(hit, head, axis=1).astype(float)
+            x, y = np.nonzero(total)
+            found.append((own[x], obj[r[head]][y], total[x, y].astype(np.int64)))
+        a, b, n = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        pair, which = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+        n = np.bincount(which.ravel(), n, pair.shape[1]).astype(np.int64)
+        keys = [pa.array([k.as_py()] * len(n), k.type) for k in key[:-3]]
+        return pa.Table.from_arrays([*keys, names.take(pa.array(pair[0])), names.take(pa.array(pair[1])), pa.array(n)], names=[*(f"_k{i}" for i in range(len(keys))), "a", "b", "_m"])
+
+    return run
+
+
+def touching(left: DataFrame, right: DataFrame, obj: str, size: float, on: list[str] = [], reach: str | None = None, low: float = -1.0, strict: bool = False) -> DataFrame:  # noqa: B006
+    """(on, a, b, n): rows of left object a that have a row of right object b within ``size``, or, with a column ``reach`` (at most ``size``), within the larger
+    of both rows' reach if that is over ``low``. Objects of both sides have one type. Rows without coordinates count nowhere. Only counts leave a block."""
+    kind = {f.name: f.dataType.simpleString() for f in left.schema}
+    columns = [F.col(obj).alias("_o"), (F.col(reach).cast("double") if reach else F.lit(float(size))).alias("_g")]
+    schema = ", ".join([*(f"_k{i} {kind[k]}" for i, k in enumerate(on)), f"a {kind[obj]}, b {kind[obj]}, _m bigint"])
+    parts = _in_blocks(_finite(left), _finite(right), on, size, columns).applyInArrow(_touching(low, size, strict), schema)
+    return parts.groupBy(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(on)), "a", "b").agg(F.sum("_m").alias("n"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start: float, on: list[str] = []) -> DataFrame:  # noqa: B006
-    """(left_id, right_id, d2): each left point's nearest right point, the smaller id of equals. Exact.
+def overlap_ratios(points: DataFrame, obj: str, point: str, voxel: float, on: list[str] = [], other: DataFrame | None = None) -> DataFrame:  # noqa: B006
+    """(on, a, b, ratio): share of a's points with a point of b nearer than ``voxel``; directed, pairs that touch only.
+    Points are rows: repeated ones count as often, on both sides of the share; those without coordinates don't count."""
+    n = _finite(points).groupBy(*on, F.col(obj).alias("a")).agg(F.count("*").alias("_n"))
+    near = touching(points, points if other is None else other, obj, voxel, on, strict=True)
+    if other is None:
+        near = near.filter("a <> b")
+    return near.join(n, [*on, "a"]).select(*on, "a", "b", (F.col("n") / F.col("_n")).alias("ratio"))
+
+
+def _closest(size: float, other: bool):
+    """(left id, right id, d2) of left rows whose nearest right row is within ``size``; of equals the least id. ``other``: not the row's own id."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        coded = pc.dictionary_encode(t["_i"].combine_chunks())
+        names = coded.dictionary
+        rank = np.empty(len(names), np.int64)  # of ids in their order
+        rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+        code = coded.indices.to_numpy()
+        ids = rank[code]
+        rows, best, dist = [], [], []
+        for l, r, xyz in _cells(t, size):  # noqa: E741
+            r = r[np.argsort(ids[r], kind="stable")]
+            if other:
+                spot, place = xyz[l], np.arange(len(l))
+            else:
+                spot, place = np.unique(xyz[l], axis=0, return_inverse=True)
+            step = max(1, STEP // len(r))
+            for i in range(0, len(spot), step):
+                d2 = sum((spot[i : i + step, None, k] - xyz[r, k]) ** 2 for k in range(3))
+                if other:
+                    d2[ids[l[i : i + step], None] == ids[r]] = np.inf
+                at = d2.argmin(1)
+                m = d2[np.arange(len(at)), at]
+                own = np.flatnonzero((place.ravel() >= i) & (place.ravel() < i + step))
+                p = place.ravel()[own] - i
+                ok = m[p] <= size * size
+                rows.append(l[own[ok]])
+                best.append(r[at[p[ok]]])
+                dist.append(m[p[ok]])
+        rows, best, dist = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, best, dist))
+        keys = [pa.array([k.as_py()] * len(rows), k.type) for k in key[:-3]]
+        return pa.Table.from_arrays([*keys, names.take(pa.array(code[rows])), names.take(pa.array(code[best])), pa.array(dist, pa.float64())], names=[*(f"_k{i}" for i in range(len(keys))), "l", "r", "d2"])
+
+    return run
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start: float, on: list[str] = [], other: bool = False) -> DataFrame:  # noqa: B006
+    """(on, left_id, right_id, d2): each left point's nearest right point of its ``on`` keys, the smaller id of equals; with ``other`` not the point of its own id. Exact.
 
     A point whose nearest neighbour within the 27 cells is no further than the cell width is settled; the rest goes on
-    with cells twice as wide. Rounds grow with the logarithm of the largest distance over ``start``.
+    with cells twice as wide. The first width is that of a cell with about one right point, at least ``start``; the last one spans the
+    cloud, so the rounds end whatever is left. Points without coordinates, or without any right point to go to, have no row; repeated left points have one.
+    Ids of both sides have one type.
     """
-    if on:  # points whose key has no right point at all never settle
+    left, right = _finite(left), _finite(right)
+    if on:  # points whose key has no right point at all have no neighbour
         left = left.join(right.select(*on).distinct(), on, "left_semi")
-    size, todo, done, open_ = start, left, None, left.count()
-    while open_ and not right.isEmpty():
-        near = pairs_within(todo, right, size, on)
-        best = near.groupBy(F.col(f"a.{left_id}").alias(left_id)).agg(F.min(F.struct("d2", F.col(f"b.{right_id}").alias("id"))).alias("m"))
-        best = materialize(best.select(left_id, F.col("m.id").alias(right_id), F.col("m.d2").alias("d2")), "nearest")
-        done = best if done is None else done.unionByName(best)
-        open_ -= best.count()
-        todo, size = todo.join(best.select(left_id), left_id, "left_anti"), size * 2
-    if done is None:
-        done = left.crossJoin(right.select(F.col(right_id).alias("_r")).limit(0)).select(left_id, F.col("_r").alias(right_id), F.lit(0.0).alias("d2"))
-    return done
-
-
-def spacing(points: DataFrame, obj: str, point: str, start: float) -> DataFrame:
-    """(obj, spacing): median distance to the nearest other point of the object, zero distances left out.
-
-    Distances are exact; the search widens as in :func:`nearest`, with k = 2 (the point itself and another).
-    """
-    points = points.join(points.groupBy(obj).count().filter("count > 1").select(obj), obj, "left_semi")
-    size, todo, done, open_ = start, points, None, points.count()
-    while open_:
-        near = pairs_within(todo, points, size, [obj]).filter(F.col(f"a.{point}") != F.col(f"b.{point}"))
-        best = materialize(near.groupBy(F.col(f"a.{obj}").alias(obj), F.col(f"a.{point}").alias(point)).agg(F.min("d2").alias("d2")), "spacing")
-        done = best if done is None else done.unionByName(best)
-        open_ -= best.count()
-        todo, size = todo.join(best.select(obj, point), [obj, point], "left_anti"), size * 2
-    if done is None:
-        done = points.select(obj, F.lit(0.0).alias("d2"))
-    return done.filter("d2 > 0").groupBy(obj).agg(F.median(F.sqrt("d2")).alias("spacing"))
+    l, r = left.select(*on, F.col(left_id).alias("_i"), *AXES), right.select(*on, F.col(right_id).alias("_i"), *AXES)  # noqa: E741
+    box = l.select(*AXES).unionByName(r.select(*AXES)).agg(*(f(a).cast("double").alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    count = r.agg(F.count("*"), F.count_distinct(*on) if on else F.lit(1)).first()
+    wide = [] if box.lox is None else [box[f"hi{a}"] - box[f"lo{a}"] for a in AXES if box[f"hi{a}"] > box[f"lo{a}"]]
+    size, edge = float(start), 0.0
+    if wide and count[0]:
+        one = float(np.prod(wide) * max(1, count[1]) / count[0]) ** (1 / len(wide))
+        size, edge = max(size, one), one * BLOCK_POINTS ** (1 / len(wide))
+    kind = {f.name: f.dataType.simpleString() for f in left.schema}
+    schema = ", ".join([*(f"_k{i} {kind[k]}" for i, k in enumerate(on)), f"l {kind[left_id]}, r {dict((f.name, f.dataType.simpleString()) for f in right.schema)[right_id]}, d2 double"])
+    keys = [*on, left_id]
+    last = 2 * sum(w * w for w in wide) ** 0.5 if wide else 0.0
+    todo, done = l, []
+    while True:
+        parts = _in_blocks(todo, r, on, size, [F.col("_i")], edge).applyInArrow(_closest(size, other), schema)
+        named = parts.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(on)), F.col("l").alias(left_id), F.col("r").alias(right_id), "d2")
+        best = named.groupBy(*keys).agg(F.min(F.struct("d2", right_id)).alias("_m")).select(*keys, F.col(f"_m.{right_id}").alias(right_id), F.col("_m.d2").alias("d2"))
+        done.append(materialize(best, "nearest"))
+        if size >= last:
+            break
+        todo = materialize(todo.join(done[-1].withColumnRenamed(left_id, "_i").select(*on, "_i"), [*on, "_i"], "left_anti"), "nearest-open")
+        if todo.isEmpty():
+            break
+        size *= 2
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def spacing(points: DataFrame, obj: str, point: str, start: float, on: list[str] = []) -> DataFrame:  # noqa: B006
+    """(on, obj, spacing): median distance to the nearest other point of the object, zero distances left out. A point that is repeated counts
+    once and is not another point; objects of a single one have no row."""
+    near = nearest(points, points.withColumnRenamed(point, "_other"), point, "_other", start, [*on, obj], other=True)
+    return near.filter("d2 > 0").groupBy(*on, obj).agg(F.median(F.sqrt("d2")).alias("spacing"))
 
 
 def even_sample(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:

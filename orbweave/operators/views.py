@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import checked, materialize
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -16,7 +16,7 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     part = F.shiftright("_m", 33)
     counts = numbered.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     base = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return numbered.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_base")
+    return numbered.withColumn("_p", part).join(checked(base), "_p").withColumn(name, F.col("_base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_base")
 
 
 def best_per(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:

@@ -17,7 +17,7 @@ from . import standins as S
 from .registry import query
 
 
-@query("map_round_trip", "K1 K2 S19 S20 S21 D6", "object_id:s point_count:i background:b", "SELECT 'o' || obj AS object_id, n AS point_count, obj % 7 = 0 AS background FROM box WHERE obj % 7 <> 0", "box")
+@query("map_round_trip", "K1 S20 S21", "object_id:s point_count:i background:b", "SELECT 'o' || obj AS object_id, n AS point_count, obj % 7 = 0 AS background FROM box WHERE obj % 7 <> 0", "box")
 def _(s, d):
     o = S.object_boxes(s, d).select(F.concat(F.lit("o"), "obj").alias("object_id"), F.lit("colmap_3d").alias("geometry_type"), F.col("n").alias("point_count"), F.struct("min_x", "max_x").alias("bbox"), (F.col("obj") % 7 == 0).alias("is_background"))
     folder = scratch(s, "map")
@@ -56,23 +56,27 @@ def _(s, d):
     return P.read_frames(s, "Replica", folder, start=2, stride=2).select("frame_idx", F.col("pose")[3].alias("tx"))
 
 
-@query("bernoulli_sample", "P18", "kept:b", "SELECT true AS kept")
+_HASH = "CAST('0x' || substr(md5('{seed}:' || {key}), 1, 8) AS BIGINT)"
+
+
+@query("bernoulli_sample", "P18", "o_orderkey:i", f"SELECT o_orderkey FROM orders WHERE {_HASH.format(seed=7, key='o_orderkey')} < CAST(floor(0.3 * 4294967296) AS BIGINT)")
+def _(s, d):
+    return FI.bernoulli(table(s, d, "orders").select("o_orderkey"), F.col("o_orderkey"), 0.3, 7)
+
+
+@query("pose_samples", "S36", "x:f z:f yaw:f", f"SELECT x, z, yaw FROM (SELECT DISTINCT x, z FROM pts ORDER BY {_HASH.format(seed=3, key="x || ',' || z")}, x, z LIMIT 40), (SELECT unnest(range(0, 8)) * 45.0 AS yaw)", "pts")
 def _(s, d):
-    o = table(s, d, "orders").select("o_orderkey")
-    n, k = o.count(), FI.bernoulli(o, F.col("o_orderkey"), 0.3, 7).count()
-    return s.range(1).select(F.lit(abs(k / n - 0.3) < 0.05).alias("kept"))
+    return P.sample_poses(S.points(s, d).select("x", "z").distinct(), 40, seed=3)
 
 
-@query("pose_samples", "S36 S37 S35", "positions:i yaws:i free:i", "SELECT 6 AS positions, 48 AS yaws, 10 AS free")
+@query("random_poses", "S37", "id:i x:f z:f yaw:f", f"SELECT id, x, z, {_HASH.format(seed=4, key='id')} / 4294967296.0 * 360 AS yaw FROM (SELECT unnest(range(0, 200)) AS id, 1 AS j) JOIN (SELECT x, z, row_number() OVER (ORDER BY x, z) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT x, z FROM pts)) ON r = {_HASH.format(seed=3, key='id')} % n", "pts")
 def _(s, d):
-    p = S.few_points(s, d).select("x", "z").distinct()
-    a, b = P.sample_poses(p, 6, seed=3), P.sample_poses(p, 10, seed=3, replace=True)
-    return a.agg(F.count_distinct("x", "z").alias("positions"), F.count("*").alias("yaws")).crossJoin(b.agg(F.count("*").alias("free")))
+    return P.sample_poses(S.points(s, d).select("x", "z").distinct(), 200, seed=3, replace=True)
 
 
-@query("depth_clip", "S34", "l_orderkey:i depth:f", "SELECT l_orderkey, sum(CASE WHEN l_quantity / 3 > 15 THEN 0 ELSE round_even(l_quantity / 3, 3) END) AS depth FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY 1")
+@query("depth_clip", "S34", "l_orderkey:i depth:f", "SELECT l_orderkey, sum(CASE WHEN l_quantity / 3 > 15 THEN 0 ELSE round_even(l_quantity / 3, 3) END) AS depth FROM lineitem GROUP BY 1")
 def _(s, d):
-    return table(s, d, "lineitem").filter("l_orderkey % 9 = 0").groupBy("l_orderkey").agg(F.sum(P.depth_meters(F.col("l_quantity") / 3)).alias("depth"))
+    return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(P.depth_meters(F.col("l_quantity") / 3)).alias("depth"))
 
 
 @query("topdown_footprint", "V26", "obj:i px:f py:f pw:f ph:f", "SELECT obj, (min_x - lx) * k AS px, (min_z - lz) * k AS py, (max_x - min_x) * k AS pw, (max_z - min_z) * k AS ph FROM box, (SELECT min(min_x) AS lx, min(min_z) AS lz, 100.0 / greatest(max(max_x) - min(min_x), max(max_z) - min(min_z)) AS k FROM box)", "box")
@@ -97,14 +101,14 @@ def _(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("k"), T.scan_tag(reply).alias("tag"))
 
 
-@query("config_overlay", "F20 F21 S15", "k:i a:i b:i c:i", "SELECT n_nationkey AS k, 1 AS a, n_regionkey AS b, n_nationkey AS c FROM nation")
+@query("config_overlay", "F20", "k:i a:i b:i c:i", "SELECT n_nationkey AS k, 1 AS a, n_regionkey AS b, n_nationkey AS c FROM nation")
 def _(s, d):
     k, r = F.col("n_nationkey").cast("int"), F.col("n_regionkey").cast("int")
     m = T.merge_maps(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), r, F.lit("c"), k))
     return table(s, d, "nation").select(k.alias("k"), m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
 
 
-@query("prompts_and_replies", "X11 X5 X7 X9 X10 C12", "doc_id:i turns:i reply:s status:s", "SELECT doc_id, 4 AS turns, upper(source) AS reply, 'complete' AS status FROM documents")
+@query("prompts_and_replies", "X11 C12", "doc_id:i turns:i reply:s status:s", "SELECT doc_id, 4 AS turns, upper(source) AS reply, 'complete' AS status FROM documents")
 def _(s, d):
     x = table(s, d, "documents").select("doc_id", "source")
     asked = x.withColumn("turns", F.size(MD.prompt("You name sources.", [("a", "A")], F.col("source"))))
@@ -117,10 +121,10 @@ def _(s, d):
 def _(s, d):
     from . import pipelines as PL
 
-    x = S.detections(s, d).filter("frame % 20 = 0")
+    x = S.detections(s, d)
     one = F.lit(0)
     o = x.select(one.alias("scene"), F.col("class_id").alias("object_id"), F.concat(F.lit("class "), "class_id").alias("label")).distinct()
     runs = x.select(one.alias("scene"), F.col("class_id").alias("object_id"), F.col("frame").alias("frame_id"), F.explode(F.sequence(F.col("y1").cast("int"), F.col("y1").cast("int") + 60)).alias("y"), F.col("x1").cast("int").alias("x0"), (F.col("x1").cast("int") + 60).alias("x1"))
-    pts = S.few_points(s, d).filter("obj < 50").select(one.alias("scene"), (F.col("obj") % 20).alias("object_id"), F.col("pid").alias("point_id"), "x", "y", "z")
+    pts = S.points(s, d).select(one.alias("scene"), (F.col("obj") % 20).alias("object_id"), F.col("pid").alias("point_id"), "x", "y", "z")
     f = table(s, d, "embeddings").select(one.alias("scene"), F.col("label").cast("bigint").alias("object_id"), F.col("vec_id").alias("frame_id"), F.col("embedding").alias("feature"))
     return PL.convert_project(o, runs, pts, f, 128, 128)[0]

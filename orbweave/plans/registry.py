@@ -20,7 +20,6 @@ CTES = {
       FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey)""",
     "pts": """pts AS (SELECT DISTINCT l_suppkey AS obj, CAST(l_quantity * 10000 + round(100 * l_discount) * 100 + round(100 * l_tax) AS BIGINT) AS pid,
       l_quantity AS x, round(100 * l_discount) AS y, round(100 * l_tax) AS z FROM lineitem)""",
-    "few": "few AS (SELECT * FROM pts WHERE obj % 10 = 3 AND pid % 3 = 0)",
     "box": """box AS (SELECT obj, min(x) + obj % 7 AS min_x, min(y) + obj % 5 AS min_y, min(z) AS min_z, max(x) - obj % 9 AS max_x, max(y) AS max_y, max(z) - obj % 3 AS max_z, count(*) AS n FROM pts GROUP BY obj)""",
     "day": """day AS (SELECT user_id AS track, CAST(date_part('day', ts) AS BIGINT) AS frame, floor(min(value)) AS lo, floor(max(value)) + 1 AS hi, count(*) AS n, max(value) AS best FROM events GROUP BY 1, 2)""",
     "trk": """trk AS (SELECT track, count(*) AS frames, avg(hi - lo) AS area_mean, median(hi - lo) AS area_median, stddev_pop(hi - lo) / avg(hi - lo) AS area_cv, track % 3 AS label FROM day GROUP BY track)""",
@@ -34,7 +33,7 @@ CTES = {
     "cen": """cel AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY label, i),
       cen AS (SELECT label, list(m ORDER BY i) AS c FROM cel GROUP BY label)""",
 }
-_NEEDS = {"few": ["pts"], "box": ["pts"], "trk": ["day"], "prs": ["day"], "met": ["day", "trk", "prs"]}
+_NEEDS = {"box": ["pts"], "trk": ["day"], "prs": ["day"], "met": ["day", "trk", "prs"]}
 
 
 def query(name: str, ids: str, columns: str, sql: str | None = None, uses: str = ""):

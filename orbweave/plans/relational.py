@@ -20,7 +20,7 @@ from .registry import query
 from .scalar import _R2P, rect_pairs
 
 
-@query("detection_filter", "P5 P16 S38", "frame:i idx:i", "SELECT frame, idx FROM det WHERE (x2 - x1) * (y2 - y1) >= 10 AND class_id NOT IN (0, 1) AND (x2 - x1) * (y2 - y1) <= 45 AND conf >= 0.93", "det")
+@query("detection_filter", "P5 P16", "frame:i idx:i", "SELECT frame, idx FROM det WHERE (x2 - x1) * (y2 - y1) >= 10 AND class_id NOT IN (0, 1) AND (x2 - x1) * (y2 - y1) <= 45 AND conf >= 0.93", "det")
 def _(s, d):
     a = B.Rect().area()
     return FI.filter_detections(S.detections(s, d), a, a, F.lit(90.0), F.col("class_id").isin(0, 1), F.col("conf"), DetectionFilter(mask_area=8, max_box_ratio=0.5, confidence=0.93)).select("frame", "idx")
@@ -97,25 +97,25 @@ def _(s, d):
     return x.select("frame", F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
 
 
-@query("receptacle_mapping", "J22 S35", "parent:i children:s n:i", """SELECT parent, string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS children, count(*) AS n FROM (SELECT o_custkey AS child, min(p) AS parent FROM (SELECT DISTINCT o_custkey, o_orderkey % 7 AS p FROM orders WHERE o_orderkey < 3000) WHERE p <> 0 GROUP BY o_custkey HAVING count(*) = 1) GROUP BY parent""")
+@query("receptacle_mapping", "J22", "parent:i children:s n:i", """SELECT parent, string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS children, count(*) AS n FROM (SELECT o_custkey AS child, min(p) AS parent FROM (SELECT DISTINCT o_custkey, o_orderkey % 7 AS p FROM orders WHERE o_orderkey < 3000) WHERE p <> 0 GROUP BY o_custkey HAVING count(*) = 1) GROUP BY parent""")
 def _(s, d):
     x = table(s, d, "orders").filter("o_orderkey < 3000").groupBy(F.col("o_custkey").alias("child")).agg(F.collect_set(F.col("o_orderkey") % 7).alias("p"))
     one = x.withColumn("p", F.array_remove("p", 0)).filter(F.size("p") == 1).select("child", F.col("p")[0].alias("parent"))
     return one.groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list("child")), lambda c: c.cast("string")), ",").alias("children"), F.count("*").alias("n"))
 
 
-@query("class_remap", "J24 J15 J17 S30", "name:s n:i q:f", "SELECT n_name AS name, count(*) AS n, sum(c_acctbal) AS q FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("class_remap", "J24 J15 J17", "name:s n:i q:f", "SELECT n_name AS name, count(*) AS n, sum(c_acctbal) AS q FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def _(s, d):
     x = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return x.groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("q"))
 
 
-@query("id_join_coverage", "J13 J14 J16 U8 C7 S26 S29", "doc_id:i side:s", "SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("id_join_coverage", "J13 J14 J16 U8", "doc_id:i side:s", "SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def _(s, d):
     return C.missing(table(s, d, "documents"), table(s, d, "labels"), "doc_id")
 
 
-@query("cache_lookup", "C10 C11 C12 J10 X4", "state:s n:i total:f", "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'hit' ELSE 'pending' END AS state, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1")
+@query("cache_lookup", "C10 C12", "state:s n:i total:f", "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'hit' ELSE 'pending' END AS state, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1")
 def _(s, d):
     x = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     cache = x.filter("o_custkey % 2 = 0").withColumn("answer", F.lit("yes"))
@@ -124,19 +124,19 @@ def _(s, d):
     return both.groupBy("state").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
 
 
-@query("stale_stages", "C9 C13 X12", "k:i sha:s", "SELECT n_nationkey AS k, sha256(n_name) AS sha FROM nation WHERE n_regionkey <> 2")
+@query("stale_stages", "C9", "k:i sha:s", "SELECT n_nationkey AS k, sha256(n_name) AS sha FROM nation WHERE n_regionkey <> 2")
 def _(s, d):
     x = table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.sha2("n_name", 256).alias("sha"), "n_regionkey")
     marks = x.select("k", "sha", F.when(F.col("n_regionkey") == 2, "complete").otherwise("failed").alias("status"))
     return C.stale_stages(x.select("k", "sha"), marks, "k", "sha")
 
 
-@query("rule_violations", "C1 C2 C3 C4 F19 S27", "rule:s n:i", "SELECT 'price' AS rule, count_if(NOT (l_extendedprice > 1000)) AS n FROM lineitem UNION ALL SELECT 'discount', count_if(NOT (l_discount BETWEEN 0 AND 0.05)) FROM lineitem UNION ALL SELECT 'flag', count_if(NOT (l_returnflag IN ('A', 'N'))) FROM lineitem")
+@query("rule_violations", "F19", "rule:s n:i", "SELECT 'price' AS rule, count_if(NOT (l_extendedprice > 1000)) AS n FROM lineitem UNION ALL SELECT 'discount', count_if(NOT (l_discount BETWEEN 0 AND 0.05)) FROM lineitem UNION ALL SELECT 'flag', count_if(NOT (l_returnflag IN ('A', 'N'))) FROM lineitem")
 def _(s, d):
     return C.violations(table(s, d, "lineitem"), {"price": F.col("l_extendedprice") > 1000, "discount": F.col("l_discount").between(0, 0.05), "flag": F.col("l_returnflag").isin("A", "N")})
 
 
-@query("duplicate_keys", "A24 A25 C5 S25", "k:i line:i n:i", "SELECT l_orderkey AS k, l_linenumber AS line, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query("duplicate_keys", "A24 A25", "k:i line:i n:i", "SELECT l_orderkey AS k, l_linenumber AS line, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(s, d):
     return G.duplicates(table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")), "k", "line")
 
@@ -174,7 +174,7 @@ def _(s, d):
     return E.zero_shot(table(s, d, "embeddings").select("vec_id", "embedding"), S.centroids(s, d), "vec_id", "label", "embedding", "c", [3])
 
 
-@query("feature_fuse_weighted", "A2 A3 S17", "label:i w:i f0:f f63:f", """SELECT label, max(w) AS w, max(CASE WHEN i = 1 THEN v END) / sqrt(sum(v * v)) AS f0, max(CASE WHEN i = 64 THEN v END) / sqrt(sum(v * v)) AS f63 FROM (SELECT label, i, sum(v * w) AS v, sum(w) AS w FROM (SELECT label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v, vec_id % 4 + 1 AS w FROM embeddings) GROUP BY label, i) GROUP BY label""")
+@query("feature_fuse_weighted", "A2 A3", "label:i w:i f0:f f63:f", """SELECT label, max(w) AS w, max(CASE WHEN i = 1 THEN v END) / sqrt(sum(v * v)) AS f0, max(CASE WHEN i = 64 THEN v END) / sqrt(sum(v * v)) AS f63 FROM (SELECT label, i, sum(v * w) AS v, sum(w) AS w FROM (SELECT label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v, vec_id % 4 + 1 AS w FROM embeddings) GROUP BY label, i) GROUP BY label""")
 def _(s, d):
     x = table(s, d, "embeddings").withColumn("w", F.col("vec_id") % 4 + 1)
     m = M.merge_objects_by_key(x.select("label", "w", "embedding"), ["label"], "embedding", "w")
@@ -257,7 +257,7 @@ def _(s, d):
     return PT.even_sample(S.points(s, d), ["obj"], ["pid"], 50).select("obj", "pid")
 
 
-@query("frame_slice", "S2 S14 W10", "user_id:i event_id:i frame_idx:i", "SELECT user_id, event_id, i AS frame_idx FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) WHERE i >= 3 AND i < 40 AND (i - 3) % 4 = 0")
+@query("frame_slice", "S2 W10", "user_id:i event_id:i frame_idx:i", "SELECT user_id, event_id, i AS frame_idx FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) WHERE i >= 3 AND i < 40 AND (i - 3) % 4 = 0")
 def _(s, d):
     return VW.frame_slice(table(s, d, "events"), ["user_id"], "event_id", 3, 40, 4)
 
@@ -287,7 +287,7 @@ def _(s, d):
     return VW.path_length(S.points(s, d), ["obj"], "pid")
 
 
-@query("monotonic_check", "W10 S27", "n:i", "SELECT count(*) AS n FROM (SELECT value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b >= value")
+@query("monotonic_check", "W10", "n:i", "SELECT count(*) AS n FROM (SELECT value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b >= value")
 def _(s, d):
     x = table(s, d, "events").withColumn("o", F.struct("ts", "event_id"))
     return G.monotonic_violations(x, ["user_id"], "o", "value").agg(F.count("*").alias("n"))
@@ -302,7 +302,7 @@ def _pred(s, d):
     return e.select("vec_id", F.col("label").alias("gt")).join(p, "vec_id")
 
 
-@query("confusion_matrix", "A14 D16 M14", "gt:i pred:i n:i", f"WITH {_PRED} SELECT gt, p AS pred, count(*) AS n FROM pred GROUP BY 1, 2", "cen")
+@query("confusion_matrix", "A14", "gt:i pred:i n:i", f"WITH {_PRED} SELECT gt, p AS pred, count(*) AS n FROM pred GROUP BY 1, 2", "cen")
 def _(s, d):
     return E.confusion(_pred(s, d), "gt", "p")
 
@@ -311,12 +311,12 @@ _METRIC = f"""WITH {_PRED}, g AS (SELECT gt AS c, count(*) AS g, count_if(gt = p
   m AS (SELECT g.c, tp, g, tp / greatest(1, g + coalesce(q, 0) - tp) AS iou, tp / greatest(1, coalesce(q, 0)) AS precision, tp / greatest(1, g) AS recall FROM g LEFT JOIN q ON g.c = q.c)"""
 
 
-@query("semseg_metrics", "A15 K8", "class:i iou:f precision:f recall:f f1:f", f"{_METRIC} SELECT c AS class, iou, precision, recall, 2 * precision * recall / greatest(1, precision + recall) AS f1 FROM m", "cen")
+@query("semseg_metrics", "A15", "class:i iou:f precision:f recall:f f1:f", f"{_METRIC} SELECT c AS class, iou, precision, recall, 2 * precision * recall / greatest(1, precision + recall) AS f1 FROM m", "cen")
 def _(s, d):
     return E.class_metrics(E.confusion(_pred(s, d), "gt", "p"))
 
 
-@query("semseg_summary", "A15 M14", "miou:f fmiou:f classes:i acc_15:i acc_50:i macc:f", f"{_METRIC} SELECT avg(iou) AS miou, sum(iou * g) / sum(g) AS fmiou, count(*) AS classes, count_if(iou > 0.15) AS acc_15, count_if(iou > 0.5) AS acc_50, avg(recall) AS macc FROM m", "cen")
+@query("semseg_summary", "A15", "miou:f fmiou:f classes:i acc_15:i acc_50:i macc:f", f"{_METRIC} SELECT avg(iou) AS miou, sum(iou * g) / sum(g) AS fmiou, count(*) AS classes, count_if(iou > 0.15) AS acc_15, count_if(iou > 0.5) AS acc_50, avg(recall) AS macc FROM m", "cen")
 def _(s, d):
     return E.summary(E.class_metrics(E.confusion(_pred(s, d), "gt", "p")))
 
@@ -327,32 +327,65 @@ def _(s, d):
     return E.confusion(x, "quality", "toxic", "lang")
 
 
-@query("conversion_counts", "A22 A23 K13", "total:i accepted:i masks:i views:i", "SELECT count(*) AS total, count_if(n >= 60) AS accepted, sum(n) AS masks, sum(big) AS views FROM (SELECT user_id, count(*) AS n, count_if(value > 50) AS big FROM events GROUP BY 1)")
+@query("conversion_counts", "A22 A23", "total:i accepted:i masks:i views:i", "SELECT count(*) AS total, count_if(n >= 60) AS accepted, sum(n) AS masks, sum(big) AS views FROM (SELECT user_id, count(*) AS n, count_if(value > 50) AS big FROM events GROUP BY 1)")
 def _(s, d):
     x = table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("big"))
     return x.agg(F.count("*").alias("total"), F.count_if(F.col("n") >= 60).alias("accepted"), F.sum("n").alias("masks"), F.sum("big").alias("views"))
 
 
-@query("overlap_merge_order", "M5 M6 M7 W12", "source:i target:i", None)
+@query("overlap_merge_order", "M5 M6 M7 W12", "source:i target:i", """WITH RECURSIVE pr AS (SELECT a, b, row_number() OVER (ORDER BY ratio DESC, a, b) AS k FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS ratio FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id) WHERE ratio > 0.25),
+  fo(k, gone, source, target) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+    SELECT pr.k, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, a) END, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN NULL ELSE a END, b FROM fo JOIN pr ON pr.k = fo.k + 1)
+  SELECT source, target FROM fo WHERE source IS NOT NULL""")
 def _(s, d):
-    e = table(s, d, "embeddings").filter("vec_id < 300")
+    e = table(s, d, "embeddings")
     a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    p = a.join(b, "label").filter("a <> b").select(F.lit(0).alias("scene"), "a", "b", V.cosine(F.col("ea"), F.col("eb")).alias("ratio"))
+    p = a.join(b, "label").filter("a <> b").select(F.lit(0).alias("scene"), "a", "b", F.round(V.cosine(F.col("ea"), F.col("eb")), 9).alias("ratio"))
     return M.overlap_merge(p.withColumns({"visual": F.col("ratio"), "text": F.lit(1.0)}), "scene", OverlapMerge(0.25, 0.25, 0.5))
 
 
-@query("mapping_loop", "M8 M2 M4 R2 R3", "scene:i objects:i detections:i", None)
+def _frames(s, d):
+    """Detections of two scenes of 25 frames: whole-number features of eight axes, boxes of the objects."""
+    f = F.transform(F.slice("embedding", 1, 8), lambda v: F.round(v * 40))
+    e = table(s, d, "embeddings").withColumn("o", F.col("vec_id") % 10 + 1).join(S.object_boxes(s, d).withColumnRenamed("obj", "o"), "o")
+    return e.select((F.col("label") % 2).alias("scene"), (F.col("vec_id") % 25).alias("frame"), F.col("vec_id").alias("det"), f.alias("f"), *M.BOX)
+
+
+#: The mapping fold. State: a list of objects (sum of features, weight, box, id); a frame's detections are compared with the map before the frame.
+_FOLD = """de AS (SELECT label % 2 AS scene, vec_id % 25 AS frame, vec_id AS det, list_transform(embedding[1:8], lambda v: round(CAST(v AS DOUBLE) * 40)) AS f, [min_x, min_y, min_z] AS lo, [max_x, max_y, max_z] AS hi FROM embeddings JOIN box ON box.obj = vec_id % 10 + 1),
+  fr AS (SELECT scene, frame, list(struct_pack(det := det, f := f, lo := lo, hi := hi) ORDER BY det) AS ds, row_number() OVER (PARTITION BY scene ORDER BY frame) AS k FROM de GROUP BY scene, frame),
+  st(scene, k, n, objs, got) AS (SELECT DISTINCT scene, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, f DOUBLE[], w DOUBLE, lo DOUBLE[], hi DOUBLE[])[]), CAST([] AS STRUCT(det BIGINT, id BIGINT)[]) FROM fr UNION ALL
+    SELECT scene, k, n + len(fresh), list_concat(
+        list_transform(objs, lambda o: list_reduce(list_prepend(o, list_transform(list_filter(picked, lambda p: p.at IS NOT NULL AND p.id = o.id), lambda p: struct_pack(id := p.id, f := p.d.f, w := 1.0, lo := p.d.lo, hi := p.d.hi))),
+          lambda x, y: struct_pack(id := x.id, f := list_transform(list_zip(x.f, y.f), lambda v: (v[1] * x.w + v[2]) / (x.w + 1) / greatest(sqrt(list_sum(list_transform(list_zip(x.f, y.f), lambda u: ((u[1] * x.w + u[2]) / (x.w + 1)) ** 2))), 1e-12)), w := x.w + 1,
+            lo := [least(x.lo[1], y.lo[1]), least(x.lo[2], y.lo[2]), least(x.lo[3], y.lo[3])], hi := [greatest(x.hi[1], y.hi[1]), greatest(x.hi[2], y.hi[2]), greatest(x.hi[3], y.hi[3])]))),
+        list_transform(fresh, lambda p, i: struct_pack(id := n + i - 1, f := p.d.f, w := 1.0, lo := p.d.lo, hi := p.d.hi))),
+      list_concat(list_transform(list_filter(picked, lambda p: p.at IS NOT NULL), lambda p: struct_pack(det := p.d.det, id := p.id)), list_transform(fresh, lambda p, i: struct_pack(det := p.d.det, id := n + i - 1)))
+    FROM (SELECT *, list_filter(picked, lambda p: p.at IS NULL) AS fresh FROM
+      (SELECT scene, k, n, objs, list_transform(scored, lambda s: CASE WHEN len(s.v) > 0 AND list_max(s.v) >= 1.0 THEN struct_pack(d := s.d, at := list_position(s.v, list_max(s.v)), id := objs[list_position(s.v, list_max(s.v))].id) ELSE struct_pack(d := s.d, at := NULL, id := CAST(-1 AS BIGINT)) END) AS picked FROM
+        (SELECT st.scene, fr.k, st.n, st.objs, list_transform(fr.ds, lambda d: struct_pack(d := d, v := list_transform(st.objs, lambda o: round(
+            greatest(0.0, least(d.hi[1], o.hi[1]) - greatest(d.lo[1], o.lo[1])) * greatest(0.0, least(d.hi[2], o.hi[2]) - greatest(d.lo[2], o.lo[2])) * greatest(0.0, least(d.hi[3], o.hi[3]) - greatest(d.lo[3], o.lo[3]))
+            / ((d.hi[1] - d.lo[1]) * (d.hi[2] - d.lo[2]) * (d.hi[3] - d.lo[3]) + (o.hi[1] - o.lo[1]) * (o.hi[2] - o.lo[2]) * (o.hi[3] - o.lo[3]) - greatest(0.0, least(d.hi[1], o.hi[1]) - greatest(d.lo[1], o.lo[1])) * greatest(0.0, least(d.hi[2], o.hi[2]) - greatest(d.lo[2], o.lo[2])) * greatest(0.0, least(d.hi[3], o.hi[3]) - greatest(d.lo[3], o.lo[3])) + 1e-10)
+            + list_dot_product(d.f, o.f) / greatest(sqrt(list_dot_product(d.f, d.f)) * sqrt(list_dot_product(o.f, o.f)), 1e-12), 9))) ) AS scored FROM st JOIN fr ON fr.scene = st.scene AND fr.k = st.k + 1))))"""
+
+
+@query("mapping_loop", "M8 M2", "scene:i det:i object:i", f"WITH RECURSIVE {_FOLD} SELECT scene, g.det AS det, g.id AS object FROM (SELECT scene, unnest(got) AS g FROM st)", "box")
+def _(s, d):
+    return M.map_scenes(_frames(s, d), "scene", "frame", "det", "f", 1.0)
+
+
+@query("mapping_maintenance", "M4", "scene:i objects:i detections:i", None)
 def _(s, d):
-    e = table(s, d, "embeddings").join(S.object_boxes(s, d).withColumnRenamed("obj", "o"), F.col("vec_id") % 100 == F.col("o"))
-    x = e.select((F.col("label") % 2).alias("scene"), (F.col("vec_id") % 25).alias("frame"), F.col("vec_id").alias("det"), "embedding", *M.BOX)
-    m = M.map_scenes(x, "scene", "frame", "det", "embedding", 0.9, maintain=20)
+    m = M.map_scenes(_frames(s, d), "scene", "frame", "det", "f", 1.0, maintain=10, min_detections=2)
     return m.groupBy("scene").agg(F.count_distinct("object").alias("objects"), F.count("*").alias("detections"))
 
 
-@query("exact_fusion", "A1 A2", "label:i w:f f0:f", None)
+@query("exact_fusion", "A1 A2", "label:i w:f f0:f f63:f", """WITH RECURSIVE ve AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+  fo(label, k, f) AS (SELECT label, k, v FROM ve WHERE k = 1 UNION ALL SELECT label, k, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) FROM (SELECT ve.label, ve.k, list_transform(list_zip(fo.f, ve.v), lambda p: (p[1] * fo.k + p[2]) / (fo.k + 1)) AS m FROM fo JOIN ve ON ve.label = fo.label AND ve.k = fo.k + 1))
+  SELECT label, max(k) AS w, arg_max(f, k)[1] AS f0, arg_max(f, k)[64] AS f63 FROM fo GROUP BY label""")
 def _(s, d):
     x = table(s, d, "embeddings").withColumn("w", F.lit(1.0))
-    return M.fold_feature(x, ["label"], "vec_id", "embedding", "w").select("label", "w", F.col("embedding")[0].alias("f0"))
+    return M.fold_feature(x, ["label"], "vec_id", "embedding", "w").select("label", "w", F.col("embedding")[0].alias("f0"), F.col("embedding")[63].alias("f63"))
 
 
 @query("stack_batch", "S18", "scene:i n:i first:i last:i", "SELECT user_id AS scene, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
@@ -361,10 +394,10 @@ def _(s, d):
     return g.select("scene", F.size("x").alias("n"), F.col("x.event_id")[0].alias("first"), F.element_at("x.event_id", -1).alias("last"))
 
 
-@query("one_hot_planes", "S7", "k:i ones:i", "SELECT p_partkey AS k, 1 AS ones FROM part")
+@query("one_hot_planes", "S7", "plane:i n:i", "SELECT plane, count_if(p_size = plane) AS n FROM part, (SELECT unnest(range(0, 61)) AS plane) GROUP BY 1")
 def _(s, d):
-    x = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: (i == F.col("p_size")).cast("int")).alias("h"))
-    return x.select("k", F.aggregate("h", F.lit(0), lambda a, v: a + v).alias("ones"))
+    x = table(s, d, "part").select(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: (i == F.col("p_size")).cast("int")).alias("h"))
+    return x.select(F.posexplode("h").alias("plane", "v")).groupBy("plane").agg(F.sum("v").alias("n"))
 
 
 @query("tumbling_counts", "2.12", "start:s event_type:s n:i v:f", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2")
@@ -383,7 +416,7 @@ def _(s, d):
     return x.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("as_of_pose", "2.12 R1", "event_id:i order_id:i", """SELECT event_id, (SELECT coalesce(max(p.event_id), -1) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'view' AND p.event_id <= e.event_id) AS order_id FROM events e WHERE event_type = 'click'""")
+@query("as_of_pose", "2.12", "event_id:i order_id:i", """SELECT event_id, (SELECT coalesce(max(p.event_id), -1) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'view' AND p.event_id <= e.event_id) AS order_id FROM events e WHERE event_type = 'click'""")
 def _(s, d):
     from ..streaming.windows import as_of
 

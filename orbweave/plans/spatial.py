@@ -20,7 +20,7 @@ from .scalar import rect_pairs
 LOOSE = TrackMerge(min_shared=3, min_coverage=0.2, min_median_iou=0.3, frame_iou=0.3, frame_iou_share=0.4, duplicate_median_iou=0.4, duplicate_frame_iou=0.4, duplicate_share=0.5, fragment_median=0.6, fragment_frame=0.6, fragment_share=0.5, fragment_area=0.75)
 
 
-@query("aabb_corners", "A18 G16 D10", "obj:i min_x:f max_x:f min_z:f max_z:f n_points:i", """SELECT obj, min(x) AS min_x, max(x) AS max_x, CASE WHEN max(z) <= min(z) THEN min(z) - m * 1e-6 ELSE min(z) END AS min_z, CASE WHEN max(z) <= min(z) THEN max(z) + m * 1e-6 ELSE max(z) END AS max_z, count(*) AS n_points
+@query("aabb_corners", "A18 G16", "obj:i min_x:f max_x:f min_z:f max_z:f n_points:i", """SELECT obj, min(x) AS min_x, max(x) AS max_x, CASE WHEN max(z) <= min(z) THEN min(z) - m * 1e-6 ELSE min(z) END AS min_z, CASE WHEN max(z) <= min(z) THEN max(z) + m * 1e-6 ELSE max(z) END AS max_z, count(*) AS n_points
   FROM (SELECT *, greatest(max(abs(x)) OVER w, max(abs(y)) OVER w, max(abs(z)) OVER w, 1.0) AS m FROM pts WINDOW w AS (PARTITION BY obj)) GROUP BY obj, m""", "pts")
 def _(s, d):
     return P.aabb(S.points(s, d), ["obj"])
@@ -31,12 +31,12 @@ def _(s, d):
     return P.scene_diagonal(S.points(s, d).withColumn("g", F.col("obj") % 5), ["g"])
 
 
-@query("voxel_downsample", "V1 K3 K14", "obj:i x:f y:f z:f n:i", "SELECT obj, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM pts GROUP BY obj, floor(x / 5), floor(y / 5), floor(z / 5)", "pts")
+@query("voxel_downsample", "V1", "obj:i x:f y:f z:f n:i", "SELECT obj, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM pts GROUP BY obj, floor(x / 5), floor(y / 5), floor(z / 5)", "pts")
 def _(s, d):
     return P.voxel_downsample(S.points(s, d), ["obj"], 5.0)
 
 
-@query("voxel_downsample_object", "V1 M1", "obj:i x:f y:f z:f n:i", "SELECT obj, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM (SELECT *, min(x) OVER w AS mx, min(y) OVER w AS my, min(z) OVER w AS mz FROM pts WINDOW w AS (PARTITION BY obj)) GROUP BY obj, floor((x - mx + 2) / 4), floor((y - my + 2) / 4), floor((z - mz + 2) / 4)", "pts")
+@query("voxel_downsample_object", "V1", "obj:i x:f y:f z:f n:i", "SELECT obj, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM (SELECT *, min(x) OVER w AS mx, min(y) OVER w AS my, min(z) OVER w AS mz FROM pts WINDOW w AS (PARTITION BY obj)) GROUP BY obj, floor((x - mx + 2) / 4), floor((y - my + 2) / 4), floor((z - mz + 2) / 4)", "pts")
 def _(s, d):
     return P.voxel_downsample(S.points(s, d), ["obj"], 4.0, anchor="object")
 
@@ -44,43 +44,64 @@ def _(s, d):
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
 
-@query("point_overlap_ratio", "J3 J5 C5", "a:i b:i ratio:f", f"SELECT a.obj AS a, b.obj AS b, count(DISTINCT a.pid) / CAST(any_value(n) AS DOUBLE) AS ratio FROM few a JOIN few b ON a.obj <> b.obj AND {_D2} < 4 JOIN (SELECT obj, count(*) AS n FROM few GROUP BY 1) c ON c.obj = a.obj GROUP BY 1, 2", "few")
+def _near(left: str, right: str, r: int) -> str:
+    """Rows (a, b) of two point tables at most ``r`` apart on every axis. The points lie on whole numbers, so an equi-join finds them."""
+    steps = ", ".join(f"(SELECT unnest(range(-{r}, {r + 1})) AS d{x}) AS o{x}" for x in "xyz")
+    return f"(SELECT *, x + dx AS nx, y + dy AS ny, z + dz AS nz FROM {left}, {steps}) a JOIN {right} b ON b.x = a.nx AND b.y = a.ny AND b.z = a.nz"
+
+
+@query("point_overlap_ratio", "J3 J5", "a:i b:i ratio:f", f"SELECT a.obj AS a, b.obj AS b, count(DISTINCT a.pid) / CAST(any_value(n) AS DOUBLE) AS ratio FROM {_near('pts', 'pts', 1)} JOIN (SELECT obj, count(*) AS n FROM pts GROUP BY 1) c ON c.obj = a.obj WHERE a.obj <> b.obj AND {_D2} < 4 GROUP BY 1, 2", "pts")
 def _(s, d):
-    return P.overlap_ratios(S.few_points(s, d), "obj", "pid", 2.0)
+    return P.overlap_ratios(S.points(s, d), "obj", "pid", 2.0)
+
 
+_SIDE = "od AS (SELECT * FROM pts WHERE obj % 2 = 1), ev AS (SELECT * FROM pts WHERE obj % 2 = 0)"
 
-@query("point_overlap_two_sets", "J4", "a:i b:i ratio:f", f"SELECT a.obj AS a, b.obj AS b, count(DISTINCT a.pid) / CAST(any_value(n) AS DOUBLE) AS ratio FROM few a JOIN few b ON a.obj < 50 AND b.obj >= 50 AND {_D2} < 4 JOIN (SELECT obj, count(*) AS n FROM few GROUP BY 1) c ON c.obj = a.obj GROUP BY 1, 2", "few")
+
+@query("point_overlap_two_sets", "J4", "a:i b:i ratio:f", f"WITH {_SIDE} SELECT a.obj AS a, b.obj AS b, count(DISTINCT a.pid) / CAST(any_value(n) AS DOUBLE) AS ratio FROM {_near('od', 'ev', 1)} JOIN (SELECT obj, count(*) AS n FROM od GROUP BY 1) c ON c.obj = a.obj WHERE {_D2} < 4 GROUP BY 1, 2", "pts")
 def _(s, d):
-    x = S.few_points(s, d)
-    return P.overlap_ratios(x.filter("obj < 50"), "obj", "pid", 2.0, other=x.filter("obj >= 50"))
+    x = S.points(s, d)
+    return P.overlap_ratios(x.filter("obj % 2 = 1"), "obj", "pid", 2.0, other=x.filter("obj % 2 = 0"))
 
 
-@query("nearest_neighbour_labels", "J6 J7 J25", "pid:i label:i d2:f", f"SELECT pid, label, d2 FROM (SELECT a.pid, b.pid AS label, {_D2} AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY {_D2}, b.pid) AS r FROM few a, few b WHERE a.obj = 3 AND b.obj = 13) WHERE r = 1", "few")
+@query("nearest_neighbour_labels", "J6 J7 J25", "k:i label:i d2:f", f"WITH {_SIDE} SELECT k, label, d2 FROM (SELECT a.obj * 1000000 + a.pid AS k, min(struct_pack(d := {_D2}, i := b.obj * 1000000 + b.pid)) AS m FROM {_near('od', 'ev', 4)} GROUP BY 1), (SELECT 1), LATERAL (SELECT m.i AS label, m.d AS d2)", "pts")
 def _(s, d):
-    x = S.few_points(s, d)
-    return P.nearest(x.filter("obj = 3"), x.filter("obj = 13").withColumnRenamed("pid", "label"), "pid", "label", 1.0)
+    x = S.points(s, d).withColumn("k", F.col("obj") * 1000000 + F.col("pid"))
+    return P.nearest(x.filter("obj % 2 = 1"), x.filter("obj % 2 = 0").withColumnRenamed("k", "label"), "k", "label", 1.0)
+
+
+_GAP = f"gap AS (SELECT obj, median(sqrt(m)) AS spacing FROM (SELECT a.obj, a.pid, min({_D2}) AS m FROM pts a JOIN pts b ON a.obj = b.obj AND a.pid <> b.pid GROUP BY 1, 2) WHERE m > 0 GROUP BY obj)"
 
 
-@query("point_spacing", "J8", "obj:i spacing:f", f"SELECT obj, median(sqrt(m)) AS spacing FROM (SELECT a.obj, a.pid, min({_D2}) AS m FROM few a JOIN few b ON a.obj = b.obj AND a.pid <> b.pid GROUP BY 1, 2) WHERE m > 0 GROUP BY obj", "few")
+@query("point_spacing", "J8", "obj:i spacing:f", f"WITH {_GAP} SELECT * FROM gap", "pts")
 def _(s, d):
-    return P.spacing(S.few_points(s, d), "obj", "pid", 1.0)
+    return P.spacing(S.points(s, d), "obj", "pid", 1.0)
 
 
-@query("neighbour_fraction_3d", "J8 W14", "a:i b:i a_to_b:f b_to_a:f candidate:b", f"""WITH g AS (SELECT obj, median(sqrt(m)) AS s FROM (SELECT a.obj, a.pid, min({_D2}) AS m FROM few a JOIN few b ON a.obj = b.obj AND a.pid <> b.pid GROUP BY 1, 2) WHERE m > 0 GROUP BY obj), c AS (SELECT obj, count(*) AS n FROM few GROUP BY 1),
-  h AS (SELECT a.obj AS a, b.obj AS b, count(DISTINCT a.pid) AS m FROM few a JOIN few b ON a.obj <> b.obj JOIN g ga ON ga.obj = a.obj JOIN g gb ON gb.obj = b.obj WHERE sqrt({_D2}) <= 2.5 * greatest(ga.s, gb.s) GROUP BY 1, 2)
-  SELECT x.a, x.b, x.m / CAST(ca.n AS DOUBLE) AS a_to_b, y.m / CAST(cb.n AS DOUBLE) AS b_to_a, greatest(x.m / CAST(ca.n AS DOUBLE), y.m / CAST(cb.n AS DOUBLE)) >= 0.02 AS candidate FROM h x JOIN h y ON x.a = y.b AND x.b = y.a AND x.a < x.b JOIN c ca ON ca.obj = x.a JOIN c cb ON cb.obj = x.b""", "few")
+@query("neighbour_fraction_3d", "J8 W14", "a:i b:i a_to_b:f b_to_a:f candidate:b", f"""WITH {_GAP}, c AS (SELECT obj, count(*) AS n FROM pts GROUP BY 1),
+  h AS (SELECT a, b, count(*) AS m FROM (SELECT DISTINCT a.obj AS a, b.obj AS b, a.pid FROM {_near('pts', 'pts', 4)} JOIN gap ga ON ga.obj = a.obj JOIN gap gb ON gb.obj = b.obj WHERE a.obj <> b.obj AND sqrt({_D2}) <= 2.5 * greatest(ga.spacing, gb.spacing)) GROUP BY 1, 2)
+  SELECT x.a, x.b, x.m / CAST(ca.n AS DOUBLE) AS a_to_b, y.m / CAST(cb.n AS DOUBLE) AS b_to_a, greatest(x.m / CAST(ca.n AS DOUBLE), y.m / CAST(cb.n AS DOUBLE)) >= 0.02 AS candidate FROM h x JOIN h y ON x.a = y.b AND x.b = y.a AND x.a < x.b JOIN c ca ON ca.obj = x.a JOIN c cb ON cb.obj = x.b""", "pts")
 def _(s, d):
-    return R.near_3d(S.few_points(s, d), "obj", "pid", 1.0)
+    return R.near_3d(S.points(s, d), "obj", "pid", 1.0)
 
 
-@query("dbscan_largest", "V2 V3", "obj:i n:i", None)
+#: Density clusters of each object: labels spread from neighbour to neighbour, other points join the least cluster near them.
+_DENSE = """nb AS (SELECT a.obj, a.pid AS a, b.pid AS b FROM {points} a JOIN {points} b ON a.obj = b.obj AND {d2} <= {eps2}), co AS (SELECT obj, a FROM nb GROUP BY 1, 2 HAVING count(*) >= {least}),
+  ln AS (SELECT nb.obj, nb.a, nb.b FROM nb JOIN co x ON x.obj = nb.obj AND x.a = nb.a JOIN co y ON y.obj = nb.obj AND y.a = nb.b),
+  lb(obj, p, c) USING KEY (obj, p) AS (SELECT obj, a, a FROM co UNION SELECT ln.obj, ln.b, min(lb.c) FROM lb JOIN ln ON ln.obj = lb.obj AND ln.a = lb.p JOIN recurring.lb r ON r.obj = ln.obj AND r.p = ln.b WHERE lb.c < r.c GROUP BY 1, 2),
+  bo AS (SELECT nb.obj, nb.a AS p, min(lb.c) AS c FROM nb JOIN lb ON lb.obj = nb.obj AND lb.p = nb.b WHERE (nb.obj, nb.a) NOT IN (SELECT obj, a FROM co) GROUP BY 1, 2),
+  cl AS (SELECT obj, c, count(*) AS n FROM (SELECT * FROM lb UNION ALL SELECT * FROM bo) GROUP BY 1, 2), big AS (SELECT obj, max(n) AS n FROM cl GROUP BY 1)"""
+
+
+@query("dbscan_largest", "V2", "obj:i n:i", "WITH RECURSIVE " + _DENSE.format(points="pts", d2=_D2, eps2=2.25, least=5) + " SELECT obj, CASE WHEN big.n >= 5 THEN big.n ELSE t.n END AS n FROM (SELECT obj, count(*) AS n FROM pts GROUP BY 1) t LEFT JOIN big USING (obj)", "pts")
 def _(s, d):
-    return P.keep_largest_cluster(S.few_points(s, d), ["obj"], "pid", 1.5, 5).groupBy("obj").agg(F.count("*").alias("n"))
+    return P.keep_largest_cluster(S.points(s, d), ["obj"], "pid", 1.5, 5).groupBy("obj").agg(F.count("*").alias("n"))
 
 
-@query("denoised_objects", "V3 M1", "obj:i n:i", None)
+@query("denoised_objects", "V3 V2 V1", "obj:i n:i", "WITH RECURSIVE vox AS (SELECT obj, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY obj, floor(x / 2), floor(y / 2), floor(z / 2)), vp AS (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY x, y, z) AS pid FROM vox), " + _DENSE.format(points="vp", d2=_D2, eps2=4.0, least=6) + """,
+  kept AS (SELECT obj, CASE WHEN big.n >= 5 THEN big.n ELSE v.n END AS n FROM (SELECT obj, count(*) AS n FROM vp GROUP BY 1) v LEFT JOIN big USING (obj)) SELECT obj, CASE WHEN kept.n >= 4 THEN kept.n ELSE t.n END AS n FROM kept JOIN (SELECT obj, count(*) AS n FROM pts GROUP BY 1) t USING (obj)""", "pts")
 def _(s, d):
-    return P.denoise(S.few_points(s, d), ["obj"], "pid", 1.0, 3.0, 4).groupBy("obj").agg(F.count("*").alias("n"))
+    return P.denoise(S.points(s, d), ["obj"], "pid", 2.0, 2.0, 6).groupBy("obj").agg(F.count("*").alias("n"))
 
 
 @query("track_pair_metrics", "J9 A6 V7 J18", "a:i b:i shared:i coverage:f median_iou:f iou_share:f median_ab:f share_ba:f median_ratio:f", "SELECT * FROM mtr", "met")
@@ -139,7 +160,7 @@ def _(s, d):
     return T.step_ratios(x, ["track"], "frame").filter("step is not null")
 
 
-@query("identity_quality", "A13 W9 C8", "track:i coverage:f max_step:f issues:s", """SELECT track, coverage, max_step, array_to_string(list_filter([CASE WHEN frames < 25 THEN 'short_track' END, CASE WHEN coverage < 0.9 THEN 'low_coverage' END, CASE WHEN cv > 1.0 THEN 'unstable_area' END, CASE WHEN max_step > 40 THEN 'area_jump' END], lambda x: x IS NOT NULL), ',') AS issues FROM
+@query("identity_quality", "A13 W9", "track:i coverage:f max_step:f issues:s", """SELECT track, coverage, max_step, array_to_string(list_filter([CASE WHEN frames < 25 THEN 'short_track' END, CASE WHEN coverage < 0.9 THEN 'low_coverage' END, CASE WHEN cv > 1.0 THEN 'unstable_area' END, CASE WHEN max_step > 40 THEN 'area_jump' END], lambda x: x IS NOT NULL), ',') AS issues FROM
   (SELECT track, count(*) AS frames, count(*) / 30.0 AS coverage, stddev_pop(a) / avg(a) AS cv, coalesce(max(greatest(p, a) / least(p, a)), 1.0) AS max_step FROM (SELECT track, hi - lo AS a, lag(hi - lo) OVER (PARTITION BY track ORDER BY frame) AS p FROM day) GROUP BY track)""", "day")
 def _(s, d):
     x = S.days(s, d).select("track", "frame", (F.col("hi") - F.col("lo")).alias("area"))
@@ -159,14 +180,26 @@ def _(s, d):
     return x.select("label", F.array_join("x", ",").alias("sources"))
 
 
-@query("complete_link", "V11 V14 J10", "track:i cluster:i", None)
+#: Complete-link clusters: tracks in order of their ids as text join the eligible cluster with most members (ties: the greater list of ids).
+_LINK = """com AS (SELECT a, b FROM mtr WHERE shared >= 3 AND coverage >= 0.2 AND ((a % 3 = b % 3 AND median_iou >= 0.3 AND iou_share >= 0.4) OR (a % 3 <> b % 3 AND median_iou >= 0.4 AND duplicate_share >= 0.5))),
+  adj AS (SELECT t.track, coalesce(list(CAST(o AS VARCHAR)) FILTER (WHERE o IS NOT NULL), []) AS near, row_number() OVER (ORDER BY CAST(t.track AS VARCHAR)) AS k FROM trk t LEFT JOIN (SELECT a AS t, b AS o FROM com UNION ALL SELECT b, a FROM com) e ON e.t = t.track GROUP BY t.track),
+  fol(k, cs) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[][]) UNION ALL
+    SELECT k, CASE WHEN best IS NULL THEN list_append(cs, [t]) ELSE list_transform(cs, lambda c: CASE WHEN c = best THEN list_append(c, t) ELSE c END) END FROM
+      (SELECT adj.k, cs, CAST(adj.track AS VARCHAR) AS t, list_aggregate(list_transform(list_filter(cs, lambda c: list_has_all(adj.near, c)), lambda c: struct_pack(n := len(c), c := c)), 'max').c AS best FROM fol JOIN adj ON adj.k = fol.k + 1)),
+  lin AS (SELECT CAST(unnest(c) AS BIGINT) AS track, i - 1 AS cluster FROM (SELECT unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (SELECT arg_max(cs, k) AS cs FROM fol)))"""
+
+
+@query("complete_link", "V11 J10", "track:i cluster:i", f"WITH RECURSIVE {_LINK} SELECT track, cluster FROM lin", "met")
 def _(s, d):
     t = S.tracks(s, d).select("scene", "track")
     f = T.duplicate_flags(_metrics(s, d), F.col("a") % 3 == F.col("b") % 3, LOOSE).filter("merge_kind is not null")
     return G.complete_link(t, f, "scene", "track")
 
 
-@query("identity_resolution", "V14 M10", "track:i root:i", None)
+@query("identity_resolution", "V14 W7 W8", "track:i cluster:i canonical:i root:i", f"""WITH RECURSIVE {_LINK}, can AS (SELECT cluster, track AS canonical FROM (SELECT lin.*, row_number() OVER (PARTITION BY cluster ORDER BY frames DESC, area_cv, CAST(lin.track AS VARCHAR)) AS r FROM lin JOIN trk ON trk.track = lin.track) WHERE r = 1),
+  {_FRAG}, par AS (SELECT child, parent FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY share DESC, containment DESC, pa DESC, ratio, shared DESC, parent DESC) AS r FROM frg WHERE child % 3 = parent % 3 AND child IN (SELECT canonical FROM can) AND parent IN (SELECT canonical FROM can)) WHERE r = 1),
+  ups(track, top) AS (SELECT canonical, canonical FROM can UNION SELECT ups.track, par.parent FROM ups JOIN par ON par.child = ups.top)
+  SELECT lin.track, lin.cluster, can.canonical, ups.top AS root FROM lin JOIN can ON can.cluster = lin.cluster JOIN ups ON ups.track = can.canonical WHERE ups.top NOT IN (SELECT child FROM par)""", "met")
 def _(s, d):
     t = S.tracks(s, d).withColumns({"confidence": F.lit(1.0), "label": F.col("label").cast("string")})
     return T.resolve(t, S.day_pairs(s, d), t.select("scene", "track", F.col("frames").alias("n")), cfg=LOOSE)
@@ -207,7 +240,7 @@ def _(s, d):
     return R.containment_summary(R.frame_containment(x), ["a", "b"])
 
 
-@query("relation_candidates", "V19 P22 J11 X6 K9", "a:i b:i reasons:s answer:s", """SELECT a, b, CASE WHEN o AND p THEN 'multiview_first_on_second,parent_hint_recall_only' WHEN o THEN 'multiview_first_on_second' ELSE 'parent_hint_recall_only' END AS reasons, CASE WHEN o THEN 'a on b' ELSE 'none of these' END AS answer
+@query("relation_candidates", "V19 P22 J11", "a:i b:i reasons:s answer:s", """SELECT a, b, CASE WHEN o AND p THEN 'multiview_first_on_second,parent_hint_recall_only' WHEN o THEN 'multiview_first_on_second' ELSE 'parent_hint_recall_only' END AS reasons, CASE WHEN o THEN 'a on b' ELSE 'none of these' END AS answer
   FROM (SELECT x.n_nationkey AS a, y.n_nationkey AS b, (x.n_nationkey + y.n_nationkey) % 3 = 0 AS o, x.n_regionkey = y.n_regionkey AS p, x.n_regionkey = 0 AND y.n_regionkey = 0 AS bg FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey) WHERE (o OR p) AND NOT bg""")
 def _(s, d):
     n = table(s, d, "nation")
@@ -225,7 +258,7 @@ def _(s, d):
     return G.directed_edges(x, "n_nationkey", "n_regionkey", "answer")
 
 
-@query("sparse_graph_rows", "V25 K7 K10 D14", "key:s value:s", """SELECT n.n_name AS key, '{' || array_to_string(list_filter([CASE WHEN n_nationkey % 2 = 0 THEN '"property":["' || n.n_name || '"]' END, CASE WHEN r.x IS NOT NULL THEN '"relation":[' || r.x || ']' END], lambda x: x IS NOT NULL), ',') || '}' AS value
+@query("sparse_graph_rows", "V25", "key:s value:s", """SELECT n.n_name AS key, '{' || array_to_string(list_filter([CASE WHEN n_nationkey % 2 = 0 THEN '"property":["' || n.n_name || '"]' END, CASE WHEN r.x IS NOT NULL THEN '"relation":[' || r.x || ']' END], lambda x: x IS NOT NULL), ',') || '}' AS value
   FROM nation n LEFT JOIN (SELECT a.n_nationkey AS k, string_agg('"on ' || b.n_name || '"', ',' ORDER BY 'on ' || b.n_name) AS x FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey = a.n_nationkey + 5 GROUP BY 1) r ON r.k = n_nationkey""")
 def _(s, d):
     n = table(s, d, "nation")
@@ -234,52 +267,64 @@ def _(s, d):
     return G.sparse_graph(nodes, e, "n_nationkey", "n_name", "p", "st")
 
 
-@query("edge_validation", "J15 C6 V25", "problem:s n:i", "SELECT 'target' AS problem, count(*) AS n FROM orders WHERE o_custkey % 50 = 0 AND o_custkey <> o_orderkey UNION ALL SELECT 'self', count(*) FROM orders WHERE o_custkey = o_orderkey AND o_custkey % 50 <> 0".replace("AND o_custkey <> o_orderkey", ""))
+_NODES = "(SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0)"
+
+
+@query("edge_validation", "J15 C6", "problem:s source:i target:i", f"SELECT 'source' AS problem, o_orderkey AS source, o_custkey AS target FROM orders WHERE o_orderkey NOT IN {_NODES} UNION ALL SELECT 'target', o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN {_NODES} UNION ALL SELECT 'self', o_orderkey, o_custkey FROM orders WHERE o_orderkey = o_custkey")
 def _(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target"))
-    c = table(s, d, "customer").filter("c_custkey % 50 <> 0").select("c_custkey").unionByName(o.select(F.col("source").alias("c_custkey")).filter("c_custkey >= 1500")).distinct()
-    bad = G.dangling(o, c, "c_custkey").filter("problem <> 'source'")
-    got = bad.filter("not (problem = 'self' and target % 50 = 0)").groupBy("problem").agg(F.count("*").alias("n"))
-    return s.createDataFrame([("target",), ("self",)], "problem string").join(got, "problem", "left").na.fill(0, ["n"])
+    return G.dangling(o, table(s, d, "customer").filter("c_custkey % 50 <> 0"), "c_custkey")
 
 
-_SIM = "sim AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS w FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.vec_id < 200 AND y.vec_id < 200), edg AS (SELECT * FROM sim WHERE w > 0.33)"
+_SIM = "edg AS (SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS w FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE w > 0.33)"
 
 
 def _graph(s, d):
     from ..functions.vectors import cosine
 
-    e = table(s, d, "embeddings").filter("vec_id < 200")
+    e = table(s, d, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
     return e.select(F.col("vec_id").alias("id")), a.join(b, F.col("a") < F.col("b")).select("a", "b", cosine(F.col("ea"), F.col("eb")).alias("weight")).filter("weight > 0.33")
 
 
-@query("components", "V9", "id:i component:i", f"WITH {_SIM}, und AS (SELECT a, b FROM edg UNION ALL SELECT b, a FROM edg), reach(id, c) AS (SELECT DISTINCT vec_id, vec_id FROM embeddings WHERE vec_id < 200 UNION SELECT und.b, reach.c FROM reach JOIN und ON und.a = reach.id) SELECT id, min(c) AS component FROM reach GROUP BY id".replace("WITH ", "WITH RECURSIVE ", 1))
+@query("components", "V9", "id:i component:i", f"WITH RECURSIVE {_SIM}, und AS (SELECT a, b FROM edg UNION ALL SELECT b, a FROM edg), cc(id, component) USING KEY (id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT und.b, min(cc.component) FROM cc JOIN und ON und.a = cc.id JOIN recurring.cc r ON r.id = und.b WHERE cc.component < r.component GROUP BY 1) SELECT id, component FROM cc")
 def _(s, d):
     n, e = _graph(s, d)
     return G.components(n, e)
 
 
-@query("mst_edges", "V10", "edges:i", f"WITH {_SIM}, und AS (SELECT a, b FROM edg UNION ALL SELECT b, a FROM edg), reach(id, c) AS (SELECT DISTINCT vec_id, vec_id FROM embeddings WHERE vec_id < 200 UNION SELECT und.b, reach.c FROM reach JOIN und ON und.a = reach.id) SELECT count(*) - count(DISTINCT c) AS edges FROM (SELECT id, min(c) AS c FROM reach GROUP BY id)".replace("WITH ", "WITH RECURSIVE ", 1))
+@query("mst_edges", "V10", "a:i b:i weight:f", f"""WITH RECURSIVE {_SIM}, ord AS (SELECT *, row_number() OVER (ORDER BY w, a, b) AS k FROM edg), pos AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+  kru(k, part, took) AS (SELECT 0, (SELECT list(vec_id ORDER BY vec_id) FROM embeddings), false UNION ALL
+    SELECT k + 1, CASE WHEN pa <> pb THEN list_transform(part, lambda p: CASE WHEN p = pb THEN pa ELSE p END) ELSE part END, pa <> pb FROM
+      (SELECT kru.k, kru.part, kru.part[x.i] AS pa, kru.part[y.i] AS pb FROM kru JOIN ord ON ord.k = kru.k + 1 JOIN pos x ON x.vec_id = ord.a JOIN pos y ON y.vec_id = ord.b)) SELECT a, b, w AS weight FROM ord JOIN kru ON kru.k = ord.k AND kru.took""")
 def _(s, d):
     _, e = _graph(s, d)
-    return G.spanning_forest(e).agg(F.count("*").alias("edges"))
+    return G.spanning_forest(e)
 
 
-@query("pose_leader_clusters", "V15", "track:i frame:i cluster:i", None)
+@query("pose_leader_clusters", "V15", "track:i frame:i cluster:i", """WITH RECURSIVE ps AS (SELECT track, frame, hi AS p, cos(radians(lo)) AS fx, sin(radians(lo)) AS fy, row_number() OVER (PARTITION BY track ORDER BY frame) AS k FROM day),
+  fo(track, k, frame, reps, cluster) AS (SELECT track, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(p DOUBLE, fx DOUBLE, fy DOUBLE)[]), CAST(-1 AS BIGINT) FROM ps WHERE k = 1 UNION ALL
+    SELECT track, k, frame, CASE WHEN hit IS NULL THEN list_append(reps, struct_pack(p := p, fx := fx, fy := fy)) ELSE reps END, coalesce(hit - 1, len(reps)) FROM
+      (SELECT ps.*, fo.reps, list_position(list_transform(fo.reps, lambda r: greatest(-1.0, least(1.0, ps.fx * r.fx + ps.fy * r.fy)) >= cos(radians(5.0)) AND abs(ps.p - r.p) <= 15.0), true) AS hit FROM fo JOIN ps ON ps.track = fo.track AND ps.k = fo.k + 1))
+  SELECT track, frame, cluster FROM fo WHERE k > 0""", "day")
 def _(s, d):
     x = S.days(s, d).withColumns({"z": F.lit(0.0), "fx": F.cos(F.radians(F.col("lo"))), "fy": F.sin(F.radians(F.col("lo")))})
     return G.leaders(x, ["track"], ["frame"], ["hi", "z", "z"], ["fx", "fy", "z"], 5.0, 15.0, "frame")
 
 
-@query("nms", "V20 P16 X8", "frame:i idx:i", None)
+@query("nms", "V20", "frame:i idx:i", """WITH RECURSIVE bx AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, idx) AS k FROM det),
+  fo(frame, k, kept) AS (SELECT DISTINCT frame, CAST(0 AS BIGINT), CAST([] AS STRUCT(idx BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) FROM bx UNION ALL
+    SELECT fo.frame, bx.k, CASE WHEN len(list_filter(kept, lambda o: greatest(0.0, least(o.x2, bx.x2) - greatest(o.x1, bx.x1)) * greatest(0.0, least(o.y2, bx.y2) - greatest(o.y1, bx.y1))
+      / ((o.x2 - o.x1) * (o.y2 - o.y1) + (bx.x2 - bx.x1) * (bx.y2 - bx.y1) - greatest(0.0, least(o.x2, bx.x2) - greatest(o.x1, bx.x1)) * greatest(0.0, least(o.y2, bx.y2) - greatest(o.y1, bx.y1))) > 0.3)) = 0
+      THEN list_append(kept, struct_pack(idx := bx.idx, x1 := bx.x1, y1 := bx.y1, x2 := bx.x2, y2 := bx.y2)) ELSE kept END FROM fo JOIN bx ON bx.frame = fo.frame AND bx.k = fo.k + 1)
+  SELECT frame, o.idx AS idx FROM (SELECT frame, unnest(arg_max(kept, k)) AS o FROM fo GROUP BY frame)""", "det")
 def _(s, d):
-    return G.nms(S.detections(s, d).filter("frame % 10 = 0"), ["frame"], "idx", "conf", 0.3).select("frame", "idx")
+    return G.nms(S.detections(s, d), ["frame"], "idx", "conf", 0.3).select("frame", "idx")
 
 
 @query("oriented_boxes", "G5 G6 G7 G10 G12 G16", "a:i b:i iou:f giou:f", None)
 def _(s, d):
-    x = O.fit_boxes(S.few_points(s, d), ["obj"])
+    x = O.fit_boxes(S.points(s, d), ["obj"])
     a = x.select(F.col("obj").alias("a"), F.col("center").alias("a_center"), F.col("axes").alias("a_axes"))
     b = x.select(F.col("obj").alias("b"), F.col("center").alias("b_center"), F.col("axes").alias("b_axes"))
     return O.pair_measures(a.join(b, F.col("a") < F.col("b"))).select("a", "b", "iou", "giou")
@@ -293,45 +338,42 @@ def _(s, d):
     return K.boxes(K.normalize(runs, ["obj"]), ["obj"])
 
 
-@query("mask_intersections", "V7 J9 A8", "a:i b:i inter:i", "WITH m AS (SELECT DISTINCT obj, x, y FROM pts WHERE obj < 30) SELECT p.obj AS a, q.obj AS b, count(*) AS inter FROM m p JOIN m q ON p.x = q.x AND p.y = q.y AND p.obj < q.obj GROUP BY 1, 2", "pts")
+@query("mask_intersections", "V7 J9 A8", "a:i b:i inter:i", "WITH m AS (SELECT DISTINCT obj, x, y FROM pts) SELECT p.obj AS a, q.obj AS b, count(*) AS inter FROM m p JOIN m q ON p.x = q.x AND p.y = q.y AND p.obj < q.obj GROUP BY 1, 2", "pts")
 def _(s, d):
     from ..operators import masks as K
 
-    runs = K.normalize(S.points(s, d).filter("obj < 30").select("obj", F.lit(0).alias("frame"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x0"), (F.col("x") + 1).cast("int").alias("x1")), ["obj", "frame"])
+    runs = K.normalize(S.points(s, d).select("obj", F.lit(0).alias("frame"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x0"), (F.col("x") + 1).cast("int").alias("x1")), ["obj", "frame"])
     return K.intersections(runs.withColumnRenamed("obj", "a"), runs.withColumnRenamed("obj", "b"), ["frame"], "a", "b").filter("a < b")
 
 
-@query("mask_dilate_carve", "V16 V17", "obj:i grown:i carved:i", """WITH m AS (SELECT DISTINCT obj, x, y FROM pts WHERE obj < 20 AND z = 1), g AS (SELECT DISTINCT obj, x + dx AS x, y + dy AS y FROM m, (SELECT unnest(range(-2, 3)) AS dx) a, (SELECT unnest(range(-2, 3)) AS dy) b WHERE abs(dx) + abs(dy) <= 2 AND x + dx BETWEEN 0 AND 59 AND y + dy BETWEEN 0 AND 19),
-  n AS (SELECT DISTINCT obj, x, y FROM pts WHERE obj < 20 AND z = 5) SELECT a.obj, a.n AS grown, coalesce(b.n, 0) AS carved FROM (SELECT obj, count(*) AS n FROM g GROUP BY 1) a LEFT JOIN (SELECT obj, count(*) AS n FROM n WHERE (obj, x, y) NOT IN (SELECT obj, x, y FROM g) GROUP BY 1) b ON a.obj = b.obj""", "pts")
+@query("mask_dilate_carve", "V16 V17", "obj:i grown:i carved:i", """WITH m AS (SELECT DISTINCT obj, x, y FROM pts WHERE z = 1), g AS (SELECT DISTINCT obj, x + dx AS x, y + dy AS y FROM m, (SELECT unnest(range(-2, 3)) AS dx) a, (SELECT unnest(range(-2, 3)) AS dy) b WHERE abs(dx) + abs(dy) <= 2 AND x + dx BETWEEN 0 AND 59 AND y + dy BETWEEN 0 AND 19),
+  n AS (SELECT DISTINCT obj, x, y FROM pts WHERE z = 5) SELECT a.obj, a.n AS grown, coalesce(b.n, 0) AS carved FROM (SELECT obj, count(*) AS n FROM g GROUP BY 1) a LEFT JOIN (SELECT obj, count(*) AS n FROM n WHERE (obj, x, y) NOT IN (SELECT obj, x, y FROM g) GROUP BY 1) b ON a.obj = b.obj""", "pts")
 def _(s, d):
     from ..operators import masks as K
 
-    runs = lambda z: K.normalize(S.points(s, d).filter(f"obj < 20 and z = {z}").select("obj", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x0"), (F.col("x") + 1).cast("int").alias("x1")), ["obj"])
+    runs = lambda z: K.normalize(S.points(s, d).filter(f"z = {z}").select("obj", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x0"), (F.col("x") + 1).cast("int").alias("x1")), ["obj"])
     g = K.dilate(runs(1), ["obj"], 2, 60, 20)
     left = K.areas(K.subtract(runs(5), g, ["obj"]), ["obj"]).withColumnRenamed("area", "carved")
     return K.areas(g, ["obj"]).withColumnRenamed("area", "grown").join(left, "obj", "left").na.fill(0, ["carved"])
 
 
-@query("density_clusters", "V2 V9", "obj:i cluster:i n:i", f"""WITH RECURSIVE nb AS (SELECT a.obj, a.pid AS a, b.pid AS b FROM few a JOIN few b ON a.obj = b.obj AND {_D2} <= 2.25), co AS (SELECT obj, a FROM nb GROUP BY 1, 2 HAVING count(*) >= 4),
-  ln AS (SELECT nb.obj, nb.a, nb.b FROM nb JOIN co x ON x.obj = nb.obj AND x.a = nb.a JOIN co y ON y.obj = nb.obj AND y.a = nb.b), re(obj, p, c) AS (SELECT obj, a, a FROM co UNION SELECT ln.obj, ln.b, re.c FROM re JOIN ln ON ln.obj = re.obj AND ln.a = re.p),
-  lb AS (SELECT obj, p, min(c) AS c FROM re GROUP BY 1, 2), bo AS (SELECT nb.obj, nb.a AS p, min(lb.c) AS c FROM nb JOIN lb ON lb.obj = nb.obj AND lb.p = nb.b WHERE (nb.obj, nb.a) NOT IN (SELECT obj, a FROM co) GROUP BY 1, 2)
-  SELECT obj, c AS cluster, count(*) AS n FROM (SELECT * FROM lb UNION ALL SELECT * FROM bo) GROUP BY 1, 2""", "few")
+@query("density_clusters", "V2 V9", "obj:i cluster:i n:i", "WITH RECURSIVE " + _DENSE.format(points="pts", d2=_D2, eps2=2.25, least=4) + " SELECT obj, c AS cluster, n FROM cl", "pts")
 def _(s, d):
     from ..operators.fusion import density_clusters
 
-    return density_clusters(S.few_points(s, d), "obj", "pid", 1.5, 4).groupBy("obj", "cluster").agg(F.count("*").alias("n"))
+    return density_clusters(S.points(s, d), "obj", "pid", 1.5, 4).groupBy("obj", "cluster").agg(F.count("*").alias("n"))
 
 
-@query("sparse_fusion", "G34 C5 M13", "pid:i object_id:i votes:i", """WITH pr AS (SELECT pid, f, floor((x - 4 * f) * 20 / (z + 5) + 30) AS u, floor((y - f) * 20 / (z + 5) + 15) AS v, z + 5 AS zz FROM (SELECT DISTINCT pid, x, y, z FROM few), (SELECT unnest(range(0, 5)) AS f)),
+@query("sparse_fusion", "G34 C5 M13", "pid:i object_id:i votes:i", """WITH pr AS (SELECT pid, f, floor((x - 4 * f) * 20 / (z + 5) + 30) AS u, floor((y - f) * 20 / (z + 5) + 15) AS v, z + 5 AS zz FROM (SELECT DISTINCT pid, x, y, z FROM pts), (SELECT unnest(range(0, 5)) AS f)),
   vi AS (SELECT * FROM (SELECT *, min(zz) OVER (PARTITION BY f, u, v) AS m FROM pr WHERE u >= 0 AND u < 200 AND v >= 0 AND v < 100) WHERE zz <= m + greatest(0.05, 0.03 * m)),
   ms AS (SELECT k AS object_id, f, 20 + 10 * k AS x0, 45 + 10 * k AS x1 FROM (SELECT unnest(range(0, 6)) AS k), (SELECT unnest(range(0, 5)) AS f) WHERE (k + f) % 4 > 0),
   vo AS (SELECT object_id, pid, count_if(u >= x0 AND u < x1 AND v >= 5 AND v < 60) AS votes, count(*) AS seen FROM vi JOIN ms USING (f) GROUP BY 1, 2), en AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM vo WHERE votes >= 1)
-  SELECT pid, object_id, votes FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY object_id % 2 DESC, votes / CAST(seen AS DOUBLE) DESC, votes DESC, n, object_id) AS r FROM en) WHERE r = 1""", "few")
+  SELECT pid, object_id, votes FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY object_id % 2 DESC, votes / CAST(seen AS DOUBLE) DESC, votes DESC, n, object_id) AS r FROM en) WHERE r = 1""", "pts")
 def _(s, d):
     from ..functions import poses as PO
     from ..operators import fusion as FU
 
-    pts = S.few_points(s, d).select(F.col("pid").alias("point_id"), "x", "y", "z").distinct()
+    pts = S.points(s, d).select(F.col("pid").alias("point_id"), "x", "y", "z").distinct()
     f = F.col("id").cast("double")
     cams = s.range(5).select(F.col("id").alias("frame_id"), PO.matrix(1, 0, 0, -4 * f, 0, 1, 0, -f, 0, 0, 1, 5, 0, 0, 0, 1).alias("extrinsic"), F.lit(20.0).alias("fx"), F.lit(20.0).alias("fy"), F.lit(30).alias("cx"), F.lit(15).alias("cy"), F.lit(200).alias("w"), F.lit(100).alias("h"))
     k = s.range(6).select(F.col("id").alias("object_id"))
@@ -340,7 +382,7 @@ def _(s, d):
     return FU.exclusive_owners(v, k.withColumn("priority", F.col("object_id") % 2), []).withColumnRenamed("point_id", "pid")
 
 
-@query("scene_graph", "M12 V19 V24 A10 A11 J11 X6", "scene:i a:i b:i reasons:s answer:s", None)
+@query("scene_graph", "M12 V19 V24 A10 A11 J11", "scene:i a:i b:i reasons:s answer:s", None)
 def _(s, d):
     from ..config import Graph
     from . import pipelines as PL
@@ -352,11 +394,15 @@ def _(s, d):
     return PL.scene_graph(objects, one, clusters, cfg=Relations(min_above=0.5, min_support=0.04, background_support=0.04, min_x_support=0.0, containment_support=0.2), graph=Graph(max_candidates=1000))[0]
 
 
-@query("scene_evaluation", "M14 J6 J7 A14 A15 A16", "scene:s miou:f classes:i", None)
+@query("scene_evaluation", "M14 J6 J7 A14 A15 A16", "scene:s miou:f classes:i", f"""WITH gt AS (SELECT CAST(obj // 2 % 2 AS VARCHAR) AS scene, obj * 1000000 + pid AS id, x, y, z, CAST(x AS BIGINT) % 4 AS c FROM pts WHERE obj % 2 = 1), pr AS (SELECT CAST(obj // 2 % 2 AS VARCHAR) AS scene, obj * 1000000 + pid AS id, x, y, z, CAST(x AS BIGINT) % 4 AS c FROM pts WHERE obj % 2 = 0),
+  jo AS (SELECT scene, c, arg_min(k, struct_pack(d := d2, i := i)) AS p FROM (SELECT a.scene, a.id, a.c, {_D2} AS d2, b.id AS i, b.c AS k FROM {_near('gt', 'pr', 4)} AND b.scene = a.scene) GROUP BY scene, id, c),
+  al AS (SELECT * FROM jo UNION ALL SELECT 'all', c, p FROM jo), g AS (SELECT scene, c, count(*) AS g, count_if(c = p) AS tp FROM al GROUP BY 1, 2), q AS (SELECT scene, p AS c, count(*) AS q FROM al GROUP BY 1, 2)
+  SELECT g.scene, avg(tp / greatest(1, g + coalesce(q, 0) - tp)) AS miou, count(*) AS classes FROM g LEFT JOIN q ON q.scene = g.scene AND q.c = g.c GROUP BY 1""", "pts")
 def _(s, d):
     from . import pipelines as PL
 
-    x = S.few_points(s, d)
-    gt = x.filter("obj < 50").select((F.col("obj") % 2).cast("string").alias("scene"), (F.col("obj") * 1000000 + F.col("pid")).alias("point_id"), "x", "y", "z", (F.col("x") % 4).cast("int").alias("class"))
-    pred = x.filter("obj >= 50").select((F.col("obj") % 2).cast("string").alias("scene"), (F.col("obj") * 1000000 + F.col("pid")).alias("pid"), "x", "y", "z", (F.col("x") % 4).cast("int").alias("label"))
+    scene = (F.floor(F.col("obj") / 2) % 2).cast("string").alias("scene")
+    x = S.points(s, d).withColumn("id", F.col("obj") * 1000000 + F.col("pid"))
+    gt = x.filter("obj % 2 = 1").select(scene, F.col("id").alias("point_id"), "x", "y", "z", (F.col("x") % 4).cast("int").alias("class"))
+    pred = x.filter("obj % 2 = 0").select(scene, F.col("id").alias("pid"), "x", "y", "z", (F.col("x") % 4).cast("int").alias("label"))
     return PL.evaluate_scenes(gt, pred, 1.0)[1]

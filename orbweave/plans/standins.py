@@ -24,10 +24,6 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("obj"), (F.col("l_quantity") * 10000 + y * 100 + z).cast("bigint").alias("pid"), F.col("l_quantity").alias("x"), y.alias("y"), z.alias("z")).distinct()
 
 
-def few_points(spark: SparkSession, d: str) -> DataFrame:
-    return points(spark, d).filter("obj % 10 = 3 and pid % 3 = 0")
-
-
 def object_boxes(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("obj")
     g = points(spark, d).groupBy("obj").agg(*(f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in "xyz"), F.count("*").alias("n"))

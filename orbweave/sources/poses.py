@@ -183,13 +183,16 @@ def trajectory(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_poses(positions: DataFrame, n: int, seed: int = 0, yaws: int = 8, replace: bool = False) -> DataFrame:
     """``n`` reachable positions (by a hash of x, z and seed), each looking ``yaws`` ways; with ``replace`` positions may repeat and yaws vary."""
-    rank = F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "x", "z"), "x", "z"))
+    from ..operators.filters import hash32
+    from ..operators.views import global_rank
+
+    mark = hash32(F.concat_ws(",", F.col("x").cast("double"), F.col("z").cast("double")), seed)
     if not replace:
-        chosen = positions.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+        chosen = positions.orderBy(mark, "x", "z").limit(n)
         return chosen.withColumn("yaw", F.explode(F.array(*(F.lit(360.0 / yaws * k) for k in range(yaws)))))
-    indexed = positions.withColumn("_r", rank - 1)
+    indexed = global_rank(positions, F.col("x"), F.col("z"), name="_r")
     total = positions.count()
-    draws = positions.sparkSession.range(n).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("_r"), (F.rand(seed) * 360).alias("yaw"))
+    draws = positions.sparkSession.range(n).select("id", F.pmod(hash32(F.col("id"), seed), F.lit(max(1, total))).alias("_r"), (hash32(F.col("id"), seed + 1) / 2**32 * 360).alias("yaw"))
     return draws.join(indexed, "_r").drop("_r")
 
 
