@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,30 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver's machine to all executors once; the name that :func:`shipped` takes."""
+    name = os.path.basename(path)
+    if not any(x.rpartition("/")[2] == name for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+    return name
+
+
+def shipped(name: str) -> str:
+    """Where a file sent by :func:`ship` lies on this machine."""
+    return SparkFiles.get(name)
+
+
+#: Bytes that a task of a shuffle whose size is known should get; more partitions than the session's default are made for more.
+PART_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, size: int, *on: str) -> DataFrame:
+    """Hash-partition by ``on``: as the session says, or into more partitions if ``size`` bytes ask for them."""
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = -(-size // PART_BYTES)
+    return df.repartition(n, *on) if n > default else df.repartition(*on)
+
+
 def small(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
     """A stored frame, and whether its rows fit the broadcast limit."""
     return df, df.count() * row_bytes <= BROADCAST_BYTES
