@@ -3,19 +3,22 @@
 Suffixes are ordered through ``threshold`` tokens only, by most-significant-digit radix passes, so equal groups
 are exactly the windows of that many tokens that occur again. Tokens are runs without ASCII white space, taken as they are.
 
-The first digit is the window's anchor: the least hash among its ``K``-token grams (the leftmost of
-equals). Equal windows have equal anchors, so a window whose anchor occurs once is unique and
-leaves at once; no repeated window is lost. Neighbouring windows share anchors, so only
-one anchor in about twenty tokens is shuffled to be counted. For anchors that occur again
-the tokens around them go to the anchor's partition, where radix passes over DIGIT tokens at
-a time split the buckets and drop what has become unique, until the depth is reached.
+The first digit is the window's anchor, the least hash among its ``K``-token grams (the leftmost of
+equals), with its side: the tokens after the anchor that all windows hold in whose first half it lies, or those before it that all the others hold. Equal
+windows have equal anchors at equal places, so a window whose first digit occurs once is unique and
+leaves at once; no repeated window is lost. Neighbouring windows share digits, so only
+one in about ten tokens is shuffled to be counted. For digits that occur again
+the tokens of their windows go to the digit's partition, where radix passes over DIGIT tokens at
+a time split the buckets and drop what has become unique, until the depth is reached. Stretches of equal tokens are sorted
+once, however often they occur, so a passage of many documents costs its task only a row each.
 
 Results: for each document the maximal runs of repeated windows, merged when they touch or overlap,
 as word bounds [start_word, end_word), apart by whether the windows are the first occurrences (``first``: least doc_id,
 then place) or later ones; ``copies`` is the largest number of occurrences among the
 run's windows. Occurrences within one document count. A text of fewer words than the threshold, a null or an empty one has
-none. Rows with a null doc_id are left out; rows with one doc_id and one text are one document.
-Whole texts count. An empty table gives no rows.
+none. Rows with a null doc_id are left out; rows with one doc_id and one text are one document, different texts of one doc_id are different ones.
+Very long texts count whole. An empty table gives no rows. Extra columns, also such with clashing names, are ignored by
+:func:`repeated_passages` and passed through by :func:`cut_repeats`.
 """
 
 from __future__ import annotations
@@ -28,26 +31,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import Masked, join_checked, pick, stored
+from .frames import BROADCAST_BYTES, Masked, join_checked, pick, spread, stored
 from .vector import SPACE, U64, Tokens, mix, slices, tidy
 
 THRESHOLD, K, DIGIT = 50, 8, 5
 #: Rows whose buckets are sorted together; a bucket is never split.
 ROWS = 5_000
+#: About what a stretch of windows takes in a shuffle.
+STRETCH_BYTES = 400
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-token grams that begin at each token; at the end of the array, of what is left."""
-    out = np.zeros(len(h), U64)
+    out, done, part, size, power = np.zeros(len(h), U64), 0, h, 1, U64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        for j in range(n):
-            out *= U64(0x9E3779B97F4A7C15)
-            out[: len(h) - j or None] += h[j:] if j else h
+
+        def joined(x: np.ndarray, y: np.ndarray, at: int) -> np.ndarray:
+            """x and then y, that begins ``at`` tokens later and is ``size`` long."""
+            x = x * power
+            x[: max(0, len(h) - at)] += y[at:]
+            return x
+
+        # Grams of 1, 2, 4 ... tokens, and of the binary digits of n.
+        while size <= n:
+            if n & size:
+                out, done = joined(out, part, done), done + size
+            part, size, power = joined(part, part, size), size * 2, power * power
     return mix(out)
 
 
 def anchors(tok: Tokens, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, anchor's token, anchor's hash) of every window of the rows' tokens."""
+    """(first token, windows, first digit) of every stretch of windows with one anchor and side."""
     n, span = len(tok.hash), threshold - K + 1
     if n < threshold:
         z = np.zeros(0, np.int64)
@@ -62,9 +76,19 @@ def anchors(tok: Tokens, threshold: int) -> tuple[np.ndarray, np.ndarray, np.nda
     if span > width:
         key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
     begin = np.flatnonzero(tok.doc[: n - threshold + 1] == tok.doc[threshold - 1 :])
+    if not len(begin):
+        return begin, begin, begin.astype(U64)
     low = (key[begin] & places).astype(np.int64)
     at = begin + ((low - begin) & int(places))
-    return begin, at, full[at]
+    after = (threshold - K) // 2
+    before = threshold - K - after + 1
+    left = at - begin >= before
+    one = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (left[1:] != left[:-1])]))
+    first, at, left = begin[one], at[one], left[one]
+    side = np.where(left, _grams(tok.hash, before)[np.maximum(at - before, 0)], _grams(tok.hash, after)[np.minimum(at + K, n - 1)])
+    with np.errstate(over="ignore"):
+        digit = mix(full[at] * U64(0xD6E8FEB86659FD93) + mix(side + left.astype(U64)))
+    return first, np.diff(np.append(one, len(begin))), digit
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -76,26 +100,23 @@ def _count(threshold: int):
         for big in batches:
             for b in slices(big):
                 tok = Tokens(b.column(1), SPACE)
-                _, at, h = anchors(tok, threshold)
-                one = np.flatnonzero(np.diff(at, prepend=-1))
-                yield pa.record_batch([b.column(0).take(pa.array(tok.doc[at[one]])), pa.array(_signed(h[one])), pa.array((at[one] - tok.first[tok.doc[at[one]]]).astype(np.int32))], names=["doc_id", "key", "at"])
+                first, _, h = anchors(tok, threshold)
+                yield pa.record_batch([b.column(0).take(pa.array(tok.doc[first])), pa.array(_signed(h))], names=["doc_id", "key"])
 
     return run
 
 
 def _stretches(threshold: int):
-    """Rows (key, doc_id, start, windows, tokens): for each repeated anchor the tokens of its windows."""
+    """Rows (key, doc_id, start, windows, tokens): for each repeated first digit the tokens of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big):
                 tok = Tokens(b.column(1), SPACE)
-                begin, at, h = anchors(tok, threshold)
-                if not len(begin):
+                first, windows, h = anchors(tok, threshold)
+                if not len(first):
                     continue
-                one = np.flatnonzero(np.diff(at, prepend=-1))
-                stop = np.append(one[1:], len(at))
-                row = tok.doc[at[one]]
+                row = tok.doc[first]
                 wanted = b.column(2)
                 sizes = wanted.value_lengths().to_numpy(zero_copy_only=False)
                 keys = wanted.flatten().to_numpy().view(U64)
@@ -103,17 +124,16 @@ def _stretches(threshold: int):
                 # Of row and hash together: both sides as one sorted key.
                 with np.errstate(over="ignore"):
                     have = np.sort(mix(keys + owner.astype(U64) * U64(0x9E3779B97F4A7C15)))
-                    ask = mix(h[one] + row.astype(U64) * U64(0x9E3779B97F4A7C15))
+                    ask = mix(h + row.astype(U64) * U64(0x9E3779B97F4A7C15))
                 if not len(have):
                     continue
                 ok = have[np.minimum(np.searchsorted(have, ask), len(have) - 1)] == ask
-                one, stop, row = one[ok], stop[ok], row[ok]
-                first, windows = begin[one], stop - one
+                first, windows, row, h = first[ok], windows[ok], row[ok], h[ok]
                 last = first + windows - 1 + threshold - 1
                 text = tok.bytes.tobytes()
                 parts = [text[x:y] for x, y in zip(tok.start[first].tolist(), tok.end[last].tolist())]
                 yield pa.record_batch(
-                    [pa.array(_signed(h[one])), b.column(0).take(pa.array(row)), pa.array((first - tok.first[row]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(parts, pa.binary())],
+                    [pa.array(_signed(h)), b.column(0).take(pa.array(row)), pa.array((first - tok.first[row]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(parts, pa.binary())],
                     names=["key", "doc_id", "start", "windows", "tokens"],
                 )
 
@@ -140,34 +160,56 @@ def radix(tokens: np.ndarray, place: np.ndarray, bucket: np.ndarray, depth: int)
     return live, group
 
 
+def _runs(row: np.ndarray, j: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last, most copies) of the runs of neighbouring windows, that are sorted."""
+    at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)])) if len(row) else row
+    end = np.append(at[1:], len(row))[: len(at)] - 1
+    return row[at], j[at], j[end], np.maximum.reduceat(copies, at) if len(at) else copies
+
+
 def _repeated(rows: list[pa.RecordBatch], threshold: int) -> pa.RecordBatch:
     t = pa.Table.from_batches(rows).combine_chunks()
     key, doc, start, windows = (t.column(i).to_numpy().astype(np.int64) for i in range(4))
-    tok = Tokens(t.column(4).combine_chunks().cast(pa.string()), SPACE)
-    row = np.repeat(np.arange(len(key)), windows)
-    j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    pos = start[row] + j
-    live, group = radix(tok.hash, tok.first[row] + j, np.unique(key, return_inverse=True)[1][row], threshold)
-    # A row repeated with its doc_id is the same occurrence.
-    order = np.lexsort((pos[live], doc[row[live]], group))
+    coded = t.column(4).combine_chunks().dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    # Occurrences by stretch, doc_id and place; a row repeated with its doc_id is the same occurrence.
+    order = np.lexsort((start, doc, code))
+    key, doc, start, windows, code = (x[order] for x in (key, doc, start, windows, code))
+    new = np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
+    key, doc, start, windows, code = (x[new] for x in (key, doc, start, windows, code))
+    head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    times = np.diff(np.append(head, len(code)))
+    # The windows of each stretch; its least occurrence stands for it.
+    tok = Tokens(coded.dictionary.cast(pa.string()), SPACE)
+    n = windows[head]
+    row = np.repeat(np.arange(len(head)), n)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    live, group = radix(tok.hash, tok.first[code[head[row]]] + j, np.unique(key[head], return_inverse=True)[1][row], threshold)
+    # Windows of one stretch only, that occurs again.
+    alone = times[row] > 1
+    alone[live] = False
+    alone = np.flatnonzero(alone)
+    top = int(group.max(initial=-1)) + 1
+    live, group = np.concatenate([live, alone]), np.concatenate([group, top + np.arange(len(alone))])
+    order = np.lexsort((start[head[row[live]]] + j[live], doc[head[row[live]]], group))
     live, group = live[order], group[order]
-    d, p = doc[row[live]], pos[live]
-    new = np.ones(len(live), bool)
-    new[1:] = (group[1:] != group[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])
-    live, group, d, p = live[new], group[new], d[new], p[new]
-    copies = np.bincount(group, minlength=1)[group] if len(group) else group
-    first = np.ones(len(group), bool)
-    first[1:] = group[1:] != group[:-1]
-    ok = copies > 1
-    d, p, copies, first = d[ok], p[ok], copies[ok], first[ok]
-    order = np.lexsort((p, first, d))
-    d, p, copies, first = d[order], p[order], copies[order], first[order]
-    head = np.ones(len(d), bool)
-    head[1:] = (d[1:] != d[:-1]) | (first[1:] != first[:-1]) | (p[1:] != p[:-1] + 1)
-    at = np.flatnonzero(head)
-    end = np.append(at[1:], len(d))[: len(at)] - 1
-    most = np.maximum.reduceat(copies, at) if len(at) else copies
-    return pa.record_batch([pa.array(d[at]), pa.array(p[at].astype(np.int32)), pa.array((p[end] + threshold).astype(np.int32)), pa.array(most), pa.array(first[at])], names=["doc_id", "start_word", "end_word", "copies", "first"])
+    copies = np.bincount(group, times[row[live]], minlength=1).astype(np.int64)[group] if len(group) else group
+    least = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else group.astype(bool)
+    order = np.argsort(live)
+    live, copies, least = live[order], copies[order], least[order]
+    row, j = row[live], j[live]
+    parts = []
+    for of_head, mask in ((True, least), (True, ~least), (False, np.ones(len(live), bool))):
+        r, a, z, most = _runs(row[mask], j[mask], copies[mask])
+        if of_head:
+            at, run = head[r], np.arange(len(r))
+        else:  # every other occurrence has the runs of its stretch
+            m = times[r] - 1
+            run = np.repeat(np.arange(len(r)), m)
+            at = np.repeat(head[r] + 1, m) + np.arange(len(run)) - np.repeat(np.cumsum(m) - m, m)
+        parts.append((doc[at], start[at] + a[run], start[at] + z[run] + threshold, most[run], np.full(len(at), of_head and mask is least)))
+    d, lo, hi, most, first = (np.concatenate(x) for x in zip(*parts))
+    return pa.record_batch([pa.array(d), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(most.astype(np.int64)), pa.array(first)], names=["doc_id", "start_word", "end_word", "copies", "first"])
 
 
 def _sort(threshold: int):
@@ -202,15 +244,13 @@ def repeated_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if threshold < K:
         raise ValueError(f"the threshold must be at least {K}")
     rows = pick(docs, doc_id="bigint", text="string").filter("doc_id is not null and text is not null")
-    found = stored(rows.mapInArrow(tidy(_count(threshold)), "doc_id bigint, key bigint, at int"), "anchors")
+    found = stored(rows.mapInArrow(tidy(_count(threshold)), "doc_id bigint, key bigint"), "anchors")
     again = stored(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "anchors-again")
     wanted = stored(join_checked(found, again, "key", "left_semi", 16).groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "anchors-wanted")
-    size = wanted.agg(F.sum(F.size("keys") * 8 + 32)).first()[0] or 0
-    from .frames import BROADCAST_BYTES
-
-    with_keys = rows.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "doc_id").select("doc_id", "text", "keys")
+    keys, held = (x or 0 for x in wanted.agg(F.sum(F.size("keys")), F.count("*")).first())
+    with_keys = rows.join(F.broadcast(wanted) if keys * 8 + held * 32 <= BROADCAST_BYTES else wanted, "doc_id").select("doc_id", "text", "keys")
     stretches = with_keys.mapInArrow(tidy(_stretches(threshold)), "key bigint, doc_id bigint, start int, windows int, tokens binary")
-    parts = stretches.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_sort(threshold)), "doc_id bigint, start_word int, end_word int, copies bigint, first boolean")
+    parts = spread(stretches, keys * STRETCH_BYTES, "key").sortWithinPartitions("key").mapInArrow(tidy(_sort(threshold)), "doc_id bigint, start_word int, end_word int, copies bigint, first boolean")
     order = W.partitionBy("doc_id", "first").orderBy("start_word", "end_word")
     before = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(before >= F.col("start_word"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
