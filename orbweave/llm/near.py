@@ -13,15 +13,19 @@ leaders (the smallest doc_id left takes all that are promising with it, and so o
 weighted Jaccard similarity of whole texts and closed to groups. Of documents that agree in all samples only the smallest is
 bucketed; the others are verified against it. In a second pass every promising pair of a bucket whose
 documents are not yet in one group is verified. So the groups are those of all promising pairs,
-though a group of thousands of copies costs verifications in proportion to its size. No bucket is skipped or cut.
+though a group of thousands of copies costs verifications in proportion to its size. No bucket is skipped or cut; large ones
+are searched by pairs of samples, which finds the same pairs without comparing all with all.
 The smallest doc_id of each group (connected component) is kept.
 
-A text without words (null, empty, punctuation) is in no group, nor is a row with a null doc_id. Rows with
-one doc_id are one document. Exact copies are near copies. An empty table gives no rows.
+A text without words (null, empty, punctuation) is in no group, nor is a row with a null doc_id. Very long texts count whole. Rows with
+one doc_id are one document: if their texts differ all are sketched and the least text is compared. Exact copies are near copies. Ties in
+similarity need no order, as groups are connected components. An empty table gives no rows. Extra columns, also such with clashing names, are
+ignored by :func:`near_copies` and passed through by :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import Masked, delete, drop_stored, join_checked, pick, scratch_path, stored
+from .frames import Masked, delete, drop_stored, join_checked, pick, scratch_path, spread, stored
 from .vector import NONWORD, U64, Tokens, mix, shingles, slices, tidy
 
 THRESHOLD, SHINGLE, BITS = 0.5, 3, 18
@@ -155,8 +159,8 @@ def _merged(path: str):
 class Frequencies:
     """Exact document frequencies in files by range of hashes."""
 
-    def __init__(self, path: str, bits: int, sizes: dict[int, int], docs: int):
-        self.path, self.bits, self.sizes, self.docs = path, bits, sizes, docs
+    def __init__(self, path: str, bits: int, sizes: dict[int, int], docs: int, text_bytes: int = 0):
+        self.path, self.bits, self.sizes, self.docs, self.text_bytes = path, bits, sizes, docs, text_bytes
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __getstate__(self):
@@ -195,9 +199,9 @@ def exact_frequencies(rows: DataFrame) -> Frequencies:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(1, int(size // RANGE_BYTES).bit_length())
     path = scratch_path(rows.sparkSession, "near-frequencies")
-    sent = rows.mapInArrow(tidy(_ranged(bits)), "part bigint, hashes binary, counts binary").repartition("part").sortWithinPartitions("part")
+    sent = spread(rows.mapInArrow(tidy(_ranged(bits)), "part bigint, hashes binary, counts binary"), 2 * size, "part").sortWithinPartitions("part")
     got = {r.part: r.n for r in sent.mapInArrow(tidy(_merged(path)), "part bigint, n bigint").collect()}
-    return Frequencies(path, bits, {k: n for k, n in got.items() if k >= 0}, got.get(-1, 0))
+    return Frequencies(path, bits, {k: n for k, n in got.items() if k >= 0}, got.get(-1, 0), size)
 
 
 def weigh(idf: np.ndarray | Frequencies, h: np.ndarray) -> np.ndarray:
@@ -254,9 +258,13 @@ def _sketched(idf: np.ndarray | Frequencies):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, labels, samples) of each bucket, from rows (band, key, doc_id, label, samples) sorted by bucket and doc_id."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(band, doc_ids, labels, samples) of each bucket, from rows (band, key, doc_id, label, samples) sorted by bucket and doc_id."""
     held: list[tuple] = []
+
+    def whole():
+        return held[0][0][0], *(np.concatenate(x) for x in list(zip(*held))[1:])
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -265,52 +273,135 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         cut = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1
         for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
             if held and held[-1][0] != (band[lo], key[lo]):
-                yield tuple(np.concatenate(x) for x in list(zip(*held))[1:])
+                yield whole()
                 held = []
-            held.append(((band[lo], key[lo]), doc[lo:hi], label[lo:hi], samples[lo:hi]))
+            held.append(((int(band[lo]), int(key[lo])), doc[lo:hi], label[lo:hi], samples[lo:hi]))
     if held:
-        yield tuple(np.concatenate(x) for x in list(zip(*held))[1:])
+        yield whole()
+
+
+#: A larger bucket is searched by its samples' pairs, and groups up to FEW of equal pairs at once. Neither changes what is found.
+SPLIT, FEW = 1024, 32
 
 
-def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+def _agree(samples: np.ndarray, i, j) -> np.ndarray:
+    return (samples[i] == samples[j]).sum(-1) >= AGREE
+
+
+def _groups(samples: np.ndarray, band: int) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray]]:
+    """All pairs of a bucket that are promising are in a group or a pair of these: (rows of a group, -, -) or (None, i, j), i < j.
+
+    Beside the band's own samples, that all rows share, a promising pair agrees in AGREE - ROWS others. These are cut into one
+    part less, so by the pigeonhole principle in some part it agrees in two samples: rows are grouped by every two samples of a part.
+    """
+    others = np.setdiff1d(np.arange(SAMPLES), np.arange(band * ROWS, band * ROWS + ROWS))
+    for part in np.array_split(others, AGREE - ROWS - 1):
+        for x, y in itertools.combinations(part.tolist(), 2):
+            key = samples[:, x].astype(np.uint16) << 8 | samples[:, y]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(head, len(key)))
+            for a, n in zip(head[size > FEW].tolist(), size[size > FEW].tolist()):
+                yield order[a : a + n], order[:0], order[:0]
+            few = np.repeat(size <= FEW, size)
+            order, key = order[few], key[few]
+            for k in range(1, FEW):
+                at = np.flatnonzero(key[k:] == key[:-k])
+                if not len(at):
+                    break
+                i, j = order[at], order[at + k]
+                ok = _agree(samples, i, j)
+                if ok.any():
+                    yield None, i[ok], j[ok]
+
+
+def _led(rows: np.ndarray, samples: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(leader, members): the first row left takes all that are promising with it, and so on."""
+    while len(rows) > 1:
+        near = _agree(samples, rows[1:], rows[0])
+        if near.any():
+            yield np.full(int(near.sum()), rows[0]), rows[1:][near]
+        rows = rows[1:][~near]
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, b, n = [], [], 0
-    for doc, _, samples in _buckets(batches):
-        while len(doc) > 1:
-            near = (samples[1:] == samples[0]).sum(1) >= AGREE
-            if near.any():
-                b.append(doc[1:][near])
-                a.append(np.full(len(b[-1]), doc[0]))
-                n += len(b[-1])
-            doc, samples = doc[1:][~near], samples[1:][~near]
-        if n > 100_000:
-            yield _edges(a, b)
-            a, b, n = [], [], 0
-    if n:
-        yield _edges(a, b)
+    """Promising pairs that lead from each document of a bucket to a smaller one, if there is one."""
+    out = Edges()
+    for band, doc, _, samples in _buckets(batches):
+        if len(doc) <= SPLIT:
+            for i, j in _led(np.arange(len(doc)), samples):
+                yield from out.add(doc[i], doc[j])
+            continue
+        up = np.arange(len(doc)).tolist()
+
+        def top(x: int, up: list[int] = up) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for rows, a, b in _groups(samples, band):
+            for i, j in [(a, b)] if rows is None else _led(rows, samples):
+                new = []  # of pairs that are linked already one way is enough
+                for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+                    if (x := top(x)) != (y := top(y)):
+                        up[max(x, y)] = min(x, y)
+                        new.append(k)
+                yield from out.add(doc[i[new]], doc[j[new]])
+    yield from out.rest()
+
+
+def _apart(rows: np.ndarray, samples: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Promising pairs with different labels; every row but those of the commonest label is compared with the others."""
+    names, own = np.unique(label[rows], return_inverse=True)
+    if len(names) == 1:
+        return
+    most = np.bincount(own).argmax()
+    base, rest = rows[own == most], rows[own != most]
+    for k, i in enumerate(rest):
+        far = rest[k + 1 :]
+        far = np.concatenate([base, far[label[far] != label[i]]])
+        far = far[_agree(samples, far, i)]
+        if len(far):
+            yield np.minimum(far, i), np.maximum(far, i)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Promising pairs of documents with different labels."""
-    a, b, n = [], [], 0
-    for doc, label, samples in _buckets(batches):
+    """All promising pairs of documents with different labels."""
+    out = Edges()
+    for band, doc, label, samples in _buckets(batches):
         if (label == label[0]).all():
             continue
-        for i in range(len(doc) - 1):
-            far = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            near = far[(samples[far] == samples[i]).sum(1) >= AGREE]
-            if len(near):
-                b.append(doc[near])
-                a.append(np.full(len(near), doc[i]))
-                n += len(near)
-        if n > 100_000:
-            yield _edges(a, b)
-            a, b, n = [], [], 0
-    if n:
-        yield _edges(a, b)
+        if len(doc) <= SPLIT:
+            for i, j in _apart(np.arange(len(doc)), samples, label):
+                yield from out.add(doc[i], doc[j])
+            continue
+        for rows, a, b in _groups(samples, band):
+            for i, j in [(a, b)] if rows is None else _apart(rows, samples, label):
+                ok = label[i] != label[j]
+                yield from out.add(doc[i[ok]], doc[j[ok]])
+    yield from out.rest()
+
+
+class Edges:
+    """Pairs (a, b), a < b, gathered to batches without those repeated within."""
+
+    def __init__(self):
+        self.a, self.b, self.n = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            self.a.append(a)
+            self.b.append(b)
+            self.n += len(a)
+            if self.n > 100_000:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            both = np.unique(np.stack([np.concatenate(self.a), np.concatenate(self.b)]), axis=1)
+            yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        self.a, self.b, self.n = [], [], 0
 
 
 class Verifier:
@@ -377,6 +468,7 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     members = stored(bands.withColumn("n", F.count("*").over(bucket)).filter("n > 1").drop("n").distinct(), "near-buckets")
     wanted = stored(members.select("doc_id").unionByName(twins.select(F.col("a").alias("doc_id"))).unionByName(twins.select(F.col("b").alias("doc_id"))).distinct(), "near-candidates")
     texts = stored(join_checked(rows, wanted, "doc_id", "left_semi", 16).groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    many_rows = members.count() * (SAMPLES + 64)
     sampled = stored(join_checked(chosen.select("doc_id", "samples"), wanted, "doc_id", "left_semi", 16).groupBy("doc_id").agg(F.min("samples").alias("samples")), "near-samples")
     drop_stored(sketches)
     drop_stored(chosen)
@@ -387,19 +479,25 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
             m = m.withColumn("keep_id", F.col("doc_id"))
         else:
             m = m.join(labels, "doc_id", "left").withColumn("keep_id", F.coalesce("keep_id", "doc_id"))
-        ordered = m.select("band", "key", "doc_id", "keep_id", "samples").repartition("band", "key").sortWithinPartitions("band", "key", "doc_id")
+        ordered = m.select("band", "key", "doc_id", "keep_id", "samples")
+        ordered = spread(ordered, many_rows, "band", "key").sortWithinPartitions("band", "key", "doc_id")
         return stored(ordered.mapInArrow(_leaders if labels is None else _across, "a bigint, b bigint").distinct(), "near-proposed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # Each text is sent once per pair it is a member of, and a leader's once: no row holds two texts.
         member = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "text")
         leader = pairs.select("a").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.lit(None).cast("bigint").alias("b"), "text")
-        rows = member.unionByName(leader).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+        size = 2 * pairs.count() * (idf.text_bytes // max(1, idf.docs) + 64)
+        rows = spread(member.unionByName(leader), size, "a").sortWithinPartitions("a", F.asc_nulls_first("b"))
         return stored(rows.mapInArrow(tidy(_verify(idf, threshold)), "a bigint, b bigint"), "near-verified")
 
-    first = verified(proposed(None).unionByName(twins).distinct())
+    leads = proposed(None)
+    first = verified(stored(leads.unionByName(twins).distinct(), "near-pairs"))
     groups = components(first)
-    second = verified(proposed(groups))
+    others = proposed(groups)
+    second = verified(others)
+    for used in (twins, members, wanted, texts, sampled, leads, others):
+        drop_stored(used)
     delete(docs.sparkSession, idf.path)
     if second.isEmpty():
         return first, groups
@@ -424,6 +522,7 @@ def components(pairs: DataFrame) -> DataFrame:
         drop_stored(labels)
         labels = new
         if not changed:
+            drop_stored(edges)
             return labels.select("doc_id", "keep_id")
 
 
