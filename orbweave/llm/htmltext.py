@@ -12,11 +12,17 @@ many times below different menus and ads is kept in all its copies. A passage th
 license line, is template.
 
 A null page or an empty one gives an empty text; so does a page that is all template. A url
-without a host has the host ''. A repeated row counts as one page and each has its own result. Markup that never closes is closed at its parent's end. Empty tables give no rows.
+without a host has the host ''. A repeated row counts as one page and each has its own result; so do rows with one page_id. Equal counts need no
+order: a subtree is template or not by its count alone. Markup that never closes is closed at its parent's end; a tag that never ends is text. Very long
+pages are parsed whole, in time proportional to their length. Empty tables give no rows. Extra columns are ignored, also such with clashing names.
+
+Templates beyond the broadcast limit are joined to the pages by shuffle on the host; a hot host's partition is
+split by adaptive execution (skew join), which repeats only its template list.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -29,8 +35,10 @@ from pyspark.sql import functions as F
 from .frames import BROADCAST_BYTES, pick, stored
 
 MIN_PAGES = 5
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*+)")
+_ATTR = re.compile(r"(?<![-\w:.])([A-Za-z_:][-\w:.]*+)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_MARK = re.compile(r"[>\"']")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noscript", "noembed")}
 _MUTE = frozenset("script style template noscript iframe noembed svg object head textarea select button".split())
@@ -39,10 +47,67 @@ _BLOCK = frozenset("address article aside blockquote br body dd div dl dt fields
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}, "tbody": {"tr", "td", "th", "thead"}}
 _P_ENDS = _BLOCK - {"br", "td", "th", "tr", "li", "option", "body", "html", "tbody", "thead", "tfoot", "title", "dd", "dt", "figcaption"}
 _BOUNDARY = frozenset("ul ol dl table div article section body html nav main aside header footer blockquote form".split())
+_P = frozenset("p")
+_IMPLIED = frozenset(x for v in _CLOSES.values() for x in v)
 _KEEP = frozenset(("class", "id", "href", "src", "alt", "type"))
 _SPACE = re.compile(r"[^\S\n]+")
 
 
+class Ends:
+    """Where tags end: whether a ``>`` outside quotes follows a place. Quotes without a partner end nothing."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in _MARK.finditer(page)]
+        n = len(self.at)
+        self.closed = [False] * (n + 1)
+        after = {'"': n, "'": n}  # the next quote of each kind
+        for i in range(n - 1, -1, -1):
+            c = page[self.at[i]]
+            if c == ">":
+                self.closed[i] = True
+            else:
+                self.closed[i] = after[c] < n and self.closed[after[c] + 1]
+                after[c] = i
+
+    def __call__(self, pos: int) -> bool:
+        return self.closed[bisect.bisect_left(self.at, pos)]
+
+
+class Open:
+    """The stack of open elements, with counts by tag, so that an end tag or an implied end is searched for only if there is one to find."""
+
+    def __init__(self, root: Node):
+        self.stack, self.tags, self.scopes = [root], {}, [{}]
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.tags[node.tag] = self.tags.get(node.tag, 0) + 1
+        if node.tag in _BOUNDARY:
+            self.scopes.append({})
+        elif node.tag in _IMPLIED:
+            self.scopes[-1][node.tag] = self.scopes[-1].get(node.tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.tags[tag] -= 1
+        if tag in _BOUNDARY:
+            self.scopes.pop()
+        elif tag in _IMPLIED:
+            self.scopes[-1][tag] -= 1
+        return tag
+
+    def end(self, tag: str) -> None:
+        if self.tags.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def imply(self, tags: frozenset | set) -> None:
+        """End the innermost open element of these kinds within the scope, and all it holds."""
+        if any(self.scopes[-1].get(t) for t in tags):
+            while self.pop() not in tags:
+                pass
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids", "hash")
 
@@ -53,29 +118,31 @@ class Node:
 def parse(page: str | None) -> Node:
     """The element tree of a page, hashed."""
     root = Node("#root")
-    stack, pos, page = [root], 0, page or ""
-    while m := _TAG.search(page, pos):
-        if m.start() > pos:
-            stack[-1].kids.append(page[pos : m.start()])
-        pos = m.end()
+    opened, pos, page = Open(root), 0, page or ""
+    stack, at, ends = opened.stack, 0, None
+    while (at := page.find("<", at)) >= 0:
+        if ends and (name := _NAME.match(page, at)) and not ends(name.end()):
+            m = None
+        else:
+            m = _TAG.match(page, at)
+        if m is None:
+            if ends is None and _NAME.match(page, at):
+                ends = Ends(page)  # from now on no tag is tried that doesn't end
+            at += 1
+            continue
+        if at > pos:
+            stack[-1].kids.append(page[pos:at])
+        pos = at = m.end()
         tag = m.group(2)
         if tag is None:
             continue
         tag = tag.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            opened.end(tag)
             continue
-        shut = _CLOSES.get(tag, {"p"} if tag in _P_ENDS else None)
+        shut = _CLOSES.get(tag, _P if tag in _P_ENDS else None)
         if shut:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in shut:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _BOUNDARY:
-                    break
+            opened.imply(shut)
         attrs = m.group(3)
         if "=" in attrs:
             attrs = " ".join(sorted(f"{a.lower()}={v.strip(chr(34) + chr(39))}" for a, v in _ATTR.findall(attrs) if a.lower() in _KEEP))
@@ -88,9 +155,9 @@ def parse(page: str | None) -> Node:
             stop = end.start() if end else len(page)
             if stop > pos:
                 node.kids.append(page[pos:stop])
-            pos = end.end() if end else len(page)
+            pos = at = end.end() if end else len(page)
         elif tag not in _VOID and not m.group(3).endswith("/"):
-            stack.append(node)
+            opened.push(node)
     if pos < len(page):
         stack[-1].kids.append(page[pos:])
     return _hashed(root)
