@@ -7,12 +7,14 @@ North American form, area code in parentheses or five pairs from 0 on. Score = b
 context words within CONTEXT characters add, at most 1; spans under ``min_score`` are dropped.
 Of overlapping spans the higher score stays (ties: the longer, then the earlier, then the kind's name).
 
-A null or empty text has no spans; whole texts are scanned whatever their length. Repeated rows
-give repeated spans. A null doc_id stays null. An empty table gives no rows. Offsets count code points.
+A null or empty text has no spans; whole texts are scanned whatever their length, in time proportional to it. Repeated rows
+give repeated spans. A null doc_id stays null. An empty table gives no rows. Extra columns are ignored, also such with
+clashing names. Offsets count code points.
 """
 
 from __future__ import annotations
 
+import bisect
 import ipaddress
 import re
 from collections.abc import Iterator
@@ -132,11 +134,31 @@ def spans(text: str | None, min_score: float = MIN_SCORE, kinds: tuple[str, ...]
             score = round(min(1.0, score), 6)
             if score >= min_score:
                 found.append((kind, start, end, score))
+    return disjoint(found)
+
+
+def disjoint(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Of overlapping spans those of higher rank, by start. Spans are resolved within stretches that touch no other span."""
     out: list[tuple[str, int, int, float]] = []
-    for s in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
-        if all(s[2] <= o[1] or s[1] >= o[2] for o in out):
-            out.append(s)
-    return sorted(out, key=lambda s: s[1])
+    found = sorted(found, key=lambda s: s[1])
+    at = 0
+    while at < len(found):
+        end, to = found[at][2], at + 1
+        while to < len(found) and found[to][1] < end:
+            end = max(end, found[to][2])
+            to += 1
+        if to - at == 1:
+            out.append(found[at])
+        else:
+            # Kept spans don't overlap, so only the neighbours by start can be in the way.
+            kept: list[tuple[int, int, str, float]] = []
+            for kind, a, z, score in sorted(found[at:to], key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
+                i = bisect.bisect_left(kept, (a,))
+                if (i == len(kept) or kept[i][0] >= z) and (i == 0 or kept[i - 1][1] <= a):
+                    kept.insert(i, (a, z, kind, score))
+            out += [(kind, a, z, score) for a, z, kind, score in kept]
+        at = to
+    return out
 
 
 _HAS = np.zeros(256, np.uint8)
