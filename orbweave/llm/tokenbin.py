@@ -2,13 +2,16 @@
 
 Each partition encodes its documents and writes three flat files to the shared folder:
 ``.tok`` (uint16 identifiers, uint32 for vocabularies beyond 65,536), ``.off`` (n + 1 int64
-token offsets within the file) and ``.ids`` (n int64 doc_ids, -1 for null). File names carry the task attempt, and only
+token offsets within the file) and ``.ids`` (n int64 doc_ids, -1 for null). File names carry the run and the task attempt, and only
 those of attempts whose rows were committed enter the manifest, so a lost or repeated
-task leaves nothing that is read. Bases of the files are exclusive prefix sums of their
+task leaves nothing that is read; leftovers of this run's own attempts are deleted, other files never. A folder that
+already holds anything is refused. Bases of the files are exclusive prefix sums of their
 token and document counts, so a document's global offset is its file's base plus its own.
 
-A null or empty text has zero tokens and keeps its row. Special-token strings are ordinary text.
-Repeated rows are written as often as they come. An empty table gives no rows.
+A null or empty text has zero tokens and keeps its row; a null doc_id is -1 in ``.ids`` and null in the result. Special-token
+strings are ordinary text. Very long texts are encoded whole, one at a time. Repeated rows and ties of doc_id are written as often as they
+come, each with a place of its own; documents lie in the order of the input's partitions. An empty table gives no
+rows and a manifest without files. Extra columns are ignored, also such with clashing names.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import delete, pick, scratch_path, stored
+from .frames import delete, join_checked, pick, scratch_path, ship, shipped, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,15 +43,15 @@ def load_encoding(path: str = TOKENIZER, pattern: str = PATTERN):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _writer(folder: str, path: str, pattern: str):
+def _writer(folder: str, run: str, tokenizer: str, pattern: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = load_encoding(path, pattern)
+        enc = load_encoding(shipped(tokenizer), pattern)
         kind = np.uint16 if enc.n_vocab <= 1 << 16 else np.uint32
         task = TaskContext.get()
         part = task.partitionId()
-        name = f"part-{part:06d}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}"
+        name = f"{run}-{part:06d}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}"
         at, root = fs.FileSystem.from_uri(folder)
         out, offsets, ids, pos, seq = None, [np.zeros(1, np.int64)], [], 0, 0
         for b in batches:
@@ -85,8 +88,12 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = TO
     the offsets counting over all files in the order of ``manifest.json``."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
+    at, root = fs.FileSystem.from_uri(folder)
+    if at.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        raise FileExistsError(f"{folder} is not empty")
+    run = f"run{uuid.uuid4().hex[:12]}"
     rows = pick(docs, doc_id="bigint", text="string")
-    index = stored(rows.mapInArrow(_writer(folder, tokenizer, pattern), "doc_id bigint, part int, shard string, seq bigint, start bigint, n_tokens bigint"), "tokens-index")
+    index = stored(rows.mapInArrow(_writer(folder, run, ship(spark, tokenizer), pattern), "doc_id bigint, part int, shard string, seq bigint, start bigint, n_tokens bigint"), "tokens-index")
     # One row per file: the window needs one partition, whose size is the number of input partitions.
     shards = index.groupBy("part", "shard").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
     before = W.orderBy("part", "shard").rowsBetween(W.unboundedPreceding, -1)
@@ -94,19 +101,19 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = TO
         shards.select("shard", "part", "docs", "tokens", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("doc_base"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("token_base")),
         "tokens-bases",
     )
-    _manifest(spark, folder, bases, tokenizer)
-    return index.join(F.broadcast(bases.select("shard", "doc_base", "token_base")), "shard").select(
+    _manifest(folder, run, bases, tokenizer)
+    return join_checked(index, bases.select("shard", "doc_base", "token_base"), "shard", "inner", 80).select(
         "doc_id", "shard", (F.col("doc_base") + F.col("seq")).alias("doc_index"), (F.col("token_base") + F.col("start")).alias("token_offset"), "n_tokens"
     )
 
 
-def _manifest(spark: SparkSession, folder: str, bases: DataFrame, tokenizer: str) -> None:
+def _manifest(folder: str, run: str, bases: DataFrame, tokenizer: str) -> None:
     at, root = fs.FileSystem.from_uri(folder)
     at.create_dir(root, recursive=True)
     shards = [r.asDict() for r in bases.orderBy("token_base", "part").collect()]
     keep = {s["shard"] for s in shards}
     for f in at.get_file_info(fs.FileSelector(root)):
-        if f.base_name.rpartition(".")[0] not in keep:
+        if f.base_name.startswith(f"{run}-") and f.base_name.rpartition(".")[0] not in keep:
             at.delete_file(f.path)  # of attempts that were not committed
     wide = load_encoding(tokenizer).n_vocab > 1 << 16
     with at.open_output_stream(f"{root}/manifest.json") as f:
