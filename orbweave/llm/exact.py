@@ -8,8 +8,13 @@ than once are hits. The documents of hits alone are then compared byte for byte,
 collision never joins different texts.
 
 Results: the smallest doc_id of byte-equal texts is kept. A null text equals no other and is
-always kept. Empty texts equal one another. Rows repeated with one doc_id are copies too: the
-filter keeps one of them. A null doc_id sorts after all others. An empty table gives an empty result.
+always kept. Empty texts equal one another; very long texts are digested and compared whole. Rows repeated with one doc_id are copies too: the
+filter keeps one of them, that with the least JSON of its other columns, so ties don't depend on partitions. A null doc_id
+sorts after all others. An empty table gives an empty result. Extra columns, also such with clashing names, are ignored
+by :func:`exact_copies` and passed through by :func:`drop_exact_copies`.
+
+A partition's index lives in its task's memory: about 40 bytes a distinct digest, 1.25 to 2.5 of them filter. So digests are spread
+over more partitions than the session's default when there are more than PART_BYTES of them for each.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import Masked, join_checked, pick, stored
+from .frames import Masked, join_checked, pick, spread, stored
 
 LAST = 2**63 - 1
 
@@ -39,9 +44,9 @@ class Run:
         self.count = np.add.reduceat(count, at) if len(at) else count
         bits = max(64, 1 << int(np.ceil(np.log2(max(1, len(at)) * 10))))
         self.mask = np.uint64(bits - 1)
-        self.filter = np.zeros(bits, bool)
+        self.filter = np.zeros(bits >> 3, np.uint8)
         for k in self._probes(self.hi, self.lo):
-            self.filter[k] = True
+            np.bitwise_or.at(self.filter, k >> 3, np.left_shift(1, k & 7).astype(np.uint8))
 
     def _probes(self, hi, lo):
         with np.errstate(over="ignore"):
@@ -53,14 +58,14 @@ class Run:
         out = np.full(len(hi), -1, np.int64)
         maybe = np.ones(len(hi), bool)
         for k in self._probes(hi, lo):
-            maybe &= self.filter[k]
-        for q in (ask := np.flatnonzero(maybe)).size and [ask] or []:
-            left, right = np.searchsorted(self.hi, hi[q], "left"), np.searchsorted(self.hi, hi[q], "right")
-            for step in range(int((right - left).max(initial=0))):
-                at = left + step
-                ok = at < right
-                ok[ok] = self.lo[at[ok]] == lo[q[ok]]
-                out[q[ok]] = at[ok]
+            maybe &= (self.filter[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+        q = np.flatnonzero(maybe)
+        left, right = np.searchsorted(self.hi, hi[q], "left"), np.searchsorted(self.hi, hi[q], "right")
+        for step in range(int((right - left).max(initial=0))):
+            at = left + step
+            ok = at < right
+            ok[ok] = self.lo[at[ok]] == lo[q[ok]]
+            out[q[ok]] = at[ok]
         return out
 
 
@@ -129,9 +134,9 @@ def digests(text):
     return F.xxhash64(text), F.xxhash64(F.lit(7919), text)
 
 
-def repeated_digests(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, first, n) of digests that several rows of ``keyed`` (k1, k2, id) have; stored."""
-    rows = keyed.repartition(F.col("k1"))
+def repeated_digests(keyed: DataFrame, count: int) -> DataFrame:
+    """(k1, k2, first, n) of digests that several rows of ``keyed`` (k1, k2, id), of at most ``count``, have; stored."""
+    rows = spread(keyed, count * 24, "k1")
     return stored(rows.mapInArrow(_index, "k1 bigint, k2 bigint, first bigint, n bigint"), "digests")
 
 
@@ -139,7 +144,7 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id): every document whose text is byte-equal to that of a smaller doc_id, keep_id the smallest."""
     rows = pick(docs, doc_id="bigint", text="string").filter("text is not null")
     k1, k2 = digests(F.col("text"))
-    hits = repeated_digests(rows.select(k1.alias("k1"), k2.alias("k2"), F.coalesce("doc_id", F.lit(LAST)).alias("id")))
+    hits = repeated_digests(rows.select(k1.alias("k1"), k2.alias("k2"), F.coalesce("doc_id", F.lit(LAST)).alias("id")), docs.count())
     keyed = rows.select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
     some = join_checked(keyed, hits.select("k1", "k2"), ["k1", "k2"], "left_semi", 24)
     kept = some.groupBy("k1", "k2", "text").agg(F.min("doc_id").alias("keep_id"))
@@ -155,10 +160,12 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     m = Masked(docs)
     k1, k2 = digests(m["text"].cast("string"))
     keyed = m.df.withColumns({"k1": k1, "k2": k2, "id": F.coalesce(m["doc_id"].cast("bigint"), F.lit(LAST)), "body": m["text"].cast("string")})
-    hits = repeated_digests(keyed.filter("body is not null").select("k1", "k2", "id")).select("k1", "k2")
+    hits = repeated_digests(keyed.filter("body is not null").select("k1", "k2", "id"), docs.count()).select("k1", "k2")
     alone = join_checked(keyed.filter("body is not null"), hits, ["k1", "k2"], "left_anti", 24)
     some = join_checked(keyed.filter("body is not null"), hits, ["k1", "k2"], "left_semi", 24)
-    best = some.groupBy("k1", "k2", "body").agg(F.min_by(F.struct(*m.cols), "id").alias("r")).select("r.*")
+    others = [c for c, n in zip(m.cols, m.names) if n != "text"]
+    rank = F.struct("id", F.to_json(F.struct(*others))) if others else F.struct("id")
+    best = some.groupBy("k1", "k2", "body").agg(F.min_by(F.struct(*m.cols), rank).alias("r")).select("r.*")
     return m.restore(alone.select(*m.cols).unionAll(best).unionAll(keyed.filter("body is null").select(*m.cols)))
 
 
