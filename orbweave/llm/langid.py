@@ -1,6 +1,6 @@
 """Operator 9, language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features: hashed 1- to 3-grams of lower-cased code points (everything but letters is one blank),
+Features: hashed 1- to 3-grams of lower-cased code points (every one that is no letter counts as a blank),
 log(1 + tf) * idf, scaled to unit length. Document frequencies come from all documents. The
 model is trained with follow-the-regularised-leader and an elastic net, on at most ``sample``
 labelled rows chosen by a hash of doc_id, a fifth of which is held out to fit the temperature.
@@ -8,9 +8,10 @@ labelled rows chosen by a hash of doc_id, a fifth of which is held out to fit th
 Results: a text without any letter, null and empty included, is ``und`` with probability 0 and
 is rejected; so is one whose calibrated probability is under ``min_prob``, and one that is unlike all taught
 languages, however many they are: the n-grams seen in training texts of its language must weigh at least FAMILIAR of what they do in the
-median held-out text of that language (of all languages, if it has fewer than 5; without held-out rows this is not tested). Whole texts count.
-Repeated rows get equal results; equal scores go to the first language by name. Without labelled
-rows every text is ``und``. An empty table gives no rows.
+median held-out text of that language (of all languages, if it has fewer than 5; without held-out rows this is not tested). Whole texts count, very long ones too.
+Repeated rows get equal results and count as often; equal scores go to the first language by name. A null doc_id stays null. Without labelled
+rows every text is ``und``. An empty table gives no rows. Extra columns, also such with clashing names, are ignored by :func:`identify` and
+passed through by :func:`keep_identified`.
 """
 
 from __future__ import annotations
@@ -38,32 +39,47 @@ _TABLE = 0x3000
 _LETTER = np.array([c if chr(c).isalpha() else 32 for c in range(_TABLE)], np.uint32)
 
 
-def _ngrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashed n-grams) of every text that has a letter."""
+def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hashed n-gram, count) of all texts that have a letter, sorted by row and n-gram."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
     off = np.concatenate([[0], np.cumsum(pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64))])
     c = np.frombuffer("".join(low.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    known = c < _TABLE
-    c[known] = _LETTER[c[known]]
+    beyond = np.flatnonzero(c >= _TABLE)
+    c[c < _TABLE] = _LETTER[c[c < _TABLE]]
+    if len(beyond):
+        code, which = np.unique(c[beyond], return_inverse=True)
+        c[beyond] = np.array([x if chr(x).isalpha() else 32 for x in code.tolist()], np.uint32)[which]
     letters = np.concatenate([[0], np.cumsum(c != 32)])
-    grams = []
+    owner = np.repeat(np.arange(len(off) - 1, dtype=np.int64) << BITS, np.diff(off))
+    use = np.repeat(letters[off[1:]] > letters[off[:-1]], np.diff(off))
+    keys = []
     with np.errstate(over="ignore"):
         acc = np.zeros(len(c), np.uint32)
         for n in range(3):
             acc = acc[: len(c) - n] * np.uint32(0x01000193) + c[n:] if len(c) > n else acc[:0]
             h = (acc ^ np.uint32(n * 0x9E3779B9 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(13)
-            grams.append(((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)).astype(np.int64))
-    for i in np.flatnonzero(letters[off[1:]] > letters[off[:-1]]):
-        a, b = off[i], off[i + 1]
-        yield int(i), np.concatenate([g[a : max(a, b - n)] for n, g in enumerate(grams)])
-
-
-def _sparse(grams: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    count = np.bincount(grams, minlength=1 << BITS)
-    at = np.flatnonzero(count)
-    x = np.log1p(count[at]) * idf[at]
-    return at, x / max(np.sqrt(x @ x), 1e-12)
+            m = len(acc)
+            own = owner[n:]
+            inside = use[n:] if not n else use[n:] & (own == owner[:m])  # within one text
+            keys.append((own + (h * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)))[inside])
+    keys = np.concatenate(keys)
+    if len(off) <= 1 << (32 - BITS):
+        keys = keys.astype(np.uint32)  # sorts faster
+    keys.sort()
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    one = keys[at].astype(np.int64)
+    return one >> BITS, one & ((1 << BITS) - 1), np.diff(np.append(at, len(keys)))
+
+
+def _weighted(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with letters, bounds of their features, n-grams, values of unit length)."""
+    row, gram, count = _counted(texts)
+    head = np.flatnonzero(np.diff(row, prepend=-1))
+    x = np.log1p(count) * idf[gram]
+    size = np.diff(np.append(head, len(row)))
+    norm = np.sqrt(np.add.reduceat(x * x, head)) if len(head) else x
+    return row[head], np.append(head, len(row)), gram, x / np.repeat(np.maximum(norm, 1e-12), size)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +87,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for b in slices(big):
             n += b.num_rows
-            for _, g in _ngrams(b.column(1)):
-                df += np.bincount(g, minlength=1 << BITS) > 0
+            df += np.bincount(_counted(b.column(1))[1], minlength=1 << BITS)
     at = np.flatnonzero(df)
     yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["f", "n"])
 
@@ -107,12 +122,19 @@ class Model:
         """(index of the language or -1, calibrated probability, whether it is like that language) of each text."""
         best, prob, like = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if self.langs:
-            for i, g in _ngrams(texts):
-                at, x = _sparse(g, self.idf)
-                p = softmax(self.logits(at, x) / self.temperature)
-                best[i] = k = int(np.argmax(p))
-                prob[i] = p[k]
-                like[i] = self.least is None or self.share(at, x, k) >= self.least[k]
+            rows, bounds, gram, x = _weighted(texts, self.idf)
+            if len(rows):
+                head = bounds[:-1]
+                z = np.stack([np.add.reduceat(x * self.weights[gram, k], head) for k in range(len(self.langs))], 1)
+                p = softmax((z + self.bias) / self.temperature)
+                best[rows] = k = p.argmax(1)
+                prob[rows] = p.max(1)
+                if self.least is None:
+                    like[rows] = True
+                else:
+                    size = np.diff(bounds)
+                    own = np.add.reduceat(x * self.known[gram, np.repeat(k, size)], head)
+                    like[rows] = own / np.add.reduceat(x, head) >= self.least[k]
         return best, prob, like
 
     def probs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +143,9 @@ class Model:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max())
-    return e / e.sum()
+    """Of one row of scores or of several."""
+    e = np.exp(z - z.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
 
 
 def fit(data: list[tuple[np.ndarray, np.ndarray, int]], k: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +203,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     ys = got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy()
     data, held = [], []
     for a in range(0, len(got), 100):
-        for i, g in _ngrams(pa.array(got.text.iloc[a : a + 100].tolist(), pa.large_string())):
-            at, x = _sparse(g, idf)
+        found, bounds, gram, value = _weighted(pa.array(got.text.iloc[a : a + 100].tolist(), pa.large_string()), idf)
+        for i, lo, hi in zip(found.tolist(), bounds[:-1], bounds[1:]):
+            at, x = gram[lo:hi], value[lo:hi]
             (held if (a + i) % 5 == 4 else data).append((at.astype(np.int32), x.astype(np.float32), int(ys[a + i])))
     if not data:
         return Model([], np.zeros((1, 0)), np.zeros(0), idf)
