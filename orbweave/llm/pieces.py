@@ -8,15 +8,16 @@ before the text, as the model file asks.
 
 Forward Viterbi gives each node the exact score of its best prefix. Backward A-star search from the
 lattice's end uses it as its heuristic: being exact, the search leaves the heap with complete paths in
-order of score. No usable piece holds U+2581 behind its first place, so a text's lattice is a chain of
-words' lattices. Viterbi runs on all new words of a batch at once, forward and backward, which gives
+order of score; of equal scores the one whose last differing piece is longer comes first. No usable piece holds U+2581 behind its first place, so a text's lattice is a chain of
+words' lattices. A long word's lattice (text of a script without blanks is one word) is cut further, where no piece spans the cut. Viterbi runs on all new words of a batch at once, forward and backward, which gives
 each word its best path and what its second best loses. Only the words that lose least
 can differ in a text's N best: those are searched, and their alternatives are merged in order.
 
 Result: ``ids`` is the best segmentation; ``nbest`` has N entries in order (score, changes), where
 changes lists the words (index, ids) that differ from the best one; :func:`expand` gives all ids. A null text has null ids and no
 entries, an empty one no ids and one entry of score 0. A text with fewer segmentations has fewer
-entries. Texts count whole. ``exact``: decoding gave back the text. An empty table gives no rows.
+entries. Very long texts count whole. ``exact``: decoding gave back the text. Repeated rows give repeated results, a null doc_id stays null, and
+no result depends on the other rows. An empty table gives no rows. Extra columns are ignored, also such with clashing names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import pick
+from .frames import pick, ship, shipped
 from .vector import U64, Tokens, slices, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -150,11 +151,23 @@ def edges(v: Vocabulary, word: str) -> list[list[tuple[int, int, float]]]:
 def nbest(v: Vocabulary, word: str, n: int) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations (score, ids): forward Viterbi, then backward A-star with it as heuristic."""
     into = edges(v, word)
-    best = [0.0] + [-np.inf] * len(word)
+    best: list[float] = [0.0] + [-np.inf] * len(word)
+    came: list[tuple[int, int]] = [(0, 0)] * (len(word) + 1)
     for j in range(1, len(word) + 1):
-        best[j] = max(best[i] + s for i, _, s in into[j])
+        for i, piece, s in into[j]:
+            if best[i] + s > best[j]:
+                best[j], came[j] = best[i] + s, (i, piece)
+    path, pos = [], len(word)
+    while pos:
+        path.append(came[pos])
+        pos = came[pos][0]
+    first: list[int] = []
+    for i, piece in reversed(path):
+        first += v.byte_ids(word[i]) if piece < 0 else [piece]
+    # Of equal entries the last one goes first, so ties lead to a whole path at once.
     heap: list = [(-best[-1], 0, len(word), 0.0, None)]
-    out, serial = [], 0
+    out: list[tuple[float, list[int]]] = []
+    serial = 0
     while heap and len(out) < n:
         _, _, pos, score, tail = heapq.heappop(heap)
         if pos == 0:
@@ -164,10 +177,29 @@ def nbest(v: Vocabulary, word: str, n: int) -> list[tuple[float, list[int]]]:
                 ids += v.byte_ids(word[i]) if piece < 0 else [piece]
             out.append((score, ids))
             continue
-        for i, piece, s in into[pos]:
-            serial += 1
+        for i, piece, s in reversed(into[pos]):
+            serial -= 1
             heapq.heappush(heap, (-(best[i] + score + s), serial, i, score + s, ((i, piece), tail)))
-    return out
+    # The first is the forward pass's own path even if rounding puts an equal one before it.
+    same = [k for k, (_, ids) in enumerate(out) if ids == first]
+    return [out.pop(same[0])] + out if same else [(best[-1], first), *out[: n - 1]]
+
+
+def segments(v: Vocabulary, word: str) -> list[str]:
+    """A word cut wherever no usable piece spans the cut: its lattice is the chain of theirs."""
+    n = len(word)
+    c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    with np.errstate(over="ignore"):
+        power, back = (np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n, b)])) for b in (_B, _B_INV))
+        prefix = np.concatenate([[U64(0)], np.cumsum(_scatter(c) * power[:n])])
+        span = np.zeros(n + 1, np.int64)
+        for size in range(2, min(v.longest, n) + 1):
+            h = (prefix[size:] - prefix[:-size]) * back[: n - size + 1] * U64(0xFF51AFD7ED558CCD)
+            i = np.flatnonzero(v.key_id[v.find(h ^ (h >> U64(32)))] >= 0)
+            span[i + 1] += 1
+            span[i + size] -= 1
+    cuts = [*(np.flatnonzero(np.cumsum(span)[1:n] == 0) + 1).tolist(), n]
+    return [word[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
 class Encoder:
@@ -205,13 +237,33 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Best path, its score and the second best's loss of new words."""
+        sizes, score, loss, ids = self._paths(words)
+        self.start = np.concatenate([self.start, len(self.pieces) + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.size, self.score, self.loss = np.concatenate([self.size, sizes]), np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        self.pieces = np.concatenate([self.pieces, ids])
+
+    def _paths(self, words: list[str], cut: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, scores, losses, pieces of all words one after another)."""
         groups: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             groups.setdefault(len(w), []).append(k)
         n = len(words)
         sizes, score, loss = np.zeros(n, np.int32), np.zeros(n), np.zeros(n)
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # (word of each piece, pieces), words' pieces in order
+        long = [k for size, members in groups.items() if size > LONG for k in members] if cut else []
+        if long:
+            chains = [segments(self.v, words[k]) for k in long]
+            number = {s: i for i, s in enumerate(dict.fromkeys(s for chain in chains for s in chain))}
+            n1, s1, l1, ids1 = self._paths(list(number), False)
+            first = np.cumsum(n1, dtype=np.int64) - n1
+            for k, chain in zip(long, chains):
+                part = np.array([number[s] for s in chain])
+                m = n1[part]
+                sizes[k], score[k], loss[k] = m.sum(), s1[part].sum(), l1[part].min()
+                parts.append((np.full(sizes[k], k), ids1[np.repeat(first[part], m) + np.arange(sizes[k]) - np.repeat(np.cumsum(m) - m, m)]))
         for size, members in groups.items():
+            if size > LONG and cut:
+                continue
             if size > LONG or len(members) < FEW:
                 for k in members:
                     two = nbest(self.v, words[k], 2)
@@ -226,10 +278,7 @@ class Encoder:
                     sizes[part] = np.bincount(owner, minlength=len(part))
                     parts.append((part[owner], ids))
         owner, ids = (np.concatenate(x) for x in zip(*parts))
-        ids = ids[np.argsort(owner, kind="stable")]
-        self.start = np.concatenate([self.start, len(self.pieces) + np.cumsum(sizes, dtype=np.int64) - sizes])
-        self.size, self.score, self.loss = np.concatenate([self.size, sizes]), np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
-        self.pieces = np.concatenate([self.pieces, ids])
+        return sizes, score, loss, ids[np.argsort(owner, kind="stable")]
 
     def _viterbi(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of words of one length: (word of each piece, pieces, best scores, losses of the second best)."""
@@ -283,9 +332,10 @@ class Encoder:
             k = ident[i, j][at]
             if i == j - 1 and (k < 0).any():
                 path.append((at[k >= 0], k[k >= 0]))
-                for char in np.unique(c[i][at[k < 0]]):
-                    same = at[k < 0][c[i][at[k < 0]] == char]
-                    path += [(same, np.full(len(same), byte)) for byte in v.byte_ids(chr(char))]
+                unknown = at[k < 0]
+                code = c[i][unknown]
+                data = code.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+                path.append((np.repeat(unknown, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)), np.array(v.byte_id)[np.frombuffer(data, np.uint8)]))
             else:
                 path.append((at, k))
         owner, ids = (np.concatenate(x) for x in zip(*path))
@@ -296,10 +346,34 @@ class Encoder:
         """(loss, ids) of a word's segmentations but the best, by loss."""
         got = self.more.get(key)
         if got is None:
-            found = nbest(self.v, word, self.n)
-            got = self.more[key] = [(found[0][0] - s, ids) for s, ids in found[1:]]
+            if len(word) > LONG:
+                got = self._chained(word)
+            else:
+                found = nbest(self.v, word, self.n)
+                got = [(found[0][0] - s, ids) for s, ids in found[1:]]
+            self.more[key] = got
         return got
 
+    def _chained(self, word: str) -> list[tuple[float, list[int]]]:
+        """(loss, ids) of a long word's segmentations but the best: the segments that lose least are searched and merged."""
+        chain = segments(self.v, word)
+        number = {s: i for i, s in enumerate(dict.fromkeys(chain))}
+        sizes, _, losses, ids = self._paths(list(number), False)
+        part = np.array([number[s] for s in chain])
+        loss = losses[part]
+        near = np.sort(np.argsort(loss, kind="stable")[: self.n - 1])
+        options = []
+        for x in near[np.isfinite(loss[near])].tolist():
+            found = nbest(self.v, chain[x], self.n)
+            options.append((x, [(found[0][0] - s, other) for s, other in found[1:]]))
+        first = np.cumsum(sizes) - sizes
+        best = [ids[first[k] : first[k] + sizes[k]].tolist() for k in part.tolist()]
+        out = []
+        for lost, changes in merged(options, self.n)[1:]:
+            new = dict(changes)
+            out.append((lost, [i for x, own in enumerate(best) for i in new.get(x, own)]))
+        return out
+
     def encode(self, texts: pa.Array) -> pa.StructArray:
         """Rows (ids, nbest, exact) of a string array."""
         tok = Tokens(texts, _ONLY_BLANK)
@@ -413,11 +487,16 @@ def expand(ids: list[int], word_sizes: list[int], changes: list) -> list[int]:
 _vocabularies: dict[str, Vocabulary] = {}
 
 
-def _run(path: str, n: int):
+def _vocabulary(name: str) -> Vocabulary:
+    """Of a model file sent to the executors; one a worker."""
+    if (path := shipped(name)) not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
+
+
+def _run(name: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _vocabularies:
-            _vocabularies[path] = Vocabulary(path)
-        encoder = Encoder(_vocabularies[path], n)
+        encoder = Encoder(_vocabulary(name), n)
         for big in batches:
             for b in slices(big, limit=BATCH_BYTES):
                 r = encoder.encode(b.column(1))
@@ -432,12 +511,12 @@ SCHEMA = "doc_id bigint, ids array<int>, word_sizes array<int>, nbest array<stru
 
 def encode_documents(docs: DataFrame, model: str = MODEL, n: int = NBEST) -> DataFrame:
     """(doc_id, ids, word_sizes, nbest, exact) of every document. One scan, no shuffle."""
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(_run(model, n), SCHEMA)
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(_run(ship(docs.sparkSession, model), n), SCHEMA)
 
 
-def _back(path: str):
+def _back(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(path)
+        v = _vocabulary(name)
         for b in batches:
             texts = [None if x.as_py() is None else v.decode(np.array(x.as_py(), np.int64)).decode("utf-8", "replace") for x in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -447,4 +526,4 @@ def _back(path: str):
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of rows with (doc_id, ids)."""
-    return pick(encoded, doc_id="bigint", ids="array<int>").mapInArrow(_back(model), "doc_id bigint, text string")
+    return pick(encoded, doc_id="bigint", ids="array<int>").mapInArrow(_back(ship(encoded.sparkSession, model)), "doc_id bigint, text string")
