@@ -5,7 +5,7 @@ Candidates are runs of at least MIN_LENGTH of ``[A-Za-z0-9+/_-]`` that no Latin
 encoding is the smallest of ENCODINGS that has all its characters; digits alone are none. A run may hold a key
 with something glued to it, so these are candidates too, each with its own encoding and all counted in the control:
 its parts between ``-``, ``_`` and ``/``; the whole run and each stretch of hexadecimal parts without these
-separators (UUIDs, grouped keys; their ``length`` leaves the separators out); and what of a run or part is of one
+separators (UUIDs, grouped keys; their ``length`` leaves the separators out, and no test of the ordinary null asks what follows what across one); and what of a run or part is of one
 alphabet of AFFIXED after a prefix of at most PREFIX characters. Of candidates that overlap and are
 all discoveries the first in this order is reported, the whole run before all.
 
@@ -17,17 +17,20 @@ Two nulls are tested:
   and class-change frequencies, counted over all documents: is the run's mean log frequency too low, are its
   characters too improbable after one another (both regardless of case), does it change between letter cases and digits too often?
   The first two scores are standardised for length, then centred and scaled by their median and quartiles over all runs of
-  REFERENCE to MIN_LENGTH characters (an empirical null: such runs are words, whatever the share of secrets among long runs); p is
+  REFERENCE to MIN_LENGTH characters (an empirical null: such runs are words, whatever the share of secrets among long runs; the
+  theoretical one counts as PRIOR runs beside them, at every size of the table, so a table and its tenfold repetition differ only by that); p is
   three times the least of the three, and Benjamini-Hochberg runs within each length class at level ``q``,
   so short runs, of which there are many and of low power, need stronger evidence. P-values are rounded up to a grid of
   eighths of a power of two, which keeps them valid and the counts of fixed size.
 
-A null or empty text has no candidates; texts are scanned whole. Repeated rows give repeated results and count
-as often. A null doc_id stays null. An empty table gives no rows. Offsets count code points. The secret itself is not returned.
+A null or empty text has no candidates; very long texts are scanned whole. Repeated rows give repeated results and count
+as often. Ties in p share a step of the grid and are all in or all out. A null doc_id stays null. An empty table gives no rows. Extra columns
+are ignored, also such with clashing names. Offsets count code points. The secret itself is not returned.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -43,6 +46,8 @@ from .frames import pick, stored
 from .vector import char_offsets, raw, slices
 
 MIN_LENGTH, REFERENCE, ALPHA, Q = 16, 8, 0.001, 0.001
+#: Reference runs that the theoretical null (centre 0, scale 1) weighs as much as.
+PRIOR = 100
 PREFIX, AFFIXED = 8, ("hex", "HEX", "base32", "base36", "BASE36", "base62")
 #: Lower bounds of the length classes.
 CLASSES = np.array([16, 20, 24, 32, 48, 96])
@@ -148,12 +153,14 @@ class Ordinary:
         self.v2 = float((p * self.after**2).sum() - self.m2**2)
         self.change = min(0.5, changes / max(links, 1.0))
 
-    def scores(self, c: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Standardised improbability of the runs' characters and of their pairs; c: the runs' bytes one after another."""
+    def scores(self, c: np.ndarray, first: np.ndarray, n: np.ndarray, joint: np.ndarray | slice = slice(0)) -> tuple[np.ndarray, np.ndarray]:
+        """Standardised improbability of the runs' characters and of their pairs; c: the runs' bytes one after another.
+        A pair whose second character is at a ``joint`` is as probable as pairs are on average."""
         f = _FOLD[c].astype(np.int64)
         s1 = np.add.reduceat(self.single[f], first)
         link = np.zeros(len(c))
         link[1:] = self.after[f[:-1], f[1:]]
+        link[joint] = self.m2
         link[first] = 0.0
         s2 = np.add.reduceat(link, first)
         return -(s1 - n * self.m1) / np.sqrt(np.maximum(n * self.v1, 1e-9)), -(s2 - (n - 1) * self.m2) / np.sqrt(np.maximum((n - 1) * self.v2, 1e-9))
@@ -201,14 +208,15 @@ _HEX = (frozenset(ENCODINGS["hex"].encode()), frozenset(ENCODINGS["HEX"].encode(
 _ALPHABETS = [ENCODINGS[a].encode() for a in AFFIXED]
 
 
-def candidates(run: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(level, start, end, characters) of all candidates within a run of at least MIN_LENGTH characters."""
-    out = [(0, 0, len(run), run)]
+def candidates(run: bytes) -> list[tuple[int, int, int, bytes, tuple[int, ...]]]:
+    """(level, start, end, characters, joints: characters before which separators were left out) of all candidates within a run
+    of at least MIN_LENGTH characters."""
+    out = [(0, 0, len(run), run, ())]
     parts = [m.span() for m in _SPLIT.finditer(run)]
     whole = {(0, len(run))}
     if parts != [(0, len(run))]:
         whole.update(p for p in parts if p[1] - p[0] >= MIN_LENGTH)
-        out += [(1, a, z, run[a:z]) for a, z in parts if z - a >= MIN_LENGTH]
+        out += [(1, a, z, run[a:z], ()) for a, z in parts if z - a >= MIN_LENGTH]
         groups = {(parts[0][0], parts[-1][1])} if len(parts) > 1 else set()
         for alphabet in _HEX:
             first = None
@@ -222,9 +230,9 @@ def candidates(run: bytes) -> list[tuple[int, int, int, bytes]]:
                     first = None
         for a, z in sorted(groups):
             if len(joined := run[a:z].translate(None, _SEPARATORS)) >= MIN_LENGTH:
-                out.append((2, a, z, joined))
+                out.append((2, a, z, joined, tuple(itertools.accumulate(y - x for x, y in parts if a <= x and y < z))))
     affixed = {(z - len(rest), z) for a, z in whole for x in _ALPHABETS if 1 <= len(lead := run[a:z].rstrip(x)) <= PREFIX for rest in [run[a + len(lead) : z]] if len(rest) >= MIN_LENGTH}
-    out += [(3, a, z, run[a:z]) for a, z in sorted(affixed - whole)]
+    out += [(3, a, z, run[a:z], ()) for a, z in sorted(affixed - whole)]
     return out
 
 
@@ -232,8 +240,8 @@ FIELDS = ["doc_id", "start", "end", "encoding", "length", "band", "lp_uniform",
 SCHEMA = "doc_id bigint, start int, end int, encoding string, length int, band int, lp_uniform double, lp_runs double, lp_serial double, z1 double, z2 double, lp3 double, level int, run int, content bigint"
 
 
-def score(c: np.ndarray, n: np.ndarray, model: Ordinary) -> tuple[np.ndarray, ...]:
-    """For candidates of ``n`` characters, ``c`` one after another: which have an encoding, and for those (encoding, battery, z1, z2, log p of class changes)."""
+def score(c: np.ndarray, n: np.ndarray, model: Ordinary, joint: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``joint``: whether a character follows a separator left out. For candidates of ``n`` characters, ``c`` one after another: which have an encoding, and for those (encoding, battery, z1, z2, log p of class changes)."""
     first = np.cumsum(n) - n
     bits = np.bitwise_and.reduceat(_HAS[c], first)
     letters = np.add.reduceat((_KIND[c] >= 2).astype(np.int64), first)
@@ -242,15 +250,15 @@ def score(c: np.ndarray, n: np.ndarray, model: Ordinary) -> tuple[np.ndarray, ..
     for k in reversed(range(len(NAMES))):
         low[(bits >> k) & 1 == 1] = k
     keep = np.repeat(ok, n)
-    c, n, low = c[keep], n[ok], low[ok]
+    c, n, low, joint = c[keep], n[ok], low[ok], joint[keep]
     if not len(n):
         return ok, low, np.zeros((0, 3)), np.zeros(0), np.zeros(0), np.zeros(0)
     first = np.cumsum(n) - n
     tests = battery(_CODE[np.repeat(low, n), c].astype(np.int64), first, n, _SIZE[low])
-    z1, z2 = model.scores(c, first, n)
+    z1, z2 = model.scores(c, first, n, joint)
     change = np.zeros(len(c))
     change[1:] = _KIND[c[1:]] != _KIND[c[:-1]]
-    change[first] = 0
+    change[first] = change[joint] = 0
     s3 = np.add.reduceat(change, first)
     x, q = s3 / (n - 1), max(model.change, 1e-6)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -286,19 +294,23 @@ def _candidates(model: Ordinary):
                 # Few candidates at a time, since a run has several.
                 step = np.flatnonzero(np.diff(np.cumsum(e - s) // STEP, prepend=-1))
                 for lo, hi in zip(step, [*step[1:], len(s)]):
-                    level, start, end, origin, content, pieces = [], [], [], [], [], []
+                    level, start, end, origin, content, pieces, joints, size = [], [], [], [], [], [], [], 0
                     for i in range(lo, hi):
                         run = b[s[i] : e[i]].tobytes()
                         h = xxhash.xxh3_64_intdigest(run) - 2**63
-                        for k, x, y, chars in candidates(run):
+                        for k, x, y, chars, cuts in candidates(run):
                             level.append(k)
                             start.append(s[i] + x)
                             end.append(s[i] + y)
                             origin.append(i)
                             content.append(h)
                             pieces.append(chars)
+                            joints += [size + q for q in cuts]
+                            size += len(chars)
                     n = np.array([len(x) for x in pieces])
-                    ok, low, tests, z1, z2, lp3 = score(np.frombuffer(b"".join(pieces), np.uint8), n, model)
+                    joint = np.zeros(size, bool)
+                    joint[joints] = True
+                    ok, low, tests, z1, z2, lp3 = score(np.frombuffer(b"".join(pieces), np.uint8), n, model, joint)
                     level, x, y, origin, content, n = (np.array(v)[ok] for v in (level, start, end, origin, content, n))
                     row = runs_row[origin]
                     band = np.searchsorted(CLASSES, n, "right") - 1
@@ -336,10 +348,10 @@ def scan(docs: DataFrame, q: float = Q, alpha: float = ALPHA) -> DataFrame:
     table = both.filter(F.col("band") == COUNTS).groupBy("start", "z1").agg(F.sum("length").alias("n")).toPandas()
     for which, t in table.groupby("start"):
         t = t.sort_values("z1")
-        if t.n.sum() >= 100:  # with fewer reference runs the theoretical null stands
-            part = t.n.cumsum() / t.n.sum()
-            lo, mid, hi = (float(t.z1[part >= f].iloc[0]) for f in (0.25, 0.5, 0.75))
-            centre["z1" if which == 0 else "z2"] = (mid, max(1.0, (hi - lo) / 1.349))
+        part = t.n.cumsum() / t.n.sum()
+        lo, mid, hi = (float(t.z1[part >= f].iloc[0]) for f in (0.25, 0.5, 0.75))
+        trust = float(t.n.sum() / (t.n.sum() + PRIOR))
+        centre["z1" if which == 0 else "z2"] = (trust * mid, 1 + trust * (max(1.0, (hi - lo) / 1.349) - 1))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
