@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exchange, registry, relational, scalar, spatial  # noqa: F401 - modules register their queries
+from . import exchange, landing, registry, relational, scalar, spatial  # noqa: F401 - modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -121,6 +121,35 @@ def export_sens(frames: DataFrame, folder: str, skip: int = 1) -> int:
     return kept.count()
 
 
+def export_ply(points: DataFrame, folder: str, name: str) -> DataFrame:
+    """Coloured points (``name``, x, y, z, r, g, b; colours in [0, 1]) as ``folder/name.ply``, binary little endian; returns (name, n). On any file system that Arrow knows."""
+    import pandas as pd
+
+    kind = {f.name: f.dataType.simpleString() for f in points.schema}
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        at, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        at.create_dir(root, recursive=True)
+        row = np.zeros(len(pdf), [(c, "<f4") for c in "xyz"] + [(c, "u1") for c in ("r", "g", "b")])
+        for c in "xyz":
+            row[c] = pdf[c]
+        for c in "rgb":
+            row[c] = np.clip(np.rint(pdf[c] * 255), 0, 255)
+        props = "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue"))
+        with at.open_output_stream(f"{root}/{pdf[name].iloc[0]}.ply") as f:
+            f.write(f"ply\nformat binary_little_endian 1.0\nelement vertex {len(pdf)}\n{props}end_header\n".encode() + row.tobytes())
+        return pd.DataFrame({name: [pdf[name].iloc[0]], "n": [len(pdf)]})
+
+    return points.select(name, "x", "y", "z", "r", "g", "b").groupBy(name).applyInPandas(one, f"{name} {kind[name]}, n bigint")
+
+
+def run_id(stamp) -> str:
+    """An id of a run from a UTC time."""
+    return f"{stamp:%Y%m%dT%H%M%SZ}"
+
+
 def file_sha(path: str) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:

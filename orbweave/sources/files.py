@@ -183,19 +183,37 @@ class _PathPartition(InputPartition):
 
 class _FilesReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def partitions(self):
-        import glob
+        return [_PathPartition(p) for p in matching(self.path)] or [_PathPartition("")]
 
-        return [_PathPartition(p) for p in sorted(glob.glob(self.path))] or [_PathPartition("")]
+
+def matching(pattern: str) -> list[str]:
+    """Files of a folder on any file system that Arrow knows, by a pattern of names."""
+    import fnmatch
+
+    from pyarrow import fs
+
+    base, _, name = pattern.rpartition("/")
+    at, root = fs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (fs.LocalFileSystem(), base or ".")
+    found = at.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f"{base}/{f.base_name}" for f in found if f.is_file and fnmatch.fnmatch(f.base_name, name))
+
+
+def open_file(path: str):
+    """A file of any such file system, to be read from its start."""
+    from pyarrow import fs
+
+    at, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return at.open_input_stream(name)
 
 
 class _PlyReader(_FilesReader):
     def read(self, partition):
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
+        with open_file(partition.path) as f:
             xyz, rgb = parse_ply(f.read())
         for i, (p, c) in enumerate(zip(xyz.tolist(), rgb.tolist())):
             yield (partition.path, i, *p, *c)
@@ -237,7 +255,7 @@ class _SensReader(_FilesReader):
     def read(self, partition):
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
+        with open_file(partition.path) as f:
             for i, pose, tc, td, color, depth in parse_sens(f):
                 yield (partition.path, i, pose.tolist(), tc, td, color, depth.tobytes(), depth.shape[1], depth.shape[0])
 

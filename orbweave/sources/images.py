@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.models import png, read_png
 
@@ -91,4 +92,26 @@ def read_images(files: DataFrame, width: int | None = None, height: int | None =
     return files.select("path", "content").mapInPandas(run, "path string, width int, height int, channels int, pixels array<double>")
 
 
-__all__ = ["decode", "png", "read_images", "resize_linear", "resize_nearest", "undistort"]
+def read_rgbd(spark: SparkSession, layout: str, folder: str, color: str, depth: str, camera: tuple[float, float, float, float], size: tuple[int, int], width: int, height: int, depth_scale: float = 1000.0, distortion: tuple[float, ...] | None = None, **options) -> DataFrame:
+    """(scene_id, frame_idx, color, depth, pose, fx, fy, cx, cy) of a dataset: images in natural order, undistorted, resized to ``width`` and ``height``, with the camera
+    (fx, fy, cx, cy of images of ``size``) scaled alike; as many colour images as depth images are required. Further options are those of
+    :func:`orbweave.sources.poses.read_frames`."""
+    from .poses import check_counts, list_files, read_frames
+
+    of_color, of_depth = list_files(spark, f"{folder}/{color}"), list_files(spark, f"{folder}/{depth}")
+    check_counts(of_color, of_depth)
+    kx, ky = width / size[0], height / size[1]
+    fx, fy, cx, cy = camera
+    bent = {"fx": fx, "fy": fy, "cx": cx, "cy": cy, "k": distortion} if distortion else None
+
+    def pixels(pattern: str, files: DataFrame, name: str, **how) -> DataFrame:
+        base, _, glob = f"{folder}/{pattern}".rpartition("/")
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(base).select("path", "content")
+        return files.select("path", "frame_idx").join(read_images(raw, width, height, **how).select("path", F.col("pixels").alias(name)), "path").drop("path")
+
+    images = pixels(color, of_color, "color", distortion=bent).join(pixels(depth, of_depth, "depth", depth_scale=depth_scale), "frame_idx")
+    scaled = {"fx": fx * kx, "fy": fy * ky, "cx": cx * kx, "cy": cy * ky}
+    return read_frames(spark, layout, folder, **options).join(images, "frame_idx").select("scene_id", "frame_idx", "color", "depth", "pose", *(F.lit(v).alias(n) for n, v in scaled.items()))
+
+
+__all__ = ["decode", "png", "read_images", "read_rgbd", "resize_linear", "resize_nearest", "undistort"]

@@ -49,7 +49,16 @@ def natural(path: str = "path"):
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, length, modificationTime, frame_idx) of matching files in natural order; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern.rpartition("/")[2]).load(pattern.rpartition("/")[0]).select("path", "length", "modificationTime")
-    return files.withColumn("frame_idx", F.row_number().over(W.orderBy(natural())) - 1)
+    return _numbered(files)
+
+
+def _numbered(files: DataFrame) -> DataFrame:
+    """Files (path, ...) with ``frame_idx``, their rank in natural order. Only the paths are sorted, in ranges; contents join them."""
+    from ..operators.views import global_rank
+    from ..storage import checked
+
+    ranks = global_rank(files.select("path"), natural(), name="frame_idx").select("path", F.col("frame_idx").cast("int").alias("frame_idx"))
+    return files.join(checked(ranks, 256), "path")
 
 
 def check_counts(color: DataFrame, depth: DataFrame) -> None:
@@ -84,7 +93,7 @@ def _grouped(lines: DataFrame, size: int, skip: int = 0) -> DataFrame:
 def _per_file(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """One 4x4 per file, files in natural order."""
     t = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return t.withColumn("frame_idx", F.row_number().over(W.orderBy(natural())) - 1).select("frame_idx", numbers(F.col("value")).alias("pose"))
+    return _numbered(t).select("frame_idx", numbers(F.col("value")).alias("pose"))
 
 
 @reader("icl")
@@ -138,7 +147,7 @@ def _npy(spark: SparkSession, folder: str) -> DataFrame:
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path", "content")
     out = raw.mapInPandas(decode, "path string, pose array<double>")
-    return out.withColumn("frame_idx", F.row_number().over(W.orderBy(natural())) - 1).select("frame_idx", P.conjugate_yz(F.col("pose")).alias("pose"))
+    return _numbered(out).select("frame_idx", P.conjugate_yz(F.col("pose")).alias("pose"))
 
 
 @reader("realsense")
@@ -165,8 +174,7 @@ def multiscan(spark: SparkSession, folder: str, poses: str = "poses.jsonl", fram
 @reader("hm3d")
 def hm3d(spark: SparkSession, folder: str) -> DataFrame:
     j = spark.read.option("pathGlobFilter", "*.json").text(f"{folder}/pose", wholetext=True).select(F.input_file_name().alias("path"), F.flatten(F.from_json("value", "pose array<array<double>>")["pose"]).alias("p"))
-    j = j.withColumn("frame_idx", F.row_number().over(W.orderBy(natural())) - 1)
-    return _scene(j.select("frame_idx", P.conjugate_yz(F.col("p")).alias("pose")), folder)
+    return _scene(_numbered(j).select("frame_idx", P.conjugate_yz(F.col("p")).alias("pose")), folder)
 
 
 @reader("hm3d-openeqa")

@@ -18,7 +18,7 @@ def landed_frames(spark: SparkSession, folder: str, schema: str, per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-STATE = "next bigint, frames bigint, width int, ids array<bigint>, weights array<double>, features array<double>, boxes array<double>"
+STATE = "next bigint, frames bigint, width int, ids array<bigint>, weights array<double>, features array<double>, boxes array<double>, last bigint"
 
 
 def _load(m: SceneMap, s: tuple) -> SceneMap:
@@ -30,20 +30,28 @@ def _load(m: SceneMap, s: tuple) -> SceneMap:
 
 def map_stream(dets: DataFrame, scene: str, frame: str, det: str, feature: str, threshold: float, bias: float = 0.0, maintain: int = 0) -> DataFrame:
     """(scene, frame, det, object) of a stream of detections (batch frames too). The state per scene is its map; frames of a
-    micro-batch are folded in order, and a frame must arrive whole within one micro-batch. Equal to
+    micro-batch are folded in order, and a frame must arrive whole within one micro-batch: one of whole-numbered frames that is not after
+    all earlier ones stops the query, as folding it late would silently give another map. Equal to
     :func:`orbweave.operators.mapping.map_scenes` on the same frames."""
     kind = {f.name: f.dataType.simpleString() for f in dets.schema}
+    whole = kind[frame] in ("tinyint", "smallint", "int", "bigint")
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m = SceneMap(threshold, bias, maintain)
+        last = None
         if state.exists:
-            _load(m, state.get)
+            *saved, last = state.get
+            _load(m, tuple(saved))
         rows = pd.concat(list(parts)).sort_values([frame, det])
+        if whole:
+            if last is not None and int(rows[frame].iloc[0]) <= last:
+                raise ValueError(f"frame {rows[frame].iloc[0]} of scene {key[0]} came after frame {last}")
+            last = int(rows[frame].iloc[-1])
         for f, part in rows.groupby(frame, sort=True):
             ids = m.add(np.array(part[feature].tolist(), float), part[BOX].to_numpy(float))
             yield pd.DataFrame({scene: key[0], frame: f, det: part[det], "object": ids})
         width = m.feature.shape[1] if len(m.ids) else 0
-        state.update((m.next, m.frames, width, [int(i) for i in m.ids], m.weight.tolist(), m.feature.ravel().tolist(), m.box.ravel().tolist()))
+        state.update((m.next, m.frames, width, [int(i) for i in m.ids], m.weight.tolist(), m.feature.ravel().tolist(), m.box.ravel().tolist(), last))
 
     out = f"{scene} {kind[scene]}, {frame} {kind[frame]}, {det} {kind[det]}, object bigint"
     return dets.groupBy(scene).applyInPandasWithState(fold, out, STATE, "append", GroupStateTimeout.NoTimeout)

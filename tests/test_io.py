@@ -226,6 +226,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == batch
 
 
+def test_late_frames_stop_the_stream(spark, tmp_path):
+    d = detections(spark, 4)
+    land = str(tmp_path / "land")
+    schema = d.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    for step, frames in enumerate(("frame < 2", "frame = 1 and det = 2")):
+        d.filter(frames).coalesce(1).write.mode("append").parquet(land)
+        q = SM.capture(SM.map_stream(SM.landed_frames(spark, land, schema), "scene", "frame", "det", "f", 1.2), str(tmp_path / "out"), str(tmp_path / "cp"))
+        if step:
+            with pytest.raises(Exception, match="came after"):
+                q.awaitTermination(120)
+        else:
+            q.awaitTermination(120)
+
+
 def test_maintenance_drops_weak_objects(spark):
     d = detections(spark, 4).filter("scene = 's' and (det < 2 or frame = 0)")
     out = M.map_scenes(d, "scene", "frame", "det", "f", 1.2, maintain=2, min_detections=2).collect()
