@@ -6,6 +6,11 @@ Overlaps come in as rows (scene, a, b, frame, area_a, area_b, inter) with a < b,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,15 +19,71 @@ from ..config import Carve, IdentityQuality, TrackMerge
 from . import graphs
 
 
-def _middle(c: str):
-    """The exact median of a sorted array."""
-    n = F.size(c)
-    return (F.col(c)[F.floor((n - 1) / 2).cast("int")] + F.col(c)[F.floor(n / 2).cast("int")]) / 2
-
-
-def _part(c: str, t: float):
-    """The share of an array's elements that reach ``t``."""
-    return F.size(F.filter(c, lambda v: v >= t)) / F.size(c)
+#: Rows of whole pairs that are measured together.
+STEP = 1 << 18
+
+
+def _medians(row: np.ndarray, place: np.ndarray, size: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Exact medians of each row's values, several kinds at once; ``place`` numbers a row's values."""
+    out = [np.zeros(len(size)) for _ in values]
+    # Rows of like size are sorted as one padded matrix.
+    kind = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
+    for k in np.unique(kind):
+        some = np.flatnonzero(kind == k)
+        number = np.full(len(size), -1)
+        number[some] = np.arange(len(some))
+        at = np.flatnonzero(number[row] >= 0)
+        r, c, n, i = number[row[at]], place[at], size[some], np.arange(len(some))
+        for v, o in zip(values, out):
+            m = np.full((len(some), int(n.max())), np.inf)
+            m[r, c] = v[at]
+            m.sort(1)
+            o[some] = (m[i, (n - 1) // 2] + m[i, n // 2]) / 2
+    return out
+
+
+def _measure(t: pa.Table, cfg: TrackMerge) -> pa.RecordBatch:
+    """Metrics of all pairs of a table (scene, a, b, inter, area_a, area_b) whose pairs lie together."""
+    head = _heads(t)
+    size = np.diff(np.append(head, t.num_rows))
+    row = np.repeat(np.arange(len(head)), size)
+    place = np.arange(t.num_rows) - head[row]
+    inter, one, two = (t.column(i).to_numpy() for i in (3, 4, 5))
+    iou, ab, ba = inter / (one + two - inter), inter / one, inter / two
+    med = _medians(row, place, size, [iou, ab, ba, one / two, one, two])
+    part = lambda v, least: np.add.reduceat((v >= least).astype(np.int64), head) / size
+    cols = {"shared": size.astype(np.int64), "median_iou": med[0], "iou_share": part(iou, cfg.frame_iou), "duplicate_share": part(iou, cfg.duplicate_frame_iou), "median_ab": med[1], "median_ba": med[2],
+            "share_ab": part(ab, cfg.fragment_frame), "share_ba": part(ba, cfg.fragment_frame), "median_ratio": med[3], "median_area_a": med[4], "median_area_b": med[5]}
+    names = t.select([0, 1, 2]).take(pa.array(head)).combine_chunks()
+    return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in names.columns), *(pa.array(v) for v in cols.values())], names=[*t.column_names[:3], *cols])
+
+
+def _heads(t: pa.Table) -> np.ndarray:
+    """The first row of each run of equal (scene, a, b)."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for i in range(3):
+        code = pc.dictionary_encode(t.column(i).combine_chunks(), "encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _measured(cfg: TrackMerge):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= STEP:
+                t = pa.Table.from_batches(held)
+                cut = int(_heads(t)[-1])  # the last pair may go on
+                if cut:
+                    yield _measure(t.slice(0, cut), cfg)
+                held, n = t.slice(cut).to_batches(), 0 if cut else -n
+        if any(b.num_rows for b in held):
+            yield _measure(pa.Table.from_batches(held), cfg)
+
+    return run
 
 
 def pair_metrics(overlaps: DataFrame, frames: DataFrame, forbidden: DataFrame | None = None, scene: str = "scene", track: str = "track", cfg: TrackMerge = TrackMerge()) -> DataFrame:
@@ -30,19 +91,11 @@ def pair_metrics(overlaps: DataFrame, frames: DataFrame, forbidden: DataFrame |
 
     ``frames``: (scene, track, n) non-empty frames of each track. Empty aggregates are 0.
     """
-    # One list per pair and array functions on it: a buffer for each of several medians would cost far more than the rows.
+    # Pairs come sorted to a kernel that takes exact medians of many at once.
     o = overlaps.filter("area_a > 0 and area_b > 0").select(scene, "a", "b", *(F.col(c).cast("double").alias(c) for c in ("inter", "area_a", "area_b")))
-    g = o.groupBy(scene, "a", "b").agg(F.collect_list(F.struct("inter", "area_a", "area_b")).alias("_x"))
-    g = g.withColumns({
-        "_iou": F.array_sort(F.transform("_x", lambda r: r["inter"] / (r["area_a"] + r["area_b"] - r["inter"]))), "_ab": F.array_sort(F.transform("_x", lambda r: r["inter"] / r["area_a"])),
-        "_ba": F.array_sort(F.transform("_x", lambda r: r["inter"] / r["area_b"])), "_ratio": F.array_sort(F.transform("_x", lambda r: r["area_a"] / r["area_b"])),
-        "_a": F.array_sort("_x.area_a"), "_b": F.array_sort("_x.area_b"),
-    })
-    m = g.select(
-        scene, "a", "b", F.size("_x").cast("bigint").alias("shared"), _middle("_iou").alias("median_iou"), _part("_iou", cfg.frame_iou).alias("iou_share"), _part("_iou", cfg.duplicate_frame_iou).alias("duplicate_share"),
-        _middle("_ab").alias("median_ab"), _middle("_ba").alias("median_ba"), _part("_ab", cfg.fragment_frame).alias("share_ab"), _part("_ba", cfg.fragment_frame).alias("share_ba"),
-        _middle("_ratio").alias("median_ratio"), _middle("_a").alias("median_area_a"), _middle("_b").alias("median_area_b"),
-    )
+    kind = {f.name: f.dataType.simpleString() for f in o.schema}
+    out = ", ".join([*(f"{c} {kind[c]}" for c in (scene, "a", "b")), "shared bigint", *(f"{c} double" for c in ("median_iou", "iou_share", "duplicate_share", "median_ab", "median_ba", "share_ab", "share_ba", "median_ratio", "median_area_a", "median_area_b"))])
+    m = o.repartition(scene, "a", "b").sortWithinPartitions(scene, "a", "b").mapInArrow(_measured(cfg), out)
     na = frames.select(scene, F.col(track).alias("a"), F.col("n").alias("_na"))
     nb = frames.select(scene, F.col(track).alias("b"), F.col("n").alias("_nb"))
     m = m.join(na, [scene, "a"]).join(nb, [scene, "b"]).withColumn("coverage", F.col("shared") / F.least("_na", "_nb")).drop("_na", "_nb")
