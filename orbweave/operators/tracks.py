@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Carve, IdentityQuality, TrackMerge
+from ..storage import materialize
 from . import graphs
 
 
@@ -154,8 +155,6 @@ def canonical(members: DataFrame, keys: list[str], track: str = "track") -> Data
 
 def roots(attachments: DataFrame, tracks: DataFrame, scene: str, track: str) -> DataFrame:
     """(scene, track, root) along child -> parent links, by doubling; a cycle raises."""
-    from ..storage import materialize
-
     up = tracks.select(scene, track).join(attachments.select(scene, F.col("child").alias(track), F.col("parent").alias("root")), [scene, track], "left").withColumn("root", F.coalesce("root", track))
     up = materialize(up, "roots")
     for _ in range(64):
@@ -180,9 +179,10 @@ def resolve(tracks: DataFrame, overlaps: DataFrame, frames: DataFrame, forbidden
 
     la = tracks.select(scene, F.col(track).alias("a"), normalize_label(F.col(label)).alias("_la"))
     lb = tracks.select(scene, F.col(track).alias("b"), normalize_label(F.col(label)).alias("_lb"))
-    pairs = pair_metrics(overlaps, frames, forbidden, scene, track, cfg).join(la, [scene, "a"]).join(lb, [scene, "b"])
+    # Written once, as clusters and fragments both start from it.
+    pairs = materialize(pair_metrics(overlaps, frames, forbidden, scene, track, cfg).join(la, [scene, "a"]).join(lb, [scene, "b"]), "pairs")
     flagged = duplicate_flags(pairs, F.col("_la") == F.col("_lb"), cfg)
-    clusters = graphs.complete_link(tracks, flagged.filter("merge_kind is not null"), scene, track)
+    clusters = materialize(graphs.complete_link(tracks, flagged.filter("merge_kind is not null"), scene, track), "clusters")
     top = canonical(tracks.join(clusters, [scene, track]), [scene, "cluster"], track).select(scene, "cluster", F.col(track).alias("_canonical"))
     of = clusters.join(top, [scene, "cluster"])
     keep = top.select(scene, F.col("_canonical").alias("_k"))

@@ -259,3 +259,74 @@ def _(s, d):
     o = table(s, d, "supplier").join(n, k == F.col("object_id"), "left").select(k.alias("object_id"), (F.coalesce("c", F.lit(0)) + F.when(k % 5 == 0, 1).otherwise(0)).alias("num_points"), F.when(k % 4 == 0, 9).otherwise(2).alias("num_masks"))
     masks = o.select("object_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("frame_id")).unionByName(s.range(1).select(F.lit(-1).cast("bigint").alias("object_id"), F.lit("a").alias("frame_id")))
     return C.project_problems(o, owned, o.filter("object_id % 6 <> 0"), masks, 1000).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("config_files", "S15 F21", "k:s v:s", "SELECT unnest(['a', 'b.c', 'b.d', 'list']) AS k, unnest(['1', '3', '4', '/data/x']) AS v")
+def _(s, d):
+    folder = scratch(s, "config")
+    _put(folder, {"base.json": b'{"a": 1, "b": {"c": 2, "d": 4}, "list": ["none"]}', "own.json": b'{"inherit_from": "base.json", "b": {"c": 3}, "list": ["${ROOT}/x"]}'})
+    c = S.expand_variables(S.load_config(f"{folder.removeprefix('file://')}/own.json"), {"ROOT": "/data"})
+    return s.createDataFrame([("a", str(c["a"])), ("b.c", str(c["b"]["c"])), ("b.d", str(c["b"]["d"])), ("list", c["list"][0])], "k string, v string")
+
+
+@query("class_list_file", "S38", "name:s n:i", "SELECT p_name AS name, count(*) AS n FROM (SELECT p_name FROM part UNION ALL SELECT r_name FROM region) WHERE lower(p_name) NOT IN ('asia', 'europe') AND trim(p_name) <> '' GROUP BY 1")
+def _(s, d):
+    folder = scratch(s, "classes")
+    table(s, d, "part").select("p_name").unionByName(table(s, d, "region").select(F.concat(F.lit(" "), "r_name").alias("p_name"))).select(F.col("p_name").alias("value")).write.text(folder)
+    return S.class_list(s, folder, ("asia", "europe")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("trajectory_file", "S35", "frame_idx:i x:f yaw:f horizon:f", "SELECT n_nationkey AS frame_idx, n_regionkey + 0.5 AS x, n_nationkey * 15.0 AS yaw, greatest(-30.0, least(60.0, n_nationkey * 10 - 100.0)) AS horizon FROM nation")
+def _(s, d):
+    logs = [{"position": {"x": r.n_regionkey + 0.5, "y": 0.9, "z": 0.0}, "rotation": {"x": 0.0, "y": r.n_nationkey * 15.0, "z": 0.0}, "cameraHorizon": r.n_nationkey * 10 - 100.0} for r in _nations(s, d)]
+    folder = scratch(s, "trajectory")
+    _put(folder, {"trajectory.json": json.dumps({"agent_logs": logs}).encode()})
+    return P.trajectory(s, f"{folder}/trajectory.json").select("frame_idx", F.col("position.x").alias("x"), F.col("rotation.y").alias("yaw"), "horizon")
+
+
+@query("raw_tracks", "S30 F13", "object_id:s label:s", "SELECT DISTINCT 'o' || s_nationkey AS object_id, CASE WHEN s_nationkey % 3 = 0 THEN n_name WHEN s_nationkey % 3 = 1 THEN 'r' || n_regionkey ELSE 'o' || s_nationkey END AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(s, d):
+    k = F.col("n_nationkey")
+    prompts = table(s, d, "nation").filter(k % 3 < 2).select(F.concat(F.lit("o"), k).alias("object_id"), F.when(k % 3 == 0, F.concat(F.lit(" "), "n_name", F.lit(" "))).otherwise("  ").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("category"))
+    masks = table(s, d, "supplier").select(F.concat(F.lit("o"), "s_nationkey").alias("object_id"), F.lit("f").alias("frame_id"))
+    return S.raw_tracks(prompts, masks)
+
+
+@query("frame_window", "C13 S2", "user_id:i exact:b", "SELECT user_id, list(DISTINCT date_part('day', ts) ORDER BY date_part('day', ts)) = range(1, 31, 1) AS exact FROM events WHERE user_id < 5 GROUP BY 1")
+def _(s, d):
+    x = table(s, d, "events").filter("user_id < 5").select("user_id", F.day("ts").alias("day")).distinct()
+    users = sorted(r.user_id for r in x.select("user_id").distinct().collect())  # five at most
+    return s.createDataFrame([(u, C.window_matches(x.filter(F.col("user_id") == u), S.uniform_indices(1, 30, 1), "day")) for u in users], "user_id bigint, exact boolean")
+
+
+@query("identity_gate", "C8 A13", "track:i coverage:f max_step:f", """SELECT track, count(*) / 30.0 AS coverage, coalesce(max(greatest(p, a) / least(p, a)), 1.0) AS max_step FROM (SELECT track, hi - lo AS a, lag(hi - lo) OVER (PARTITION BY track ORDER BY frame) AS p FROM day) GROUP BY track""", "day")
+def _(s, d):
+    from . import pipelines as PL
+
+    one = F.lit(0)
+    runs = ST.days(s, d).select(one.alias("scene"), "track", "frame", one.alias("y"), F.col("lo").cast("int").alias("x0"), F.col("hi").cast("int").alias("x1"))
+    return PL.identity_gate(runs, 30)
+
+
+@query("map_before_and_after", "K2 M7", "stage:s object_id:s", "SELECT 'map' AS stage, 'o' || obj AS object_id FROM box UNION ALL SELECT 'map_post', 'o' || obj FROM box WHERE n >= 400", "box")
+def _(s, d):
+    o = ST.object_boxes(s, d).select(F.concat(F.lit("o"), "obj").alias("object_id"), "n")
+    folder = scratch(s, "maps")
+    K.save_map({"objects": o}, f"{folder}/map")
+    K.save_map({"objects": K.load_map(s, f"{folder}/map")["objects"].filter("n >= 400")}, f"{folder}/map_post")
+    read = lambda name: K.load_map(s, f"{folder}/{name}")["objects"].select(F.lit(name).alias("stage"), "object_id")
+    return read("map").unionByName(read("map_post"))
+
+
+#: What a cached answer depends on; other settings, such as a timeout, may differ.
+_STABLE = ["schema_version", "provider", "model", "prompt_sha256", "caption_file_sha256", "mapfile_sha256", "input_id", "base_url"]
+
+
+@query("relaxed_cache", "C11", "o_orderkey:i state:s", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'hit' ELSE 'pending' END AS state FROM orders")
+def _(s, d):
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    r = table(s, d, "orders").select("o_orderkey", F.lit(2).alias("schema_version"), F.lit("local").alias("provider"), F.lit("m").alias("model"), F.sha2("o_orderstatus", 256).alias("prompt_sha256"), F.md5(text(k)).alias("caption_file_sha256"), F.lit("z").alias("mapfile_sha256"), k.alias("input_id"), F.lit(None).cast("string").alias("base_url"), (k % 7).alias("timeout"))
+    cache = r.filter(k % 3 == 0).withColumns({"timeout": F.lit(99).cast("bigint"), "model": F.when(k % 5 == 0, "other").otherwise("m"), "answer": F.lit("yes")})
+    hit, miss = C.cache_hits(r, cache, _STABLE, ["answer"])
+    return hit.select("o_orderkey", F.lit("hit").alias("state")).unionByName(miss.select("o_orderkey", F.lit("pending").alias("state")))

@@ -196,15 +196,28 @@ def _(s, d):
     return G.complete_link(t, f, "scene", "track")
 
 
-@query("identity_resolution", "V14 W7 W8", "track:i cluster:i canonical:i root:i", f"""WITH RECURSIVE {_LINK}, can AS (SELECT cluster, track AS canonical FROM (SELECT lin.*, row_number() OVER (PARTITION BY cluster ORDER BY frames DESC, area_cv, CAST(lin.track AS VARCHAR)) AS r FROM lin JOIN trk ON trk.track = lin.track) WHERE r = 1),
+_IDENTITY = f"""WITH RECURSIVE {_LINK}, can AS (SELECT cluster, track AS canonical FROM (SELECT lin.*, row_number() OVER (PARTITION BY cluster ORDER BY frames DESC, area_cv, CAST(lin.track AS VARCHAR)) AS r FROM lin JOIN trk ON trk.track = lin.track) WHERE r = 1),
   {_FRAG}, par AS (SELECT child, parent FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY share DESC, containment DESC, pa DESC, ratio, shared DESC, parent DESC) AS r FROM frg WHERE child % 3 = parent % 3 AND child IN (SELECT canonical FROM can) AND parent IN (SELECT canonical FROM can)) WHERE r = 1),
   ups(track, top) AS (SELECT canonical, canonical FROM can UNION SELECT ups.track, par.parent FROM ups JOIN par ON par.child = ups.top)
-  SELECT lin.track, lin.cluster, can.canonical, ups.top AS root FROM lin JOIN can ON can.cluster = lin.cluster JOIN ups ON ups.track = can.canonical WHERE ups.top NOT IN (SELECT child FROM par)""", "met")
+  SELECT lin.track, lin.cluster, can.canonical, ups.top AS root FROM lin JOIN can ON can.cluster = lin.cluster JOIN ups ON ups.track = can.canonical WHERE ups.top NOT IN (SELECT child FROM par)"""
+
+
+@query("identity_resolution", "V14 W7 W8", "track:i cluster:i canonical:i root:i", _IDENTITY, "met")
 def _(s, d):
     t = S.tracks(s, d).withColumns({"confidence": F.lit(1.0), "label": F.col("label").cast("string")})
     return T.resolve(t, S.day_pairs(s, d), t.select("scene", "track", F.col("frames").alias("n")), cfg=LOOSE)
 
 
+@query("track_normalization", "M10 A8", "track:i cluster:i canonical:i root:i", _IDENTITY, "met")
+def _(s, d):
+    from . import pipelines as PL
+
+    one = F.lit(0)
+    runs = S.days(s, d).select(one.alias("scene"), "track", "frame", one.alias("y"), F.col("lo").cast("int").alias("x0"), F.col("hi").cast("int").alias("x1"))
+    t = S.tracks(s, d).select("scene", "track", F.col("label").cast("string").alias("label"), F.lit(1.0).alias("confidence"))
+    return PL.normalize_tracks(t, runs, cfg=LOOSE)[0]
+
+
 def _on_pairs(s, d):
     p = rect_pairs(s, d)
     names = {"a_": "s_", "b_": "t_"}
