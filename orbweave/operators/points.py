@@ -141,6 +141,8 @@ def _touching(low: float, size: float, strict: bool):
         obj, names = coded.indices.to_numpy(), coded.dictionary
         reach = t["_g"].to_numpy()
         found: list[tuple] = []
+        # A block of not too many objects sums its cells in one matrix.
+        table = np.zeros((len(names), len(names))) if len(names) ** 2 <= STEP else None
         for l, r, xyz in _cells(t, size):  # noqa: E741
             # Rows at one place and of one reach have the same neighbours.
             spot, place = np.unique(np.column_stack([xyz[l], reach[l]]), axis=0, return_inverse=True)
@@ -157,8 +159,14 @@ def _touching(low: float, size: float, strict: bool):
                 g = np.maximum(p[:, None, 3], reach[r])
                 hit = (d2 < g * g if strict else d2 <= g * g) & (g > low)
                 total += count[i : i + step].T @ np.logical_or.reduceat(hit, head, axis=1).astype(float)
+            if table is not None:
+                table[np.ix_(own, obj[r[head]])] += total
+                continue
             x, y = np.nonzero(total)
             found.append((own[x], obj[r[head]][y], total[x, y].astype(np.int64)))
+        if table is not None:
+            x, y = np.nonzero(table)
+            found.append((x, y, table[x, y].astype(np.int64)))
         a, b, n = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         pair, which = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
         n = np.bincount(which.ravel(), n, pair.shape[1]).astype(np.int64)
