@@ -12,7 +12,7 @@ from orbweave.plans import catalog
 from orbweave.plans import standins as S
 
 #: Queries that must not make a row per pair of tracks and frame.
-BLOCKS = ["track_pair_metrics", "best_parent"]
+BLOCKS = ["track_pair_metrics", "best_parent", "carve_decision"]
 
 
 @pytest.mark.parametrize("name", BLOCKS)
