@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.config import TrackMerge
+from orbweave.operators import graphs as G
 from orbweave.operators import masks as K
 from orbweave.operators import tracks as T
 from orbweave.plans import catalog
 from orbweave.plans import standins as S
 
 #: Queries that must not make a row per pair of tracks and frame.
-BLOCKS = ["track_pair_metrics", "best_parent", "carve_decision", "fragment_candidates", "forbidden_conflicts", "duplicate_flags"]
+BLOCKS = ["track_pair_metrics", "best_parent", "carve_decision", "fragment_candidates", "forbidden_conflicts", "duplicate_flags", "complete_link"]
 
 
 @pytest.mark.parametrize("name", BLOCKS)
@@ -50,3 +51,14 @@ def test_metrics_of_masks_equal_those_of_rows(spark, monkeypatch, lines):
 
 def test_run_metrics_of_nothing(spark):
     assert T.run_metrics(spark.createDataFrame([], "scene int, track int, frame int, y int, x0 int, x1 int")).isEmpty()
+
+
+def test_complete_link_grows_with_the_pairs(spark):
+    import time
+
+    n = 30_000
+    tracks = spark.range(n).select(F.lit(0).alias("scene"), F.col("id").alias("track"))
+    began = time.time()
+    out = G.complete_link(tracks, tracks.filter("track % 2 = 0").select("scene", F.col("track").alias("a"), (F.col("track") + 1).alias("b")), "scene", "track")
+    assert out.groupBy("cluster").count().filter("count = 2").count() == n // 2
+    assert time.time() - began < 60  # all tracks against all clusters are 3 x 10^8 steps
