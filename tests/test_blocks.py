@@ -13,7 +13,7 @@ from orbweave.plans import catalog
 from orbweave.plans import standins as S
 
 #: Queries that must not make a row per pair of tracks and frame.
-BLOCKS = ["track_pair_metrics", "best_parent", "carve_decision", "fragment_candidates", "forbidden_conflicts", "duplicate_flags", "complete_link", "identity_resolution"]
+BLOCKS = ["track_pair_metrics", "best_parent", "carve_decision", "fragment_candidates", "forbidden_conflicts", "duplicate_flags", "complete_link", "identity_resolution", "track_normalization"]
 
 
 @pytest.mark.parametrize("name", BLOCKS)
