@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import poses as P
-from . import graphs as G
+from . import blocks
 from . import points as PT
 
 
@@ -44,17 +45,18 @@ def exclusive_owners(voted: DataFrame, objects: DataFrame, scene: list[str], min
 
 
 def density_clusters(points: DataFrame, obj: str, point: str, eps: float, min_points: int) -> DataFrame:
-    """(obj, point, cluster): density clusters by joins alone, for objects of any size; noise is left out.
+    """(obj, point, cluster): density clusters; noise is left out.
 
-    Neighbours come from the grid join; points with enough of them (themselves included) are cores; cores within eps of each other
-    are connected; other points join the smallest cluster of a core near them.
+    Points with enough others within eps (themselves included) are cores; cores within eps of each other are connected; other points join the
+    smallest cluster of a core near them. An object's points lie in one task, those of many objects together; no pair leaves the kernel.
     """
-    near = PT.pairs_within(points, points, eps, [obj]).select(F.col(f"a.{obj}").alias(obj), F.col(f"a.{point}").alias("a"), F.col(f"b.{point}").alias("b"))
-    cores = near.groupBy(obj, "a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select(obj, "a")
-    key = lambda c: F.struct(F.col(obj).alias("o"), F.col(c).alias("p"))
-    ca, cb = cores, cores.withColumnRenamed("a", "b")
-    links = near.join(ca, [obj, "a"]).join(cb, [obj, "b"]).filter("a < b").select(key("a").alias("a"), key("b").alias("b"))
-    labels = G.components(cores.select(key("a").alias("id")), links).select(F.col("id.o").alias(obj), F.col("id.p").alias("b"), F.col("component.p").alias("cluster"))
-    own = labels.withColumnRenamed("b", point)
-    border = near.join(ca, [obj, "a"], "left_anti").join(labels, [obj, "b"]).groupBy(obj, F.col("a").alias(point)).agg(F.min("cluster").alias("cluster"))
-    return own.unionByName(border)
+    d = points.select(obj, point, *PT.AXES)
+
+    def clusters(t: pa.Table, head) -> pa.Table:
+        label = PT._labels(t, head, eps, min_points)
+        some = label >= 0
+        ids = t[point].combine_chunks()
+        return pa.Table.from_arrays([t[obj].filter(pa.array(some)), ids.filter(pa.array(some)), ids.take(pa.array(label[some]))], names=[obj, point, "cluster"])
+
+    kind = {f.name: f.dataType.simpleString() for f in d.schema}
+    return blocks.by_key(d, [obj], [point], clusters, f"{obj} {kind[obj]}, {point} {kind[point]}, cluster {kind[point]}")
