@@ -38,3 +38,14 @@ def test_density_queries_keep_pairs_inside(spark, sf):
     for q in ("density_clusters", "dbscan_largest", "denoised_objects"):
         plan = catalog.queries()[q](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan, q
+
+
+def test_overlaps_of_groups_of_objects(spark, monkeypatch):
+    rows = [(o, i, float(x), float(y), 0.0) for o in range(12) for i, (x, y) in enumerate(np.random.default_rng(o).integers(0, 9, (15, 2)))]
+    df = spark.createDataFrame(rows, "o int, i int, x double, y double, z double")
+    flat = lambda: sorted(map(tuple, P.overlap_ratios(df, "o", "i", 1.5).collect()))
+    want = flat()
+    seen, old = [], P._in_blocks
+    monkeypatch.setattr(P, "_in_blocks", lambda l, r, on, *a: seen.append(list(on)) or old(l, r, on, *a))
+    monkeypatch.setattr(P, "STEP", 100)
+    assert flat() == want != [] and seen == [["_gi", "_gj"]]
