@@ -152,11 +152,16 @@ def _(s, d):
   (SELECT a.obj AS a, b.obj AS b, greatest(0.0, least(a.max_x, b.max_x) - greatest(a.min_x, b.min_x)) * greatest(0.0, least(a.max_y, b.max_y) - greatest(a.min_y, b.min_y)) * greatest(0.0, least(a.max_z, b.max_z) - greatest(a.min_z, b.min_z)) AS i,
   (a.max_x - a.min_x) * (a.max_y - a.min_y) * (a.max_z - a.min_z) AS va, (b.max_x - b.min_x) * (b.max_y - b.min_y) * (b.max_z - b.min_z) AS vb FROM box a JOIN box b ON a.obj % 2 = 1 AND b.obj % 2 = 0))) WHERE r = 1 AND similarity > 0.3""", "box")
 def _(s, d):
+    # Boxes that are equal and contained alike score alike: each kind is compared once, for its least object.
     x = S.object_boxes(s, d)
-    a = x.filter("obj % 2 = 1").select(*(F.col(c).alias("a_" + c) for c in x.columns))
-    b = x.filter("obj % 2 = 0").select(*(F.col(c).alias("b_" + c) for c in x.columns))
+    a = M.kinds(x.filter("obj % 2 = 1"), "obj", M.BOX)
+    b = M.kinds(x.filter("obj % 2 = 0"), "obj", [*M.BOX, (F.col("obj") % 3 > 0).alias("contains")])
+    left = a.select(*(F.col(c).alias("a_" + c) for c in a.columns if c != "members")).repartition(8 * s.sparkContext.defaultParallelism, "a_obj")
+    right = b.select(*(F.col(c).alias("b_" + c) for c in b.columns if c not in ("members", "contains"))).groupBy(*("b_" + c for c in M.BOX), (F.col("b_obj") % 3 > 0).alias("_c")).agg(F.min("b_obj").alias("b_obj"))
     score = M.containment_penalty(B.spatial("iou", B.Box("a_"), B.Box("b_")), F.col("a_obj") % 2, F.col("b_obj") % 3)
-    return M.greedy_matches(M.similarity_pairs(a, b, score), ["a_obj"], "b_obj", 0.3).select(F.col("a_obj").alias("a"), F.col("b_obj").alias("b"), "similarity")
+    best = M.greedy_matches(M.similarity_pairs(left, right, score), ["a_obj"], "b_obj", 0.3)
+    out = best.join(a.select(F.col("obj").alias("a_obj"), F.explode("members").alias("a")), "a_obj")
+    return out.select("a", F.col("b_obj").alias("b"), "similarity").orderBy(F.desc("similarity"))
 
 
 @query("text_query_topk", "V6 W19 X1 X3", "q:i vec_id:i scaled:f probability:f", """SELECT q, vec_id, scaled, probability FROM (SELECT q, vec_id, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS scaled, exp(v - max(v) OVER w) / sum(exp(v)) OVER w * exp(max(v) OVER w) AS probability, row_number() OVER (PARTITION BY q ORDER BY v DESC, vec_id) AS r
