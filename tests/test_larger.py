@@ -13,6 +13,21 @@ from orbweave.operators import points as P
 from orbweave.plans import catalog
 
 
+def test_map_of_a_large_frame():
+    """Scores of a frame and a map are held in part only."""
+    rng = np.random.default_rng(0)
+    n = 4000
+    lo = rng.uniform(0, 100, (n, 3))
+    m, f, box = M.SceneMap(1.0), rng.normal(size=(n, 8)), np.hstack([lo, lo + 1])
+    m.add(f, box)
+    ids = m.ids[:]
+    tracemalloc.start()
+    out = m.add(f[::-1], box[::-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out == np.array(ids)[::-1]).all() and peak < 100e6  # n * n scores alone are 128 MB
+
+
 def test_merge_order_is_streamed(spark, sf):
     """No pair of vectors is a row before its blocks met, and no scene is one table of pandas."""
     plan = catalog.queries()["overlap_merge_order"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
