@@ -13,6 +13,30 @@ from orbweave.operators import points as P
 from orbweave.plans import catalog
 
 
+@pytest.mark.parametrize("most", [4096, 20])
+def test_spacing_in_a_stream(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "WHOLE", most)
+    rng = random.Random(3)
+    rows = [(o, p, *(float(rng.randrange(6)) for _ in range(3))) for o in range(9) for p in range(1 + 5 * o)]
+    rows += [(8, 3, 0.0, 0.0, 9.0), (8, 4, None, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0), (None, 2, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "obj int, pid int, x double, y double, z double")
+    out = P.spacing(df, "obj", "pid", 1.0)
+    got = {r.obj: r.spacing for r in out.collect()}
+    want = {}
+    for o in range(9):
+        own = [r for r in rows if r[0] == o and r[2] is not None]
+        best = {}
+        for a in own:
+            d = [sum((u - v) ** 2 for u, v in zip(a[2:], b[2:])) for b in own if b[1] != a[1]]
+            best[a[1]] = min([best.get(a[1], float("inf")), *d])
+        d = [v**0.5 for v in best.values() if 0 < v < float("inf")]
+        if d:
+            want[o] = statistics.median(d)
+    assert got == pytest.approx(want)
+    if most > 1000:
+        assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()  # no call for each object
+
+
 def test_map_of_a_large_frame():
     """Scores of a frame and a map are held in part only."""
     rng = np.random.default_rng(0)
