@@ -52,6 +52,29 @@ def test_map_of_a_large_frame():
     assert (out == np.array(ids)[::-1]).all() and peak < 100e6  # n * n scores alone are 128 MB
 
 
+def test_nearest_by_place(spark):
+    rng = random.Random(5)
+    pts = lambda n, k: [(s, i, *(float(rng.randrange(k)) for _ in range(3))) for s in (0, 1) for i in range(n)]
+    a, b = pts(60, 4), pts(50, 5)
+    a += [(0, 3, *a[3][2:]), (2, 1, 0.0, 0.0, 0.0), (0, 99, None, 0.0, 0.0), (0, 98, -0.0, 0.0, 0.0)]
+    x, y = spark.createDataFrame(a, "s int, i int, x double, y double, z double"), spark.createDataFrame(b, "s int, j int, x double, y double, z double")
+    got = sorted((r.s, r.i, r.j, r.d2) for r in P.nearest_by_place(x, y, "i", "j", 1.0, ["s"]).collect())
+    assert got == sorted((r.s, r.i, r.j, r.d2) for r in P.nearest(x, y, "i", "j", 1.0, ["s"]).collect())
+
+
+def test_evaluation_holds_places(spark, monkeypatch):
+    """However many points lie at a place, one goes to the blocks."""
+    from orbweave.plans import pipelines as PL
+
+    seen = []
+    inner = P.nearest
+    monkeypatch.setattr(P, "nearest", lambda left, right, *a, **k: seen.append((left.count(), right.count())) or inner(left, right, *a, **k))
+    pts = spark.range(400).selectExpr("'s' as scene", "id as point_id", "cast(id % 3 as double) as x", "0d as y", "0d as z", "cast(id % 3 as int) as class")
+    pred = pts.withColumnRenamed("point_id", "pid").withColumnRenamed("class", "label")
+    assert {r.miou for r in PL.evaluate_scenes(pts, pred, 1.0)[1].collect()} == {1.0}
+    assert seen == [(3, 3)]
+
+
 def test_merge_order_is_streamed(spark, sf):
     """No pair of vectors is a row before its blocks met, and no scene is one table of pandas."""
     plan = catalog.queries()["overlap_merge_order"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
