@@ -124,7 +124,7 @@ def _(s, d):
     x = S.detections(s, d)
     one = F.lit(0)
     o = x.select(one.alias("scene"), F.col("class_id").alias("object_id"), F.concat(F.lit("class "), "class_id").alias("label")).distinct()
-    runs = x.select(one.alias("scene"), F.col("class_id").alias("object_id"), F.col("frame").alias("frame_id"), F.explode(F.sequence(F.col("y1").cast("int"), F.col("y1").cast("int") + 60)).alias("y"), F.col("x1").cast("int").alias("x0"), (F.col("x1").cast("int") + 60).alias("x1"))
+    runs = x.select(one.alias("scene"), F.col("class_id").alias("object_id"), F.col("frame").alias("frame_id"), F.col("y1").cast("int").alias("y"), (F.col("y1").cast("int") + 61).alias("y1"), F.col("x1").cast("int").alias("x0"), (F.col("x1").cast("int") + 60).alias("x1"))
     pts = S.points(s, d).select(one.alias("scene"), (F.col("obj") % 20).alias("object_id"), F.col("pid").alias("point_id"), "x", "y", "z")
     f = table(s, d, "embeddings").select(one.alias("scene"), F.col("label").cast("bigint").alias("object_id"), F.col("vec_id").alias("frame_id"), F.col("embedding").alias("feature"))
     return PL.convert_project(o, runs, pts, f, 128, 128)[0]

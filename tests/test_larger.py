@@ -52,6 +52,18 @@ def test_map_of_a_large_frame():
     assert (out == np.array(ids)[::-1]).all() and peak < 100e6  # n * n scores alone are 128 MB
 
 
+def test_blocks_of_lines(spark):
+    rows = [(1, 3, 9, 2, 7), (1, 20, 21, 0, 4), (2, 0, 5, 1, 2), (2, 4, 4, 0, 9)]
+    short = spark.createDataFrame(rows, "k int, y int, y1 int, x0 int, x1 int")
+    full = spark.createDataFrame([(k, y, a, b) for k, y0, y1, a, b in rows for y in range(y0, y1)], "k int, y int, x0 int, x1 int")
+    assert sorted(map(tuple, K.boxes(short, ["k"]).collect())) == sorted(map(tuple, K.boxes(full, ["k"]).collect()))
+
+
+def test_conversion_makes_no_row_per_line(spark, sf):
+    plan = catalog.queries()["project_conversion"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+
+
 def test_nearest_by_place(spark):
     rng = random.Random(5)
     pts = lambda n, k: [(s, i, *(float(rng.randrange(k)) for _ in range(3))) for s in (0, 1) for i in range(n)]
