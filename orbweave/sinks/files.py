@@ -8,9 +8,11 @@ import os
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import by_key
 from ..operators.constraints import Violation, enforce, map_rules
 from ..operators.models import png
 
@@ -91,19 +93,23 @@ def save_evidence(pairs: DataFrame, path: str, most: int) -> None:
 
 def export_masks(runs: DataFrame, folder: str, width: int, height: int) -> DataFrame:
     """Masks as ``folder/object/frame.png`` (shared folder); returns (object_id, frame_id, area)."""
-    import pandas as pd
-
     root = folder.removeprefix("file://")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((height, width), np.uint8)
-        for y, a, b in pdf[["y", "x0", "x1"]].itertuples(index=False):
-            image[y, a:b] = 255
-        obj, frame = pdf.object_id.iloc[0], pdf.frame_id.iloc[0]
-        save_bytes(f"{root}/{obj}/{frame}.png", png(image))
-        return pd.DataFrame({"object_id": [obj], "frame_id": [frame], "area": [int((image > 0).sum())]})
-
-    return runs.groupBy("object_id", "frame_id").applyInPandas(one, "object_id string, frame_id string, area bigint")
+    def write(t: pa.Table, head: np.ndarray) -> pa.Table:
+        area = []
+        names = t.select([0, 1]).take(pa.array(head))
+        y, x0, x1 = (t[c].to_pylist() for c in ("y", "x0", "x1"))
+        for a, b, obj, frame in zip(head, [*head[1:], t.num_rows], names[0].to_pylist(), names[1].to_pylist()):
+            image = np.zeros((height, width), np.uint8)
+            for i in range(a, b):
+                image[y[i], x0[i] : x1[i]] = 255
+            save_bytes(f"{root}/{obj}/{frame}.png", png(image))
+            area.append(int((image > 0).sum()))
+        return names.append_column("area", pa.array(area, pa.int64()))
+
+    # Few bytes make many files: left to itself one task would write them all.
+    d = runs.select(F.col("object_id").cast("string").alias("object_id"), F.col("frame_id").cast("string").alias("frame_id"), "y", "x0", "x1")
+    return by_key(d, ["object_id", "frame_id"], [], write, "object_id string, frame_id string, area bigint", 4 * runs.sparkSession.sparkContext.defaultParallelism)
 
 
 def export_sens(frames: DataFrame, folder: str, skip: int = 1) -> int:

@@ -105,3 +105,13 @@ def test_merges_as_plain(spark):
                 want.append((s, a, b))
         got = M.overlap_merge(df, "s", M.OverlapMerge(0.7, 0.5, 0.5), compat)
         assert sorted((r.s, r.source, r.target) for r in got.collect()) == sorted(want)
+
+
+def test_masks_are_written_by_many_tasks(spark, tmp_path):
+    from orbweave.sinks import files as SK
+
+    runs = spark.range(40).selectExpr("concat('o', id) as object_id", "'f' as frame_id", "1 as y", "0 as x0", "cast(id % 5 + 1 as int) as x1")
+    out = SK.export_masks(runs, str(tmp_path / "m"), 8, 4)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.rdd.getNumPartitions() > 4
+    assert sorted(r.area for r in out.collect()) == sorted(i % 5 + 1 for i in range(40))
