@@ -106,8 +106,33 @@ def read_masks(spark: SparkSession, folder: str, width: int | None = None, heigh
                 rows += [(obj, name.rpartition(".")[0], *r) for r in mask_runs(m > 0)]
             yield pd.DataFrame(rows, columns=["object_id", "frame_id", "y", "x0", "x1"])
 
-    if not os.path.isdir(folder.removeprefix("file://")) and "://" not in folder:
+    root = folder.removeprefix("file://")
+    if not os.path.isdir(root) and "://" not in folder:
         return spark.createDataFrame([], "object_id string, frame_id string, y int, x0 int, x1 int")
+    if "://" not in root:
+        # A folder for each object: the driver lists only their names, the tasks look into them.
+        shown = lambda name: not name.startswith(("_", "."))
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = []
+                for name in pdf["name"]:
+                    for at, below, files in os.walk(os.path.join(root, name) if name else root):
+                        below[:] = [b for b in below if name and shown(b)]
+                        found += [os.path.join(at, f) for f in sorted(files) if f.endswith(".png") and shown(f)]
+                for i in range(0, len(found), 256):
+                    data = []
+                    for path in found[i : i + 256]:
+                        with open(path, "rb") as f:
+                            data.append(f.read())
+                    yield from decode(iter([pd.DataFrame({"path": found[i : i + 256], "content": data})]))
+
+        with os.scandir(root) as entries:
+            names = [e.name for e in entries if e.is_dir() and shown(e.name)]
+        if shown(os.path.basename(os.path.abspath(root))):
+            names.append("")  # files of the folder itself
+        listed = spark.createDataFrame([(n,) for n in names], "name string").repartition(4 * spark.sparkContext.defaultParallelism)
+        return listed.mapInPandas(read, "object_id string, frame_id string, y int, x0 int, x1 int")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(folder).select("path", "content")
     raw = raw.filter(~F.element_at(F.split("path", "/"), -2).startswith("_"))
     return raw.mapInPandas(decode, "object_id string, frame_id string, y int, x0 int, x1 int")

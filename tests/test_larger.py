@@ -115,3 +115,17 @@ def test_masks_are_written_by_many_tasks(spark, tmp_path):
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.rdd.getNumPartitions() > 4
     assert sorted(r.area for r in out.collect()) == sorted(i % 5 + 1 for i in range(40))
+
+
+def test_masks_are_listed_by_tasks(spark, tmp_path):
+    from orbweave.operators.models import png
+    from orbweave.sinks.files import save_bytes
+    from orbweave.sources import files as SF
+
+    image = np.zeros((4, 8), np.uint8)
+    image[1, 2:5] = 255
+    for name in ("a/0.png", "a/1.png", "b/c/2.png", "_no/0.png", "b/_no/0.png", "a/.x.png"):
+        save_bytes(str(tmp_path / "m" / name), png(image))
+    out = SF.read_masks(spark, "file://" + str(tmp_path / "m"), 8, 4)
+    assert "binaryFile" not in out._jdf.queryExecution().optimizedPlan().toString().replace("binaryfile", "binaryFile")
+    assert sorted(map(tuple, out.collect())) == [("a", "0", 1, 2, 5), ("a", "1", 1, 2, 5), ("c", "2", 1, 2, 5)]
